@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from seqloom.llm.mixing import OP6_SQL, op6_mix_sources
+from seqloom.llm.simhash import op9_simhash
 from seqloom.llm.url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op6_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op6_mix_sources, op9_simhash)}
 ORACLES = {"op6_mix_sources": OP6_SQL}
