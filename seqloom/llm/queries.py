@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seqloom.llm.bytebpe import op10_bpe
 from seqloom.llm.fingerprint import op5_fingerprint
 from seqloom.llm.langid import op8_language_id
 from seqloom.llm.mixing import OP6_SQL, op6_mix_sources
@@ -9,5 +10,5 @@ from seqloom.llm.neighbours import op7_nearest
 from seqloom.llm.simhash import op9_simhash
 from seqloom.llm.url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op5_fingerprint, op6_mix_sources, op7_nearest, op8_language_id, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op5_fingerprint, op6_mix_sources, op7_nearest, op8_language_id, op9_simhash, op10_bpe)}
 ORACLES = {"op6_mix_sources": OP6_SQL}
