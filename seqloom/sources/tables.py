@@ -32,3 +32,13 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     path = work_dir(spark)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Remove the files of a staged table that no later step reads, to keep the shared folder small."""
+    jvm = staged.sparkSession.sparkContext._jvm
+    conf = staged.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        if "/seqloom-" in folder:  # only what stage() wrote
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
