@@ -213,19 +213,21 @@ def default_path() -> str:
 
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int), decoded (binary: the UTF-8 of the decoded ids) for every row."""
+    """doc_id, n_tokens, ids (array of int), exact (the decoded ids give the text) for every row."""
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in blocks(batches, size=1 << 20):
-            ids = [bpe.encode(t.decode()) for t in text_bytes(b).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([bpe.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+            texts = text_bytes(b).to_pylist()
+            ids = [bpe.encode(t.decode()) for t in texts]
+            sizes = np.array([len(i) for i in ids], np.int64)
+            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+            exact = pa.array([bpe.decode(i) == t for i, t in zip(ids, texts)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids).astype(np.int32))), exact], ["doc_id", "n_tokens", "ids", "exact"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, exact boolean")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

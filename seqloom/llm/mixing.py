@@ -77,21 +77,32 @@ def thresholds(sizes: DataFrame, src: DataFrame) -> DataFrame:
     return state.select("skey", (F.col("lo") + F.when(2 * F.col("need") >= F.col("words"), 1).otherwise(0)).alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs (times the whole document is taken), taken (words)."""
+def mix_plan(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, skey, size, h of every document, and a row a source: skey, source_size, target, epochs, threshold."""
     sizes = stage(docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), seed).alias("h")))
     src = stage(source_targets(sizes, weights, max_epochs))
-    plan = stage(src.join(thresholds(sizes, src), "skey", "left"))
-    epochs = F.col("epochs") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    out = sizes.select("doc_id", "skey", "size", "h", F.col("source").alias("doc_source")).join(plan.drop("source"), "skey")
-    return out.select("doc_id", F.col("doc_source").alias("source"), "size", "source_size", "target", epochs.alias("epochs"), (F.col("size") * epochs).alias("taken"))
+    return sizes, stage(src.join(thresholds(sizes, src), "skey", "left").drop("source", "need"))
+
 
+def taken_epochs(h: Column, epochs: Column, threshold: Column) -> Column:
+    return epochs + F.when(h < threshold, 1).otherwise(0)
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that the mix takes, each as often as the mix takes it."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("epochs").alias("_n")).groupBy("_id").agg(F.max("_n").alias("_n"))
-    kept = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).filter("_n > 0")
-    return kept.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[kept[c] for c in docs.columns])
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs (times the whole document is taken), taken (words)."""
+    sizes, plan = mix_plan(docs, weights, max_epochs, seed)
+    out = sizes.join(plan, "skey").withColumn("epochs", taken_epochs(F.col("h"), F.col("epochs"), F.col("threshold")))
+    return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
+    """The rows of `docs` that the mix takes, each as often as the mix takes it; only the plan, a row a source, meets the texts."""
+    _, plan = mix_plan(docs, weights, max_epochs, seed)
+    plan = plan.select(F.col("skey").alias("_mix_key"), F.col("epochs").alias("_mix_epochs"), F.col("threshold").alias("_mix_threshold"))
+    rows = docs.join(plan, source_key(docs["source"]) == F.col("_mix_key"))
+    times = taken_epochs(row_hash(docs["doc_id"], seed), F.col("_mix_epochs"), F.col("_mix_threshold")).cast("int")
+    rows = rows.withColumn("_mix_times", times).filter("_mix_times > 0")
+    return rows.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[docs[c] for c in docs.columns])
 
 
 def op6_mix_sources(spark, sf_dir) -> DataFrame:
