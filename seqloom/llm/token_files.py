@@ -19,8 +19,10 @@ doc_ids come first; an empty table gives no file and an empty result. Only doc_i
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks
-from seqloom.llm.bytebpe import Cached, default_path, simple
+from seqloom.llm.bytebpe import byte_chars, default_path, simple
 from seqloom.llm.fingerprint import packed
 from seqloom.llm.ordered import range_bounds, range_part
 from seqloom.sources import read_table, stage, work_dir
@@ -41,14 +43,34 @@ MAGIC = int.from_bytes(b"SLTOKEN1", "little")
 BLOCK = 1 << 20
 
 
+class Kept:
+    """piece -> ids, in two generations of about `most` entries: what is still in use moves to the newer one."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def lacking(self, pieces: set[str]) -> list[str]:
+        """The pieces to be found; the others are in `new` afterwards."""
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        rest, old = pieces.difference(self.new), self.old
+        moved = {p: old[p] for p in rest if p in old}
+        self.new |= moved
+        return [p for p in rest if p not in moved]
+
+
 class Library:
     """The tokenizers library over whole texts, with the results of distinct pieces kept.
 
-    A text is cut at single spaces between other characters, where the pre-tokenizer always cuts. Pieces that are new are encoded by the
-    library in lines of many, with a line feed between them, which it makes a token of its own.
+    A text is cut at single spaces and line feeds between other characters, where the pre-tokenizer always cuts, and a piece of letters and
+    punctuation between the two. These parts are pre-tokens and go to the library's model, which is less work than a
+    call for a text; other new pieces are encoded by the whole tokenizer in lines of many, with a line feed between them, which it makes a token of its own.
     """
 
-    def __init__(self, path: str) -> None:
+    #: fixed values: letters and punctuation between which the pre-tokenizer always cuts
+    PAIR = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+
+    def __init__(self, path: str, most: int = 150_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -58,33 +80,64 @@ class Library:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         [self.line] = self.tok.encode("\n", add_special_tokens=False).ids
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache = Cached(lambda piece: self.ids(" " + piece), 350_000)
+        self.chars = {b: c for c, b in byte_chars().items()}
+        self.pieces, self.words = Kept(most), Kept(most)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, pieces: list[str], line: int = 2000) -> None:
-        """Encode new pieces that hold no line feed, many at a time."""
-        some = [p for p in pieces if p and "\n" not in p]
-        lines = [some[i : i + line] for i in range(0, len(some), line)]
-        found = self.tok.encode_batch_fast(["".join([f" {p}\n" for p in x]) for x in lines], add_special_tokens=False)
+    def in_lines(self, pieces: list[str], line: int = 1000) -> list[bytes]:
+        """Ids of pieces without a line feed, each as after one."""
+        lines = [pieces[i : i + line] for i in range(0, len(pieces), line)]
+        found = self.tok.encode_batch_fast(["\n".join([*x, ""]) for x in lines], add_special_tokens=False)
+        out: list[bytes] = []
         for words, enc in zip(lines, found):
             ids = np.array(enc.ids, self.kind)
             ends = np.flatnonzero(ids == self.line)
             if len(ends) != len(words):
                 raise ValueError("a piece was not cut from its line")
             raw, step = ids.tobytes(), self.kind.itemsize
-            start = 0
-            for w, end in zip(words, (ends * step).tolist()):
-                self.cache.put(w, raw[start:end])
-                start = end + step
+            ends = (ends * step).tolist()
+            out += [raw[a:z] for a, z in zip([0, *[e + step for e in ends[:-1]]], ends)]
+        return out
+
+    def pre_tokens(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens without a line feed, by the model alone."""
+        if not words:
+            return []
+        kind, tokenize = "HI"[self.kind.itemsize // 4], self.tok.model.tokenize
+        mapped = "\n".join(words).encode().decode("latin-1").translate(self.chars).split(self.chars[10])
+        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in mapped]
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of all pieces: one that starts with a line feed as it is, others after a space."""
+        new = self.pieces.lacking(pieces)
+        pairs, rest = [], []
+        for p in new:
+            lead, body = ("", p[1:]) if p[:1] == "\n" else (" ", p)
+            if m := self.PAIR.fullmatch(body):
+                pairs.append((p, lead + m[1], m[2]))
+            else:
+                rest.append((p, lead + body))
+        lacking = self.words.lacking({w for _, w, _ in pairs} | {m for _, _, m in pairs if m})
+        self.words.new.update(zip(lacking, self.pre_tokens(lacking)))
+        known, found = self.words.new, self.pieces.new
+        line = np.array([self.line], self.kind).tobytes()
+        found.update((p, (line if p[0] == "\n" else b"") + known[w] + (known[m] if m else b"")) for p, w, m in pairs)
+        found.update((p, (line if p[:1] == "\n" else b"") + i) for (p, _), i in zip(rest, self.in_lines([t for _, t in rest])))
+        return found
+
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces of a text after a line feed; None if it has white space that is not so simple."""
+        if not text or text[0] in " \n" or text[-1] == "\n" or "\n\n" in text or not simple(text) or any(s in text for s in self.special):
+            return None
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [t.split(" ") if t and simple(t) and not any(s in t for s in self.special) else None for t in texts]
-        known, old = self.cache, self.cache.old
-        self.learn([p for p in dict.fromkeys(p for words in plain if words for p in words[1:]) if p not in known and p not in old])
-        find = known.__getitem__
-        return [np.frombuffer(self.ids(t) if w is None else self.ids(w[0]) + b"".join(map(find, w[1:])), self.kind) for t, w in zip(texts, plain)]
+        cuts = [self.cut(t) for t in texts]
+        find = self.learn(set().union(*[c for c in cuts if c])).__getitem__
+        step = self.kind.itemsize
+        return [np.frombuffer(self.ids(t) if c is None else b"".join(map(find, c))[step:], self.kind) for t, c in zip(texts, cuts)]
 
 
 @cache
