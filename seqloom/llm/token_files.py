@@ -70,7 +70,7 @@ class Library:
     #: fixed values: letters and punctuation between which the pre-tokenizer always cuts
     PAIR = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 150_000) -> None:
+    def __init__(self, path: str, most: int = 220_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -81,7 +81,7 @@ class Library:
         [self.line] = self.tok.encode("\n", add_special_tokens=False).ids
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.chars = {b: c for c, b in byte_chars().items()}
-        self.pieces, self.words = Kept(most), Kept(most)
+        self.pieces, self.marks = Kept(most), {"": b""}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -111,20 +111,25 @@ class Library:
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of all pieces: one that starts with a line feed as it is, others after a space."""
-        new = self.pieces.lacking(pieces)
-        pairs, rest = [], []
+        new, found, fits = self.pieces.lacking(pieces), self.pieces.new, self.PAIR.fullmatch
+        pairs, words, rest = [], [], []
         for p in new:
             lead, body = ("", p[1:]) if p[:1] == "\n" else (" ", p)
-            if m := self.PAIR.fullmatch(body):
-                pairs.append((p, lead + m[1], m[2]))
+            if m := fits(body):
+                pairs.append((p, m[2]))
+                words.append(lead + m[1])
             else:
                 rest.append((p, lead + body))
-        lacking = self.words.lacking({w for _, w, _ in pairs} | {m for _, _, m in pairs if m})
-        self.words.new.update(zip(lacking, self.pre_tokens(lacking)))
-        known, found = self.words.new, self.pieces.new
-        line = np.array([self.line], self.kind).tobytes()
-        found.update((p, (line if p[0] == "\n" else b"") + known[w] + (known[m] if m else b"")) for p, w, m in pairs)
-        found.update((p, (line if p[:1] == "\n" else b"") + i) for (p, _), i in zip(rest, self.in_lines([t for _, t in rest])))
+        marks = [m for m in {m for _, m in pairs} if m not in self.marks]
+        self.marks |= dict(zip(marks, self.pre_tokens(marks)))
+        line, mark = np.array([self.line], self.kind).tobytes(), self.marks
+        for (p, m), w in zip(pairs, self.pre_tokens(words)):
+            w = w + mark[m] if m else w
+            found[p] = line + w if p[0] == "\n" else w
+        for (p, _), i in zip(rest, self.in_lines([t for _, t in rest])):
+            found[p] = line + i if p[:1] == "\n" else i
+        if len(mark) > 20_000:
+            self.marks = {"": b""}
         return found
 
     def cut(self, text: str) -> list[str] | None:
@@ -188,7 +193,7 @@ def encoded_ranges(docs: DataFrame, path: str, end_id: int, parts: int) -> DataF
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "tie").select("part", "doc_id", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lib, unzip, press = load(path), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+        lib, unzip, press = load(path), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         part, at = None, 0
         for b in blocks(batches, "body", 1 << 20):
             places = []
