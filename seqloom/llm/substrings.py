@@ -293,7 +293,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 5
     """doc_id, tag, lo, hi: bytes lo to hi of the text are covered by repeated windows; spans may overlap."""
     all_segments = stage(cut(docs, length, gram))
     anchors = all_segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1")).filter("n > 1")
-    anchors = anchors.select("anchor", (F.col("c0") != F.col("c1")).alias("several"))
+    # a table of its own, so that a common anchor's rows can be split in the join
+    anchors = stage(anchors.select("anchor", (F.col("c0") != F.col("c1")).alias("several")))
     found = stage(all_segments.join(anchors, "anchor"))
     discard(all_segments)
     whole = (F.shiftright("place", 2 * PLACE)).alias("lo"), (F.shiftright("place", 2 * PLACE) + F.shiftright("place", PLACE).bitwiseAND(511) + length - 1).alias("hi")

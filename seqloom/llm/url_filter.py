@@ -87,7 +87,7 @@ def fit(labelled: DataFrame, buckets: int = 4096, steps: int = 300, rate: float
     return weights
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, buckets: int = 4096, url: str = "url", limit: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, buckets: int = 4096, url: str = "url", limit: float = 0.7) -> DataFrame:
     """The columns of `pages` and host, path, rule, score (chance that it is to be blocked), verdict."""
     weights = F.lit(fit(labelled, buckets))
     base = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("_row"), host_of(pages[url]).alias("_host"), path_of(pages[url]).alias("_path"))
