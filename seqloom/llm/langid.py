@@ -117,9 +117,12 @@ def runs(counts: np.ndarray, span: int) -> np.ndarray:
 def sample(docs: DataFrame, text: str, label: str, per_label: int) -> DataFrame:
     """About `per_label` labelled documents of each label, the same on every run: text, label."""
     known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").alias("i"), F.col(label).alias("y"), F.col(text).alias("t"))
-    share = known.groupBy("y").agg(F.least(F.lit(1.0), F.lit(float(per_label)) / F.count("*")).alias("share"))
-    drawn = (F.pmod(F.xxhash64("i"), F.lit(1 << 30)) + 0.5) / (1 << 30) < F.col("share")
-    return known.join(share, "y").filter(drawn).select("t", "y")
+    counts = known.groupBy("y").count().collect()  # a row a label, like the field itself
+    if not counts:
+        return known.select("t", "y").limit(0)
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], min(1.0, per_label / r["count"]))])
+    drawn = (F.pmod(F.xxhash64("i"), F.lit(1 << 30)) + 0.5) / (1 << 30) < F.element_at(share, F.col("y"))
+    return known.filter(drawn).select("t", "y")
 
 
 def fit(train: DataFrame, buckets: int = 1 << 14, steps: int = 10, rate: float = 0.5, decay: float = 1e-4, words: int = 400, span: int = 64, tasks: int = 6) -> Field | None:
