@@ -9,7 +9,8 @@
    are one more than the least in between, or 0. BWT column, order and common prefixes of a round are written to sequential files, from
    which the next round reads them. Because of the alignment only suffixes of one round can share a window, so no round
    has to keep the suffixes of others. A window is a repeat if its suffix shares `length` bytes with a neighbour in the order.
-   Identical segments are inserted once, with their number: two of them repeat all of their windows.
+   Identical segments are inserted once, with their number: two of them repeat all of their windows. An anchor whose segments are
+   all identical therefore needs no construction.
 3. Repeated windows become byte spans of their documents, which are cut out of the texts.
 
 Collections of more than `most` different segments with one anchor are decided window by window instead, by 128-bit hashes that are dealt over
@@ -89,7 +90,7 @@ def tag(text: bytes) -> int:
     return xxhash.xxh32_intdigest(text) - (1 << 31)
 
 
-def cut(docs: DataFrame, length: int, gram: int, chunk: int = 8 << 20) -> DataFrame:
+def cut(docs: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
     """anchor, content (hashes), doc_id, tag, place of every segment of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -289,9 +290,9 @@ def by_window(fetched: DataFrame, length: int) -> DataFrame:
     return rows.filter("times = 1").join(several, "name", "left_semi").select("doc_id", "tag", "lo", (F.col("lo") + length).alias("hi"))
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 50_000) -> DataFrame:
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = 50_000, chunk: int = 8 << 20) -> DataFrame:
     """doc_id, tag, lo, hi: bytes lo to hi of the text are covered by repeated windows; spans may overlap."""
-    all_segments = stage(cut(docs, length, gram))
+    all_segments = stage(cut(docs, length, gram, chunk))
     anchors = all_segments.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1")).filter("n > 1")
     # a table of its own, so that a common anchor's rows can be split in the join
     anchors = stage(anchors.select("anchor", (F.col("c0") != F.col("c1")).alias("several")))
