@@ -82,6 +82,23 @@ def knee(xs: list[float], ys: list[float]) -> float | None:
     return float(x[at]) if 0 < at < len(x) - 1 and lift[at] > 0 else None
 
 
+def near_zero(values: np.ndarray, tolerance: float = 1e-3) -> int:
+    """Number of eigenvalues that are about 0: the connected parts of a graph."""
+    return int((np.abs(values) <= tolerance).sum())
+
+
+def spherical_bic(sizes: np.ndarray, squares: float, dims: int) -> float:
+    """BIC of a k-means fit (larger is better) from the cluster sizes and the summed squared distances to the centres."""
+    sizes = np.asarray(sizes, float)
+    sizes = sizes[sizes > 0]
+    n, k = sizes.sum(), len(sizes)
+    if n <= k:
+        return -math.inf
+    variance = max(squares / ((n - k) * dims), 1e-300)
+    fit = sizes * np.log(sizes) - sizes * math.log(n) - sizes * dims / 2 * math.log(2 * math.pi * variance) - (sizes - 1) * dims / 2
+    return float(fit.sum() - 0.5 * k * math.log(n) * (dims + 1))
+
+
 def two_sided_normal(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 

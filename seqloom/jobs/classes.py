@@ -7,7 +7,7 @@ refuses more contexts than a dense decomposition can hold.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,21 +23,50 @@ def context_graph(cells: DataFrame, config: ClassConfig) -> DataFrame:
     return graphs.reflected(graphs.one_mode(cells)) if config.graph_type == "one-mode" else graphs.covariance(cells)
 
 
+def embedded(cells: DataFrame, names: list[str], vectors: np.ndarray, k: int) -> DataFrame:
+    """context, features: the eigenvectors 1 to k at each context."""
+    return cells.sparkSession.createDataFrame([(n, Vectors.dense(v)) for n, v in zip(names, vectors[:, 1 : k + 1])], ["context", "features"])
+
+
+def kmeans_cut(points: DataFrame, k: int, seed: int) -> tuple[DataFrame, float]:
+    """context, cluster and the fit's BIC."""
+    model = KMeans(k=k, seed=seed, maxIter=100).fit(points)
+    bic = linear.spherical_bic(np.array(model.summary.clusterSizes), model.summary.trainingCost, len(model.clusterCenters()[0]))
+    return model.transform(points).select("context", F.col("prediction").alias("cluster")), bic
+
+
 def spectral_cut(cells: DataFrame, config: ClassConfig) -> DataFrame:
-    """context, cluster: k-means on the eigenvectors before the widest gap."""
-    spark = cells.sparkSession
+    """context, cluster: k-means on the eigenvectors before the widest gap, or with the k = 5, 7, ... of the best BIC."""
     graph, names, _ = linear.dense(context_graph(cells, config).collect(), "src", "dst", "w")
     values, vectors = linear.spectrum(graph)
-    k = linear.eigengap(values, config.min_embs)
-    points = spark.createDataFrame([(n, Vectors.dense(v)) for n, v in zip(names, vectors[:, 1 : k + 1])], ["context", "features"])
-    model = KMeans(k=min(k, len(names)), seed=config.seed, maxIter=100).fit(points) if k > 1 else None
-    return model.transform(points).select("context", F.col("prediction").alias("cluster")) if model else points.select("context", F.lit(0).alias("cluster"))
-
-
-def split_values(values: np.ndarray, config: ClassConfig) -> np.ndarray:
-    """Parts of one eigenvector: by sign, or by natural breaks with the number of classes at the knee of their fit."""
+    if config.eigengap:
+        k = min(linear.eigengap(values, config.min_embs), len(names))
+        points = embedded(cells, names, vectors, k)
+        return kmeans_cut(points, k, config.seed)[0] if k > 1 else points.select("context", F.lit(0).alias("cluster"))
+    fits = [kmeans_cut(embedded(cells, names, vectors, k), k, config.seed) for k in range(5, len(names), 2)]
+    if not fits:
+        raise ValueError("the sweep over k starts at 5 and needs more than 5 contexts")
+    return max(fits, key=lambda f: f[1])[0]
+
+
+def mixture_labels(cells: DataFrame, values: np.ndarray, most: int, seed: int) -> np.ndarray:
+    """Parts of one vector by the Gaussian mixture of least BIC with 2 to `most` components."""
+    points = cells.sparkSession.createDataFrame([(i, Vectors.dense([float(v)])) for i, v in enumerate(values)], ["at", "features"])
+    best = (np.inf, np.zeros(len(values), int))
+    for k in range(2, min(most, len(values)) + 1):
+        model = GaussianMixture(k=k, seed=seed).fit(points)
+        bic = (3 * k - 1) * np.log(len(values)) - 2 * model.summary.logLikelihood
+        label = np.array([r["prediction"] for r in model.transform(points).orderBy("at").collect()])
+        best = min(best, (bic, label), key=lambda b: b[0])
+    return best[1]
+
+
+def split_values(cells: DataFrame, values: np.ndarray, config: ClassConfig) -> np.ndarray:
+    """Parts of one eigenvector: by sign, by a mixture, or by natural breaks with the number of classes at the knee of their fit."""
     if config.sign_cut:
         return (values > 0).astype(int)
+    if not config.use_jenks:
+        return mixture_labels(cells, values, config.max_cuts, config.seed)
     counts = list(range(1, min(config.max_cuts, len(np.unique(values))) + 1))
     fits = [linear.variance_fit(values, linear.jenks(values, k)) for k in counts]
     k = int(linear.knee(counts, fits) or 2)
@@ -61,7 +90,7 @@ def recursive_cut(cells: DataFrame, config: ClassConfig) -> DataFrame:
         if len(part) < 2:
             continue
         sub = graph[np.ix_(part, part)]
-        label = split_values(linear.spectrum(sub)[1][:, 1], config)
+        label = split_values(cells, linear.spectrum(sub)[1][:, 1], config)
         if sum_modularity(sub, label) <= config.mod_threshold:
             continue
         for c in np.unique(label):

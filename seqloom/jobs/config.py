@@ -15,9 +15,11 @@ class ClassConfig:
     separate_lens: bool = True
     graph_type: str = "KLD"
     smoothing: float = 2e-4
+    eigengap: bool = True
     min_embs: int = 4
     PPMI_threshold: float = 0.0
     sign_cut: bool = True
+    use_jenks: bool = True
     max_cuts: int = 2
     mod_threshold: float = -100.0
     seed: int = 1

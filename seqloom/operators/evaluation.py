@@ -20,6 +20,24 @@ def with_default(left: DataFrame, scores: DataFrame, on: str, value: str, defaul
     return left.join(scores, on, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def looked_up(rows: DataFrame, keys: str, values: dict[str, float], to: str) -> DataFrame:
+    """Values of an array's symbols from a small table, null where there is none."""
+    pairs = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return rows.withColumn(to, F.transform(keys, lambda k: F.try_element_at(pairs, k)))
+
+
+def long_form(table: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """One row for each value column: keys, measure, value."""
+    return table.unpivot(keys, values, "measure", "value")
+
+
+def agreement(ratings: DataFrame, scores: DataFrame, onset: str, attested: str, kind: str, rating: str, score: str, order: str) -> DataFrame:
+    """One row, tau and r, of the mean ratings of the onsets of one kind of attestedness and their last scores (0 without one)."""
+    means = group_mean(ratings.filter(F.col(attested) == kind), [onset], rating)
+    both = with_default(means, last_value(scores, [onset], order, score).withColumnRenamed("last", "score"), onset, "score")
+    return kendall(both, F.col("mean"), F.col("score")).join(F.broadcast(pearson(both, "mean", "score")))  # single rows
+
+
 def kendall(pairs: DataFrame, x: Column, y: Column, most: int = 20_000) -> DataFrame:
     """One row, tau: tau-b from the table of distinct value pairs and their counts, so that rows never meet rows."""
     cells = pairs.select(x.alias("x"), y.alias("y")).filter("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"))

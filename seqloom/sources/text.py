@@ -20,6 +20,18 @@ def read_forms(spark: SparkSession, path: str, word_boundaries: bool = True, syl
     return spark.read.text(path).select((F.concat(F.lit("#."), form, F.lit(".#.")) if word_boundaries else F.concat(form, F.lit("."))).alias("form"))
 
 
+def read_test_forms(spark: SparkSession, path: str) -> DataFrame:
+    """form: distinct symbol sequences framed by both kinds of boundaries."""
+    symbols = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
+    return spark.read.text(path).select(F.concat(F.lit("#.!."), F.array_join(symbols, "."), F.lit(".!.#.")).alias("form")).distinct()
+
+
+def read_phone_file(spark: SparkSession, path: str) -> DataFrame:
+    """phone: the tokens of the first line, in order."""
+    first = spark.read.text(path).limit(1)
+    return first.select(F.posexplode(F.filter(F.split("value", r"\s+"), lambda t: t != "")).alias("at", "phone")).orderBy("at").select("phone")
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """phone: the distinct tokens of a text."""
     return spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("phone")).filter("phone <> ''").distinct()

@@ -193,3 +193,24 @@ def test_classes_are_found(spark):
     assert set(" ".join(found).split()) == {"p0", "p1", "p2", "p3"}
     assert sorted(found) == sorted(r["phones"] for r in classes.discover(table, spectral).collect())
     assert {"p0 p1", "p2 p3"} <= {r["phones"] for r in classes.symbol_axes(table, ClassConfig(min_embs=0), 2).collect()}
+
+
+def test_bic_and_mixture(spark):
+    table = cells(spark, [[9, 8, 0, 0], [7, 9, 1, 0], [0, 0, 9, 8], [0, 1, 8, 9], [8, 8, 0, 1], [1, 0, 9, 9], [9, 9, 1, 0]])
+    found = classes.discover(table, ClassConfig(eigengap=False)).collect()
+    assert found and all(r["phones"] for r in found)
+    label = classes.mixture_labels(table, np.array([0.0, 0.1, 0.05, 5.0, 5.1, 5.05]), 2, 1)
+    assert len(set(label[:3])) == len(set(label[3:])) == 1 and label[0] != label[3]
+    good, bad = (linear.spherical_bic(np.array([10, 10]), s, 2) for s in (0.1, 10.0))
+    assert good > bad and linear.spherical_bic(np.array([1, 1]), 0.0, 1) == -math.inf
+    assert linear.near_zero(np.array([0.0, 1e-4, 0.5])) == 2
+
+
+def test_agreement(spark):
+    ratings = spark.createDataFrame([("a", "no", 1.0), ("a", "no", 3.0), ("b", "no", 4.0), ("c", "yes", 9.0), ("d", "no", 0.5)], "onset string, kind string, rating double")
+    scores = spark.createDataFrame([("a", -3.0, 1), ("a", -1.0, 2), ("b", -0.5, 3)], "onset string, score double, line int")
+    got = evaluation.agreement(ratings, scores, "onset", "kind", "no", "rating", "score", "line").first()
+    assert got["tau"] == pytest.approx(-1 / 3) and got["r"] == pytest.approx(np.corrcoef([2, 4, 0.5], [-1, -0.5, 0])[0, 1])
+    assert evaluation.long_form(ratings, ["onset"], ["rating"]).count() == 5
+    row = spark.createDataFrame([(["a", "x"],)], "p array<string>")
+    assert evaluation.looked_up(row, "p", {"a": 1.5}, "v").first()["v"] == [1.5, None]

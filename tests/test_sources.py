@@ -15,6 +15,8 @@ def test_text_files(spark, tmp_path):
     forms = [r["form"] for r in text.read_forms(spark, str(tmp_path / "w.txt")).collect()]
     assert forms == ["#.S.T.#.", "#.S.T.R.#.", "#.K.#."]
     assert {r["phone"] for r in text.read_inventory(spark, str(tmp_path / "w.txt")).collect()} == {"S", "T", "R", "K", "x"}
+    assert [r["phone"] for r in text.read_phone_file(spark, str(tmp_path / "w.txt")).collect()] == ["S", "T", "x"]
+    assert "#.!.K.!.#." in {r["form"] for r in text.read_test_forms(spark, str(tmp_path / "w.txt")).collect()}
     (tmp_path / "r.csv").write_bytes(b"a,b\rx,1\ry,2\r")
     assert text.read_ratings(spark, str(tmp_path / "r.csv")).count() == 2
     (tmp_path / "p.tsv").write_text("front\tV:hi,lo\n")
