@@ -222,15 +222,16 @@ def shingle_digests(text: bytes, words: int) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """doc_id, fp (first word), wide (all words)."""
+    """doc_id, fp (first word), wide (array of all words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             digests = [shingle_digests(t, words) for t in text_bytes(batch).to_pylist()]
-            wide = np.array([wide_counts(d, width) if d else np.zeros(width, np.uint64) for d in digests])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide[:, 0].view(np.int64)), pa.array([w.tobytes() for w in wide], pa.binary())], ["doc_id", "fp", "wide"])
+            wide = np.array([wide_counts(d, width) if d else np.zeros(width, np.uint64) for d in digests]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, width, dtype=np.int32)), pa.array(wide.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(wide[:, 0])), lists], ["doc_id", "fp", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, wide binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, wide array<long>")
 
 
 def wide_buckets(distinct: DataFrame, width: int) -> DataFrame:
@@ -242,7 +243,7 @@ def wide_buckets(distinct: DataFrame, width: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 fps = part.column(0).to_numpy(zero_copy_only=False)
-                words = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(len(fps), width)
+                words = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)[:, : tables * 46].reshape(len(fps), -1, 23)
                 keys = segment_keys((bits @ (1 << np.arange(22, -1, -1))).ravel()).reshape(len(fps), -1, 6)
                 a, b = keys[:, ::2, :, None], keys[:, 1::2, None, :]
@@ -273,17 +274,20 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return joined.mapInArrow(run, "fp long, shingles array<long>").groupBy("fp").agg(F.min("shingles").alias("shingles"))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 6, most: int = 18) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 6, most: int = 18, share: float = 0.22) -> DataFrame:
     """doc_id, component_id: documents linked by a Jaccard index of their shingle sets of at least `similarity`.
 
     At an index of 0.8 a bit differs with a chance of 0.15, too often for the keys of one fingerprint. So the fingerprint has
     `width` words; the Golay keys of each two of its 23-bit segments make a table, and two such documents miss each other in all
     eight tables of six words with a chance under 0.03. Those that meet and differ in at most `most` bits of the first word
-    are verified on their whole shingle sets.
+    and a `share` of all bits (nearly four deviations above what an index of 0.8 gives) are verified on their whole shingle sets.
     """
     fps = stage(wide_fingerprints(docs, words, width))
     first = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("wide").alias("wide")))
-    pairs = stage(links(wide_buckets(first, width), most, verified=False).distinct())
+    met = links(wide_buckets(first, width), most, verified=False).distinct()
+    met = met.join(first.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    pairs = stage(met.filter(differ <= int(share * 64 * width)).select("a", "b"))
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(first.select("doc_id", "fp"), "fp")
     sets = stage(shingle_sets(docs, nodes, words))
     both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
