@@ -41,7 +41,7 @@ def simple(text: str) -> bool:
 class Cached(dict):
     """piece -> value, two generations of at most `most` entries; `find` computes what neither has."""
 
-    def __init__(self, find: Callable[[str], bytes], most: int = 300_000) -> None:
+    def __init__(self, find: Callable[[str], bytes], most: int = 200_000) -> None:
         super().__init__()
         self.find, self.most, self.old = find, most, {}
 

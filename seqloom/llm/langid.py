@@ -189,7 +189,7 @@ def fit(train: DataFrame, buckets: int = 1 << 14, steps: int = 10, rate: float =
 _SEEN: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
-def word_scores(words: list[str], model: Field, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+def word_scores(words: list[str], model: Field, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(row of each word, label scores by row); rows are kept for the next batches of this worker. Row 0: not letters."""
     if model.key not in _SEEN or len(_SEEN[model.key][0]) > most:
         _SEEN.clear()
@@ -224,7 +224,7 @@ def predict(docs: DataFrame, model: Field | None, text: str = "text", to: tuple[
     schema = docs.select("*", F.lit("").alias(to[0]), F.lit(0.0).alias(to[1])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, 512 << 10):
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             found = document_labels(texts, sent.value) if sent.value else ([UNKNOWN] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], [*b.schema.names, *to])

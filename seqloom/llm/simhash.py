@@ -202,12 +202,15 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
 
 def wide_counts(digests: bytes, words: int) -> np.ndarray:
     """SimHash of shingle digests in `words` words of 64 bits: the first from the digests, the others from mixes of them."""
-    h = np.frombuffer(digests, ">u8").astype(np.uint64)[:, None] * WIDE[:words]
-    h[:, 1:] ^= h[:, 1:] >> np.uint64(32)
-    h[:, 1:] *= np.uint64(0xD6E8FEB86659FD93)
-    lanes = h.astype(">u8").view(np.uint8).reshape(len(h), -1)
-    hist = np.bincount((lanes + np.arange(lanes.shape[1]) * 256).ravel(), minlength=256 * lanes.shape[1]).reshape(-1, 256)
-    return np.packbits(2 * (hist @ BYTE_BITS).ravel() > len(h)).view(">u8").astype(np.uint64)
+    all_of = np.frombuffer(digests, ">u8").astype(np.uint64)
+    hist = np.zeros(256 * 8 * words, np.int64)
+    for lo in range(0, len(all_of), 2048):
+        h = all_of[lo : lo + 2048, None] * WIDE[:words]
+        h[:, 1:] ^= h[:, 1:] >> np.uint64(32)
+        h[:, 1:] *= np.uint64(0xD6E8FEB86659FD93)
+        lanes = h.astype(">u8").view(np.uint8).reshape(len(h), -1)
+        hist += np.bincount((lanes + np.arange(8 * words) * 256).ravel(), minlength=len(hist))
+    return np.packbits(2 * (hist.reshape(-1, 256) @ BYTE_BITS).ravel() > len(all_of)).view(">u8").astype(np.uint64)
 
 
 def shingle_digests(text: bytes, words: int) -> bytes:
