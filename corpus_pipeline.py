@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.bytebpe import encoded
+from seqloom.llm.jaccard import near_deduplicated
 from seqloom.llm.langid import identified
 from seqloom.llm.mixing import mixed_documents
-from seqloom.llm.simhash import near_deduplicated
 from seqloom.llm.substrings import deduplicated
 from seqloom.sources import read_table, stage
 

@@ -1,0 +1,222 @@
+"""Near-duplicates by the Jaccard index of shingle sets, joined without a miss.
+
+Shingles have one order over all documents, rare before common. Two sets with an index of `similarity` s or more share a shingle
+among the first n - ceil(s n) + 1 of each (n: a set's size), so under these shingles all such pairs meet. Of those that
+meet, the first of a bucket is held against the rest; then every two of a bucket that verified links have not joined yet are
+held against each other, but for those that their sizes or the parities of their shingles' hashes rule out. Links
+are verified on whole shingle sets, and only verified links join documents. A set is known by a 128-bit hash.
+
+Defined results: null and empty texts and texts without a word are one empty set; fewer words than a shingle are one
+shingle; rows are told apart by doc_id and text, a null doc_id included; the row that names a component is the one with the least
+doc_id, null after all others, then the least hash of its text. An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from seqloom.llm.arrow import blocks, text_bytes
+from seqloom.llm.components import components
+from seqloom.llm.fingerprint import packed
+from seqloom.sources import stage
+
+SEED = 42
+#: Bits of the parities of a set, and the slack of comparisons of fractions.
+MARKS, SLACK = 512, 1e-9
+
+
+def row_hash(text: str = "text") -> Column:
+    """128 bits of the whole text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def shingle_digests(text: bytes, words: int) -> bytes:
+    """XXH64 of each shingle, big-endian, one after the other."""
+    found = text.lower().split()
+    if len(found) <= words:
+        return xxhash.xxh64_digest(b" ".join(found), SEED) if found else b""
+    joined, digest = b" ".join(found), xxhash.xxh64_digest
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[:-words])).tolist()
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())])
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, in order."""
+    return np.unique(np.frombuffer(shingle_digests(text, words), ">u8").astype(np.int64))
+
+
+def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that recur in a sample of documents, sorted, and how often. They only put shingles in order: any order gives the same links."""
+    every = max(1, docs.count() // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            sets = [shingle_set(t, words) for t in text_bytes(batch).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["shingle"])
+
+    few = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(run, "shingle long")
+    rows = few.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(most).collect()
+    rows = sorted((r["shingle"], r["count"]) for r in rows)
+    return np.array([s for s, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def leading(shingles: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, one of which every set of the given similarity shares."""
+    n, (known, times) = len(shingles), common
+    if not n:
+        return shingles
+    often = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        often = np.where(known[at] == shingles, times[at], 0)
+    return shingles[np.argsort(often, kind="stable")[: n - math.ceil(similarity * n - SLACK) + 1]]
+
+
+def sets_of(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, row, node (hash of the shingle set), n (its size), marks (parities), lead of every row."""
+    common = common_shingles(docs, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            sets = [shingle_set(t, words) for t in text_bytes(batch).to_pylist()]
+            node = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            marks = [np.packbits(np.bincount(s & (MARKS - 1), minlength=MARKS).astype(np.uint8) & 1).tobytes() for s in sets]
+            lead = [leading(s, similarity, common) for s in sets]
+            columns = [pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.binary()), pa.array(lead, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "row", "node", "n", "marks", "lead"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row binary, node binary, n int, marks binary, lead array<long>")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole shingle sets have the similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "named"), "node")
+    wanted = wanted.select("node", F.col("named.doc_id").alias("_id"), F.col("named.row").alias("_row"))
+    bodies = packed(docs.select("doc_id", row_hash().alias("row"), "text"))
+    found = bodies.join(wanted, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
+        for b in blocks(batches, "body", 1 << 19):
+            sets = [shingle_set(unzip.decompress(body), words) for body in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    sets = stage(found.mapInArrow(run, "node binary, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles")))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return stage(both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - SLACK).select("a", "b"))
+
+
+def pairs_of(size: np.ndarray, root: np.ndarray, block: np.ndarray, marks: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a bucket in order of size: each with the later ones that could be alike and that nothing has joined to it yet."""
+    upto = np.searchsorted(size, size / similarity + SLACK, "right")
+    for i in range(len(size)):
+        j = np.arange(i + 1, upto[i])
+        j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (block[j] < 0))]
+        if len(j):
+            total = size[i] + size[j]
+            shared = (total - np.bitwise_count(marks[j] ^ marks[i]).sum(axis=1, dtype=np.int64)) // 2  # at most
+            j = j[shared >= similarity * (total - shared) - SLACK]
+            if len(j):
+                yield i, j
+
+
+def open_pairs(met: DataFrame, nodes: DataFrame, joined: DataFrame, similarity: float, most: int = 2000) -> DataFrame:
+    """Candidates a, b of the buckets that hold more than one component; buckets of over `most` are dealt as pairs of blocks."""
+    rows = met.filter("size > 2").select("token", "node", "n", "size").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    bucket = Window.partitionBy("token")
+    rows = rows.withColumn("least", F.min("root").over(bucket)).withColumn("last", F.max("root").over(bucket)).filter("least <> last")
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # inside a block all rows meet (-1); in a pair of blocks only rows of different ones
+    rows = rows.select(F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("key"), F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("block"), "node", "root", "n")
+    rows = rows.join(nodes.select("node", "marks"), "node").select("key", "block", "node", "root", "n", "marks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys, size, block = (t.column(c).to_numpy() for c in ("key", "n", "block"))
+            roots: dict[bytes, int] = {}
+            root = np.array([roots.setdefault(r, len(roots)) for r in t.column("root").to_pylist()], np.int64)
+            marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), np.uint64).reshape(len(keys), -1)
+            node = t.column("node").combine_chunks()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                s = slice(lo, hi)
+                a: list[int] = []
+                b: list[np.ndarray] = []
+                for i, j in pairs_of(size[s].astype(np.int64), root[s], block[s], marks[s], similarity):
+                    a += [lo + i] * len(j)
+                    b.append(lo + j)
+                    if len(a) > 20_000:
+                        yield ordered(node, a, b)
+                        a, b = [], []
+                if a:
+                    yield ordered(node, a, b)
+
+        def ordered(node: pa.Array, a: list[int], b: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(np.concatenate(b)))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last bucket may go on in the next batch
+            if held and (cut or keys[0] != held[-1].column(0)[-1].as_py()):
+                yield from emit(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from emit(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from emit(pa.Table.from_batches(held))
+
+    pairs = rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, "a binary, b binary")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, row (hash of the text), named (doc_id and row that name the component) of every row of `docs`."""
+    rows = stage(sets_of(docs, words, similarity))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    nodes = stage(rows.groupBy("node").agg(F.min(name).alias("named"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("lead").alias("lead")))
+    bucket = Window.partitionBy("token")
+    met = nodes.select(F.explode("lead").alias("token"), "node", "n").withColumn("size", F.count("*").over(bucket)).filter("size > 1")
+    met = stage(met.withColumn("center", F.min(F.struct("node", "n")).over(bucket)))
+    fits = F.least("n", "center.n") >= similarity * F.greatest("n", "center.n") - SLACK
+    pairs = stage(met.filter((F.col("node") != F.col("center.node")) & fits).select(F.col("center.node").alias("a"), F.col("node").alias("b")).distinct())
+    edges = verified(docs, nodes, pairs, words, similarity)
+    joined = stage(components(edges))
+    others = stage(open_pairs(met, nodes, joined, similarity).join(pairs, ["a", "b"], "left_anti"))
+    if not others.isEmpty():
+        joined = components(edges.union(verified(docs, nodes, others, words, similarity)))
+    linked = nodes.select("node", "named").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = linked.join(linked.groupBy("root").agg(F.min("named").alias("least")), "root").select("node", F.col("least").alias("named"))
+    return rows.select("doc_id", "row", "node").join(names, "node").select("doc_id", "row", F.struct("named.doc_id", "named.row").alias("named"))
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: documents linked by a Jaccard index of their shingle sets of at least `similarity`."""
+    return similar_rows(docs, words, similarity).select("doc_id", F.col("named.doc_id").alias("component_id"))
+
+
+def near_deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row that names it stays, once."""
+    found = similar_documents(docs, words, similarity).groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0)).alias("stays"), F.count("*").alias("n"))
+    found = stage(found.filter("doc_id IS NOT NULL AND (stays = 0 OR n > 1)").withColumnRenamed("doc_id", "_id"))
+    kept = docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
+    if found.filter("stays = 1").isEmpty():
+        return kept
+    repeated = docs.join(found.filter("stays = 1"), docs["doc_id"] == found["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(repeated)

@@ -21,22 +21,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.components import components
-from seqloom.llm.fingerprint import packed
+from seqloom.llm.jaccard import near_deduplicated  # noqa: F401
 from seqloom.sources import read_table, stage
 
 # fixed values: the generator polynomial of the code and the cut of a fingerprint into (shift, bits)
 GENERATOR = 0b101011100011
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 SEED = 42
-#: Odd factors from which the further words of a wide fingerprint are mixed; the first leaves a hash as it is.
-WIDE = np.array([1] + [0x9E3779B97F4A7C15 + 0x632BE59BD9B4E018 * k & (1 << 64) - 1 for k in range(1, 8)], np.uint64)
-BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -154,9 +150,8 @@ def run_links(fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarr
                 left = left[~near]
 
 
-def links(buckets: DataFrame, most: int, small: int = 12, verified: bool = True) -> DataFrame:
-    """Links a, b between distinct fingerprints with at most `most` differing bits: a spanning forest for each task, or
-    for each large bucket alone if they are candidates that are yet to be verified."""
+def links(buckets: DataFrame, most: int, small: int = 12) -> DataFrame:
+    """Links a, b between distinct fingerprints with at most `most` differing bits: a spanning forest for each task."""
 
     def bucket_pairs(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -175,7 +170,7 @@ def links(buckets: DataFrame, most: int, small: int = 12, verified: bool = True)
         forest, keys, fps = Forest(), np.empty(0, np.int64), np.empty(0, np.uint64)
 
         def emit(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            pairs = [(x, y) for a, b in bucket_pairs(keys, fps) for x, y in zip(a.tolist(), b.tolist()) if not verified or forest.joins(x, y)]
+            pairs = [(x, y) for a, b in bucket_pairs(keys, fps) for x, y in zip(a.tolist(), b.tolist()) if forest.joins(x, y)]
             a, b = (np.array([p[k] for p in pairs], np.uint64).view(np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -200,105 +195,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame
     return named(fps, first, parts).select("doc_id", "fp", "component_id")
 
 
-def wide_counts(digests: bytes, words: int) -> np.ndarray:
-    """SimHash of shingle digests in `words` words of 64 bits: the first from the digests, the others from mixes of them."""
-    all_of = np.frombuffer(digests, ">u8").astype(np.uint64)
-    hist = np.zeros(256 * 8 * words, np.int64)
-    for lo in range(0, len(all_of), 2048):
-        h = all_of[lo : lo + 2048, None] * WIDE[:words]
-        h[:, 1:] ^= h[:, 1:] >> np.uint64(32)
-        h[:, 1:] *= np.uint64(0xD6E8FEB86659FD93)
-        lanes = h.astype(">u8").view(np.uint8).reshape(len(h), -1)
-        hist += np.bincount((lanes + np.arange(8 * words) * 256).ravel(), minlength=len(hist))
-    return np.packbits(2 * (hist.reshape(-1, 256) @ BYTE_BITS).ravel() > len(all_of)).view(">u8").astype(np.uint64)
-
-
-def shingle_digests(text: bytes, words: int) -> bytes:
-    """XXH64 of each shingle, big-endian, one after the other."""
-    found = text.lower().split()
-    if len(found) <= words:
-        return xxhash.xxh64_digest(b" ".join(found), SEED) if found else b""
-    joined, digest = b" ".join(found), xxhash.xxh64_digest
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = np.concatenate(([0], ends[:-words])).tolist()
-    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())])
-
-
-def wide_fingerprints(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """doc_id, fp (first word), wide (array of all words)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            digests = [shingle_digests(t, words) for t in text_bytes(batch).to_pylist()]
-            wide = np.array([wide_counts(d, width) if d else np.zeros(width, np.uint64) for d in digests]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, width, dtype=np.int32)), pa.array(wide.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(wide[:, 0])), lists], ["doc_id", "fp", "wide"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, wide array<long>")
-
-
-def wide_buckets(distinct: DataFrame, width: int) -> DataFrame:
-    """fp, wide to key, fp: the key pairs of segments 2k and 2k + 1 of 23 bits, for all k."""
-    tables = width * 64 // 46
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                fps = part.column(0).to_numpy(zero_copy_only=False)
-                words = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                bits = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(len(fps), -1), axis=1)[:, : tables * 46].reshape(len(fps), -1, 23)
-                keys = segment_keys((bits @ (1 << np.arange(22, -1, -1))).ravel()).reshape(len(fps), -1, 6)
-                a, b = keys[:, ::2, :, None], keys[:, 1::2, None, :]
-                row, table, i, j = np.nonzero((a >= 0) & (b >= 0))
-                key = (table << 24) | (keys[row, 2 * table, i] << 12) | keys[row, 2 * table + 1, j]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row])], ["key", "fp"])
-
-    return distinct.select("fp", "wide").mapInArrow(run, "key long, fp long")
-
-
-def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """fp, shingles (distinct hashes) of the documents in `wanted` (doc_id, fp)."""
-    wanted = wanted.select(F.col("doc_id").alias("_id"), "fp")
-    joined = packed(docs.select("doc_id", "text")).join(wanted, F.col("doc_id") == F.col("_id")).select("body", "fp")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor()
-        for b in blocks(batches, "body", 1 << 19):
-            sets, fps = [], []
-            for body, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                digests = shingle_digests(unzip.decompress(body), words)
-                own = wide_counts(digests, 1)[0] if digests else np.uint64(0)
-                if int(own.astype(np.int64)) == fp:  # not another text under the same doc_id
-                    sets.append(np.unique(np.frombuffer(digests, ">u8").astype(np.int64)) if digests else np.empty(0, np.int64))
-                    fps.append(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
-
-    return joined.mapInArrow(run, "fp long, shingles array<long>").groupBy("fp").agg(F.min("shingles").alias("shingles"))
-
-
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 6, most: int = 18, share: float = 0.22) -> DataFrame:
-    """doc_id, component_id: documents linked by a Jaccard index of their shingle sets of at least `similarity`.
-
-    At an index of 0.8 a bit differs with a chance of 0.15, too often for the keys of one fingerprint. So the fingerprint has
-    `width` words; the Golay keys of each two of its 23-bit segments make a table, and two such documents miss each other in all
-    eight tables of six words with a chance under 0.03. Those that meet and differ in at most `most` bits of the first word
-    and a `share` of all bits (nearly four deviations above what an index of 0.8 gives) are verified on their whole shingle sets.
-    """
-    fps = stage(wide_fingerprints(docs, words, width))
-    first = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("wide").alias("wide")))
-    met = links(wide_buckets(first, width), most, verified=False).distinct()
-    met = met.join(first.select(F.col("fp").alias("a"), F.col("wide").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("wide").alias("y")), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    pairs = stage(met.filter(differ <= int(share * 64 * width)).select("a", "b"))
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(first.select("doc_id", "fp"), "fp")
-    sets = stage(shingle_sets(docs, nodes, words))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    edges = both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    return named(fps, first.select("fp", F.col("doc_id").alias("first")), components(edges)).select("doc_id", "component_id")
-
-
 def named(fps: DataFrame, first: DataFrame, parts: DataFrame) -> DataFrame:
     """fps with component_id, the least doc_id of the linked fingerprints (node, root) or else of the fingerprint itself."""
     linked = parts.join(first, F.col("node") == F.col("fp")).select("node", "root", "first")
@@ -307,17 +203,6 @@ def named(fps: DataFrame, first: DataFrame, parts: DataFrame) -> DataFrame:
     return fps.join(stage(names.select("fp", F.coalesce("component_id", "first").alias("component_id"))), "fp")
 
 
-def near_deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row that names it stays, once."""
-    found = similar_documents(docs, words, similarity).groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0)).alias("stays"), F.count("*").alias("n"))
-    found = stage(found.filter("doc_id IS NOT NULL AND (stays = 0 OR n > 1)").withColumnRenamed("doc_id", "_id"))
-    kept = docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
-    if found.filter("stays = 1").isEmpty():
-        return kept
-    repeated = docs.join(found.filter("stays = 1"), docs["doc_id"] == found["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(repeated)
-
-
 def op9_simhash(spark, sf_dir) -> DataFrame:
     """The contract's columns for every document."""
     out = near_duplicates(read_table(spark, sf_dir, "documents"))

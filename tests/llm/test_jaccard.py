@@ -1,0 +1,55 @@
+"""The near-duplicate stage against brute force."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+from seqloom.llm import jaccard, simhash
+
+
+def shingles(text: str | None, words: int = 5) -> set[str]:
+    found = (text or "").lower().split()
+    return {" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def brute(texts: list[str | None], similarity: float = 0.8) -> list[int]:
+    """The component of each text, named by its first index."""
+    sets, forest = [shingles(t) for t in texts], simhash.Forest()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared, longest = len(a & sets[j]), max(len(a), len(sets[j]))
+            if a == sets[j] or shared >= similarity * longest and shared >= similarity * len(a | sets[j]):
+                forest.joins(i, j)
+    return [forest.root(i) for i in range(len(texts))]
+
+
+def fresh(r: random.Random, n: int) -> list[str]:
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+def family(r: random.Random, n: int) -> list[str]:
+    """A template of 200 words with 8 to 24 words changed: most pairs are below 0.8. Every fourth text has a near copy."""
+    base, out = fresh(r, 200), []
+    for k in range(n):
+        text = list(base)
+        for at in r.sample(range(200), 8 + k % 17):
+            text[at] = fresh(r, 1)[0]
+        out.append(" ".join(text))
+        if k % 4 == 0:
+            text[r.randrange(200)] = "changed"
+            out.append(" ".join(text))
+    return out
+
+
+def components_of(spark, texts: list[str | None]) -> list[int]:
+    got = dict(jaccard.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect())
+    return [got[i] for i in range(len(texts))]
+
+
+def test_template_family(spark):
+    """A family whose first texts are not alike loses no pair that is."""
+    texts = family(random.Random(1), 200)
+    expected = brute(texts)
+    assert 100 < len(set(expected)) < len(texts) - 40
+    assert components_of(spark, texts) == expected
