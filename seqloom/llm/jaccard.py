@@ -212,11 +212,16 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
 
 def near_deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row that names it stays, once."""
-    found = similar_documents(docs, words, similarity).groupBy("doc_id").agg(F.max(F.when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0)).alias("stays"), F.count("*").alias("n"))
-    found = stage(found.filter("doc_id IS NOT NULL AND (stays = 0 OR n > 1)").withColumnRenamed("doc_id", "_id"))
-    kept = docs.join(found, docs["doc_id"] == found["_id"], "left_anti")
-    if found.filter("stays = 1").isEmpty():
+    """The rows of `docs` without near-duplicates: of each component one row stays, with the doc_id and text that name it."""
+    names = (F.col("row") == F.col("named.row")) & F.col("doc_id").eqNullSafe(F.col("named.doc_id"))
+    found = similar_rows(docs, words, similarity).groupBy("doc_id", "row").agg(F.max(names).alias("stays"), F.count("*").alias("times"))
+    found = stage(found.filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "stays"))
+    keyed = docs.withColumn("_key", row_hash())
+    same = (F.col("_key") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    kept = keyed.join(found, same, "left_anti").select(docs.columns)
+    if found.filter("stays").isEmpty():
         return kept
-    repeated = docs.join(found.filter("stays = 1"), docs["doc_id"] == found["_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(repeated)
+    # rows of one doc_id and text: the least hash of the whole row stays, the same one in each run
+    repeated = keyed.join(found.filter("stays"), same, "left_semi")
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_whole")
+    return kept.unionByName(repeated.groupBy("doc_id", "_key").agg(least).select("_whole.*"))

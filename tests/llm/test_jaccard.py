@@ -73,3 +73,14 @@ def test_repeated_lines(spark):
     expected = brute(texts)
     assert len(set(expected)) == 25
     assert components_of(spark, texts) == expected
+
+
+def test_one_row_of_each_component(spark):
+    """Rows are told apart by doc_id and text: an id with two texts keeps both, and copies without an id leave one row."""
+    r = random.Random(3)
+    a, b, c = (" ".join(fresh(r, 100)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (None, c), (None, c), (None, c + " more"), (None, a), (2, b), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(x) for x in jaccard.near_deduplicated(docs).collect())
+    assert sum(got.values()) == 4 and got[1, a] == got[1, b] == got[3, None] == 1
+    assert got[None, c] + got[None, c + " more"] == 1
