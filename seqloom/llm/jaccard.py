@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.components import components
 from seqloom.llm.fingerprint import packed
-from seqloom.sources import stage
+from seqloom.sources import discard, stage
 
 SEED = 42
 #: Bits of the parities of a set, and the slack of comparisons of fractions.
@@ -114,7 +114,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, si
     sets = stage(found.mapInArrow(run, "node binary, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return stage(both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - SLACK).select("a", "b"))
+    out = stage(both.withColumn("shared", shared).filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared")) - SLACK).select("a", "b"))
+    discard(sets)
+    return out
 
 
 def pairs_of(size: np.ndarray, root: np.ndarray, block: np.ndarray, marks: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -191,9 +193,13 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Da
     rows = stage(sets_of(docs, words, similarity))
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     nodes = stage(rows.groupBy("node").agg(F.min(name).alias("named"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("lead").alias("lead")))
+    wide, rows = rows, stage(rows.select("doc_id", "row", "node"))
+    discard(wide)
     bucket = Window.partitionBy("token")
     met = nodes.select(F.explode("lead").alias("token"), "node", "n").withColumn("size", F.count("*").over(bucket)).filter("size > 1")
     met = stage(met.withColumn("center", F.min(F.struct("node", "n")).over(bucket)))
+    wide, nodes = nodes, stage(nodes.drop("lead"))
+    discard(wide)
     fits = F.least("n", "center.n") >= similarity * F.greatest("n", "center.n") - SLACK
     pairs = stage(met.filter((F.col("node") != F.col("center.node")) & fits).select(F.col("center.node").alias("a"), F.col("node").alias("b")).distinct())
     edges = verified(docs, nodes, pairs, words, similarity)
