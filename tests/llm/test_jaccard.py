@@ -84,3 +84,14 @@ def test_one_row_of_each_component(spark):
     got = Counter(tuple(x) for x in jaccard.near_deduplicated(docs).collect())
     assert sum(got.values()) == 4 and got[1, a] == got[1, b] == got[3, None] == 1
     assert got[None, c] + got[None, c + " more"] == 1
+
+
+def test_pipeline_rows(spark, data):
+    """The stage keeps the row of the least doc_id of every component of brute force."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = sorted(docs.collect())
+    roots = brute([r["text"] for r in rows])
+    kept = corpus_pipeline.near_dedup(spark, docs, data).collect()
+    assert sorted(r["doc_id"] for r in kept) == [rows[i]["doc_id"] for i in sorted(set(roots))] and len(kept) < len(rows)
