@@ -406,4 +406,4 @@ def cluster_symbol_axes(spark, d):
 @query()
 def fit_maxent(spark, d):
     m = _model(spark, d)
-    return fitting.fit(m["target"], m["violations"], ModelConfig(n_iter=200))
+    return fitting.fit(m["target"], m["violations"], ModelConfig())
