@@ -15,7 +15,6 @@ a doc_id each get a row; an empty table gives an empty result. Only doc_id and t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -26,11 +25,11 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.components import components
-from seqloom.llm.jaccard import near_deduplicated  # noqa: F401
+from seqloom.llm.golay import segment_keys
+from seqloom.llm.neardup import near_deduplicated  # noqa: F401
 from seqloom.sources import read_table, stage
 
-# fixed values: the generator polynomial of the code and the cut of a fingerprint into (shift, bits)
-GENERATOR = 0b101011100011
+# fixed values: the cut of a fingerprint into (shift, bits)
 SEGMENTS = ((41, 23), (18, 23), (0, 18))
 SEED = 42
 
@@ -64,32 +63,6 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def remainder(x: np.ndarray) -> np.ndarray:
-    """Syndrome: the remainder of 23-bit words by the generator polynomial."""
-    x = x.copy()
-    for bit in range(22, 10, -1):
-        x = np.where(x >> bit & 1, x ^ (GENERATOR << (bit - 11)), x)
-    return x
-
-
-@cache
-def near_errors() -> np.ndarray:
-    """For each syndrome, the error patterns of weight up to four that have it: one, or one and five (-1 fills up)."""
-    table, used = np.full((2048, 6), -1, np.int64), np.zeros(2048, np.int64)
-    for weight in range(5):
-        patterns = np.array([sum(1 << b for b in c) for c in combinations(range(23), weight)], np.int64)
-        for s, e in zip(remainder(patterns).tolist(), patterns.tolist()):
-            table[s, used[s]] = e
-            used[s] += 1
-    return table
-
-
-def segment_keys(segments: np.ndarray) -> np.ndarray:
-    """Codeword indices within four bits of each 23-bit word, -1 for none, in six columns."""
-    errors = near_errors()[remainder(segments)]
-    return np.where(errors < 0, -1, (segments[:, None] ^ errors) >> 11)
-
-
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every key pair of every fingerprint."""
     keys = [segment_keys((fps.view(np.uint64) >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)) for shift, bits in SEGMENTS]

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seqloom.llm import bytebpe, fingerprint, langid, mixing, neighbours, simhash, substrings, token_counts, token_files, url_filter
+from seqloom.llm import bytebpe, fingerprint, golay, langid, mixing, neighbours, simhash, substrings, token_counts, token_files, url_filter
 from seqloom.llm.components import components
 from seqloom.llm.queries import QUERIES
 from seqloom.sources import read_table, work_dir
@@ -345,7 +345,7 @@ def test_golay_keys():
     x = rng.integers(0, 1 << 23, 400)
     for errors in (0, 1, 2):
         flips = np.array([sum(1 << int(b) for b in rng.choice(23, errors, replace=False)) for _ in x], np.int64)
-        for a, b in zip(simhash.segment_keys(x), simhash.segment_keys(x ^ flips)):
+        for a, b in zip(golay.segment_keys(x), golay.segment_keys(x ^ flips)):
             assert set(a[a >= 0]) & set(b[b >= 0])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
-from seqloom.llm import jaccard, simhash
+from seqloom.llm import neardup, simhash
 
 
 def shingles(text: str | None, words: int = 5) -> set[str]:
@@ -45,7 +45,7 @@ def family(r: random.Random, n: int) -> list[str]:
 
 
 def components_of(spark, texts: list[str | None]) -> list[int]:
-    got = dict(jaccard.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect())
+    got = dict(neardup.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect())
     return [got[i] for i in range(len(texts))]
 
 
@@ -81,7 +81,7 @@ def test_one_row_of_each_component(spark):
     a, b, c = (" ".join(fresh(r, 100)) for _ in range(3))
     rows = [(1, a), (1, b), (1, a), (None, c), (None, c), (None, c + " more"), (None, a), (2, b), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = Counter(tuple(x) for x in jaccard.near_deduplicated(docs).collect())
+    got = Counter(tuple(x) for x in neardup.near_deduplicated(docs).collect())
     assert sum(got.values()) == 4 and got[1, a] == got[1, b] == got[3, None] == 1
     assert got[None, c] + got[None, c + " more"] == 1
 
