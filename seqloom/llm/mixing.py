@@ -5,8 +5,8 @@ taken first; the rest of the budget is a threshold on the hash, found by summing
 picking the bucket in which the running sum crosses the budget, and refining that bucket alone. No documents are sorted.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, after all
-others; rows that repeat a doc_id share its hash and are taken together; a null doc_id has a hash like any other value;
-an empty table gives an empty result. Only the three named columns are read, so other columns can't clash.
+others; rows that repeat a doc_id, null included, have hashes of their own by their texts, and rows equal in these by their ordinal, which is any
+order of theirs, as they are alike; an empty table gives an empty result. Only the three named columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,9 +25,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_hash(doc_id: Column, seed: str) -> Column:
-    """60 bits, the same on every run and in every engine that has md5."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+def row_name(doc_id: Column, text: Column, source: Column, seed: str) -> Column:
+    """What a row's hash is made of, its ordinal aside; the same in every engine that has md5."""
+    return F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))), source_key(source))
+
+
+def hashed(rows: DataFrame, name: Column, to: str) -> DataFrame:
+    """The rows with 60 bits of the hash of their name and ordinal, as column `to`; rows of one name are numbered from 1.
+
+    Only names that repeat need numbers. Their equal rows are counted before they are numbered, so a hot name is few rows by then.
+    """
+    columns, named = rows.columns, rows.withColumn("_mix_name", name)
+    bits = lambda at: F.conv(F.substring(F.md5(F.concat("_mix_name", F.lit("#"), at.cast("string"))), 1, 15), 16, 10).cast("long").alias(to)
+    repeated = stage(named.groupBy(F.xxhash64("_mix_name").alias("_mix_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_mix_key"))
+    keyed = named.withColumn("_mix_key", F.xxhash64("_mix_name"))
+    if repeated.isEmpty():
+        return named.select(*[named[c] for c in columns], bits(F.lit(1)))
+    once = keyed.join(repeated, "_mix_key", "left_anti").select(*columns, bits(F.lit(1)))
+    some = keyed.join(repeated, "_mix_key", "left_semi").groupBy(*columns, "_mix_name").agg(F.count("*").alias("_mix_n"))
+    before = Window.partitionBy("_mix_name").orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, -1)
+    some = some.withColumn("_mix_lo", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)))
+    some = some.withColumn("_mix_at", F.explode(F.sequence(F.col("_mix_lo") + 1, F.col("_mix_lo") + F.col("_mix_n"))))
+    return once.union(some.select(*columns, bits(F.col("_mix_at"))))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
@@ -79,7 +98,8 @@ def thresholds(sizes: DataFrame, src: DataFrame) -> DataFrame:
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...], max_epochs: int, seed: str) -> tuple[DataFrame, DataFrame]:
     """doc_id, source, skey, size, h of every document, and a row a source: skey, source_size, target, epochs, threshold."""
-    sizes = stage(docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), seed).alias("h")))
+    rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), word_count(F.col("text")).alias("size"), row_name(F.col("doc_id"), F.col("text"), F.col("source"), seed).alias("name"))
+    sizes = stage(hashed(stage(rows), F.col("name"), "h").drop("name"))
     src = stage(source_targets(sizes, weights, max_epochs))
     return sizes, stage(src.join(thresholds(sizes, src), "skey", "left").drop("source", "need"))
 
@@ -99,10 +119,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
     """The rows of `docs` that the mix takes, each as often as the mix takes it; only the plan, a row a source, meets the texts."""
     _, plan = mix_plan(docs, weights, max_epochs, seed)
     plan = plan.select(F.col("skey").alias("_mix_key"), F.col("epochs").alias("_mix_epochs"), F.col("threshold").alias("_mix_threshold"))
-    rows = docs.join(plan, source_key(docs["source"]) == F.col("_mix_key"))
-    times = taken_epochs(row_hash(docs["doc_id"], seed), F.col("_mix_epochs"), F.col("_mix_threshold")).cast("int")
+    own = hashed(docs, row_name(F.col("doc_id"), F.col("text"), F.col("source"), seed), "_mix_h")
+    rows = own.join(plan, source_key(F.col("source")) == F.col("_mix_key"))
+    times = taken_epochs(F.col("_mix_h"), F.col("_mix_epochs"), F.col("_mix_threshold")).cast("int")
     rows = rows.withColumn("_mix_times", times).filter("_mix_times > 0")
-    return rows.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*[docs[c] for c in docs.columns])
+    return rows.withColumn("_mix_time", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)
 
 
 def op6_mix_sources(spark, sf_dir) -> DataFrame:
@@ -115,8 +136,8 @@ def op6_mix_sources(spark, sf_dir) -> DataFrame:
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
-  FROM documents),
+         ('0x' || substr(md5(name || '#' || row_number() OVER (PARTITION BY name)), 1, 15))::BIGINT AS h
+  FROM (SELECT *, 'mix' || coalesce(doc_id::VARCHAR, '') || md5(coalesce(text, '')) || coalesce('s' || source, 'n') AS name FROM documents)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::BIGINT AS cap FROM s),
 r AS (SELECT *, cap / weight AS ratio FROM w),
