@@ -190,7 +190,7 @@ _SEEN: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
 
 
 def word_scores(words: list[str], model: Field, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each word, label scores by row); rows are kept for the next batches of this worker. Row 0: not letters."""
+    """(row of each word, label scores by row); rows are kept for the next batches of this worker. Row 0: no letter."""
     if model.key not in _SEEN or len(_SEEN[model.key][0]) > most:
         _SEEN.clear()
         _SEEN[model.key] = ({}, [np.zeros((1, len(model.labels)))])
@@ -200,7 +200,7 @@ def word_scores(words: list[str], model: Field, most: int = 200_000) -> tuple[np
         at = sum(map(len, parts))
         parts.append(emissions(new, model))
         parts[:] = [np.concatenate(parts)] if len(parts) > 64 else parts
-        rows.update((w, at + i if w.isalpha() else 0) for i, w in enumerate(new))
+        rows.update((w, at + i if any(map(str.isalpha, w)) else 0) for i, w in enumerate(new))
     return np.fromiter(map(rows.__getitem__, words), np.int64, len(words)), np.concatenate(parts) if len(parts) > 1 else parts[0]
 
 
