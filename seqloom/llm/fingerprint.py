@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, text_bytes
-from seqloom.llm.ordered import with_followers
+from seqloom.llm.ordered import part_before, range_bounds, range_parts
 from seqloom.sources import read_table
 
 BASE = 0x9E3779B97F4A7C15
@@ -142,13 +142,35 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.select(*rest, F.lit(b"").alias("body")).schema)
 
 
+def with_followers(docs: DataFrame, parts: int) -> DataFrame:
+    """doc_id, part, order, tie, body. Rows with the id that opens a part are also sent to the part before it, with order 1.
+
+    Sorted by part, order, doc_id and tie, the row after a row of order 0 is its follower, and the one after the last row is the first.
+    """
+    bounds = range_bounds(docs.select("doc_id"), "doc_id", parts)
+    before = part_before(docs, "doc_id", bounds)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in blocks(batches):
+            body = pa.array([press.compress(t) for t in text_bytes(b).to_pylist()], pa.binary())
+            n, part = b.num_rows, range_parts(b.column(0), bounds)
+            sent = [(i, before[v]) for i, v in enumerate(b.column(0).to_pylist()) if v in before]
+            take = pa.array([*range(n), *[i for i, _ in sent]], pa.int64())
+            part = np.concatenate((part, np.array([p for _, p in sent], np.int32)))
+            order = np.repeat(np.array([0, 1], np.int32), [n, len(sent)])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(part), pa.array(order), b.column(2).take(take), body.take(take)], ["doc_id", "part", "order", "tie", "body"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, f"doc_id {kind}, part int, order int, tie long, body binary")
+
+
 def edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of `docs`."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = with_followers(docs.select("doc_id", "text"), "doc_id", parts).withColumn("tie", F.xxhash64("text"))
-    rows = packed(rows).repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", "_order", F.asc_nulls_first("doc_id"), "tie")
+    rows = with_followers(docs, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "order", F.asc_nulls_first("doc_id"), "tie")
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +180,7 @@ def edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
             schema = schema or pa.schema([(n, t) for n, t in zip(names, (big.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))])
             for b in blocks([big], "body", 1 << 20):
                 out = []
-                for i, body, order in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "body", "_order")]):
+                for i, body, order in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "body", "order")]):
                     if before is None and order:
                         continue  # a second row with the opening id
                     now = Parsed(unpack.decompress(body).decode())

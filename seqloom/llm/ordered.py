@@ -1,40 +1,49 @@
-"""Partitions in ascending doc_id order in which every row meets the row after it."""
+"""Ranges of ascending doc_id in which every row meets the row after it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def range_bounds(ids: DataFrame, name: str, parts: int) -> list:
+def range_bounds(ids: DataFrame, name: str, parts: int) -> np.ndarray:
     """At most parts - 1 quantiles of a column (a bounded list), read from that column alone."""
     if parts < 2:
-        return []
-    [row] = ids.agg(F.percentile_approx(name, [i / parts for i in range(1, parts)], 10_000)).collect()
-    return sorted(set(row[0] or []))
-
-
-def range_part(column: Column, bounds: list) -> Column:
-    """Number of bounds that are not above the value, 0 for null: equal values share a part."""
-    return F.coalesce(F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b <= column)), F.lit(0))
-
-
-def with_followers(rows: DataFrame, name: str, parts: int) -> DataFrame:
-    """The rows and columns `_part`, `_order`; rows with the id that opens a part are also sent to the part before it.
-
-    Sorted by _part, _order, `name` and a tie-breaker within partitions, the row after a row with _order 0 is its
-    follower, nulls first; the one after the last row is the first row. _order 1 marks the sent rows.
-    """
-    ids = rows.select(name)
-    bounds = range_bounds(ids, name, parts)
-    has_null = F.max(F.when(F.col(name).isNull(), 1).otherwise(0)).alias("has_null")
-    # one row a part, parts being a parameter
-    heads = ids.groupBy(range_part(F.col(name), bounds).alias("p")).agg(F.min(name).alias("i"), has_null).collect()
-    heads = sorted((r["p"], None if r["has_null"] else r["i"]) for r in heads)
-    part, to = range_part(F.col(name), bounds), F.lit(None).cast("int")
-    for k, (p, i) in enumerate(heads):
-        to = F.when((F.col("_part") == p) & F.col(name).eqNullSafe(F.lit(i)), F.lit(heads[k - 1][0])).otherwise(to)
-    here = F.struct(F.col("_part").alias("p"), F.lit(0).alias("o"))
-    rows = rows.withColumn("_part", part.cast("int"))
-    copies = F.when(to.isNull(), F.array(here)).otherwise(F.array(here, F.struct(to.alias("p"), F.lit(1).alias("o"))))
-    return rows.withColumn("_copy", F.explode(copies)).withColumns({"_part": F.col("_copy.p"), "_order": F.col("_copy.o")}).drop("_copy")
+        return np.empty(0, np.int64)
+    [row] = ids.agg(F.percentile_approx(F.col(name).cast("long"), [i / parts for i in range(1, parts)], 10_000)).collect()
+    return np.unique(np.array(row[0] or [], np.int64))
+
+
+def range_parts(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Number of bounds that are not above each id, 0 for null: equal ids share a part."""
+    at = np.searchsorted(bounds, pc.fill_null(ids.cast(pa.int64()), 0).to_numpy(zero_copy_only=False), "right")
+    return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32)
+
+
+def part_before(ids: DataFrame, name: str, bounds: np.ndarray) -> dict[int | None, int]:
+    """For the id that opens each part the part before it, the last one for the first: one entry a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple] = {}
+        for b in batches:
+            column = b.column(0).cast(pa.int64())
+            part = range_parts(column, bounds)
+            if column.null_count:
+                least[0] = (0, 0)
+            full = column.is_valid().to_numpy(zero_copy_only=False)
+            values, part = column.drop_null().to_numpy(), part[full]
+            order = np.lexsort((values, part))
+            first = order[np.flatnonzero(np.diff(part[order], prepend=-1))]
+            for p, v in zip(part[first].tolist(), values[first].tolist()):
+                least[p] = min(least.get(p, (1, v)), (1, v))
+        rows = [(p, *k) for p, k in least.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["part", "known", "id"])
+
+    found = ids.select(name).mapInArrow(run, "part int, known int, id long").groupBy("part").agg(F.min(F.struct("known", "id")).alias("k")).collect()
+    heads = sorted((r["part"], r["k"]["id"] if r["k"]["known"] else None) for r in found)
+    return {i: heads[k - 1][0] for k, (_, i) in enumerate(heads)}

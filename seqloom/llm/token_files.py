@@ -33,10 +33,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.arrow import blocks
+from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.bytebpe import byte_chars, default_path, simple
-from seqloom.llm.fingerprint import packed
-from seqloom.llm.ordered import range_bounds, range_part
+from seqloom.llm.ordered import range_bounds, range_parts
 from seqloom.sources import read_table, stage, work_dir
 
 MAGIC = int.from_bytes(b"SLTOKEN1", "little")
@@ -189,7 +188,14 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int, bits: int) -> np.ndarr
 def encoded_ranges(docs: DataFrame, path: str, end_id: int, parts: int) -> DataFrame:
     """part, at (place in the part), doc_id, ids (compressed), kept in the shared folder in the order of doc_id."""
     bounds = range_bounds(docs.select("doc_id"), "doc_id", parts)
-    rows = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", range_part(F.col("doc_id"), bounds).cast("int").alias("part"), F.xxhash64("text").alias("tie")))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for b in blocks(batches):
+            body = pa.array([press.compress(t) for t in text_bytes(b).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(range_parts(b.column(0), bounds)), b.column(2), body], ["doc_id", "part", "tie", "body"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).mapInArrow(deal, "doc_id long, part int, tie long, body binary")
     rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "tie").select("part", "doc_id", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
