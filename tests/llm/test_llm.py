@@ -260,6 +260,17 @@ def test_mix(spark, docs, empty):
     assert whole == Counter({i: n for i in {r["doc_id"] for r in rows} if (n := sum(r["epochs"] for r in rows if r["doc_id"] == i))})
 
 
+def test_mix_of_repeated_rows(spark):
+    """Rows without an id, and equal rows, are taken apart."""
+    text = " ".join(["word"] * 10)
+    rows = [(None, f"{text} {i % 25}", None, "a", 1) for i in range(50)] + [(5, text, None, "b", 1)] * 400 + [(i, text, None, "c", 1) for i in range(10, 110)]
+    docs = table(spark, rows)
+    for source, one in {r["source"]: r for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}.items():
+        assert abs(one["taken"] - one["target"]) <= 11, source
+    assert by_id(mixing.mix(docs)) == by_id(mixing.mix(docs.repartition(7)))
+    assert mixing.mixed_documents(docs).count() == mixing.mix(docs).agg(F.sum("epochs")).first()[0]
+
+
 def test_targets(spark):
     """Water-filling by hand: the first two stop at three times their size."""
     sizes = spark.createDataFrame([("a", 1), ("b", 2), ("c", 97)], "source string, size long")
@@ -273,8 +284,8 @@ def test_neighbours(spark):
     v = rng.normal(size=(3000, 24)) * rng.uniform(0.5, 2, size=(3000, 1))
     v[100:140] = v[99]
     rows = [(i, x.astype(float).tolist()) for i, x in enumerate(v)] + [(5001, None), (5002, [0.0] * 24), (5003, [float("nan")] * 24), (5004, [1.0]), (5005, [None] * 24), (None, [1.0] * 24), (0, v[0].tolist())]
-    vectors = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    assert vectors.count() == 3000
+    vectors = neighbours.usable(spark.createDataFrame(rows[:-2], "vec_id long, embedding array<double>"))
+    assert vectors.count() == 3001
     got = neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"), floor=200, shard_rows=1500).collect()
     found = {}
     for r in got:
@@ -293,6 +304,21 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Every row but the query's own: repeated ids and rows, null ids, other lengths; equal vectors have equal scores."""
+    rng = np.random.default_rng(1)
+    one, two, other = (rng.normal(size=40).tolist() for _ in range(3))
+    rows = [(0, one), (0, one), (20, two), (20, other), (7, one), (8, one), (None, one), (3, [1.0, 2.0]), (40, [2.0, 1.0]), *[(i, rng.normal(size=40).tolist()) for i in range(101, 119)]]
+    vectors = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    got = neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    want = Counter()
+    for at, (q, v) in enumerate(rows):
+        if q is not None and q % 20 == 0:
+            scores = [(-float((np.array(v) * np.array(w)).sum()), float("inf") if i is None else i) for k, (i, w) in enumerate(rows) if k != at and len(w) == len(v)]
+            want.update((q, r + 1, None if i == float("inf") else i, -s) for r, (s, i) in enumerate(sorted(scores)[:20]))
+    assert Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+
+
 # ---------------------------------------------------------------- 8
 def test_forward_backward():
     """Against the sum over all labellings."""
@@ -319,6 +345,8 @@ def test_language(spark, data, docs, empty):
     model = langid.fitted(real)
     out = langid.predict(real, model).withColumn("held", langid.held_out(F.col("doc_id"))).filter("held AND lang IS NOT NULL").collect()
     assert len(out) > 20 and sum(r["lang"] == r["lang_pred"] for r in out) / len(out) >= 0.9
+    signs = spark.createDataFrame([(1, "m\u00b2"), (2, "x\u00bd y\u00b2"), (3, "\u00b2 \u00bd 4_")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict(signs, model).orderBy("doc_id").collect()] == [False, False, True]
     odd = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
     assert [odd[i]["lang_pred"] for i in (1, 2, 3, 11)] == ["und"] * 4 and odd[1]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in odd.values())
