@@ -6,7 +6,7 @@ the indices of nearby Golay codewords, and each pair of indices is a key: two se
 fingerprint with a chance of 0.36, hence some key of ten with one of 0.99 (0.998 at 0.82). Sets that share a key are
 candidates if the fingerprints' bits allow it; candidates are verified on whole shingle sets, and only verified links join.
 
-Small buckets give all their pairs. A larger bucket gives first the pairs of its least member, and after these are verified
+Small buckets give all their pairs. A larger bucket gives first the pairs of its least member (of each set the nearest few), and after these are verified
 all pairs that no verified link has joined yet, dealt in blocks: copies by the thousand need no pair of all of them, and no
 pair is left out. A set is known by a 128-bit hash.
 
@@ -96,8 +96,8 @@ def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
     return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row binary, node binary, n int, wide array<long>")
 
 
-def keyed(nodes: DataFrame, spread: int) -> DataFrame:
-    """key, id, sig (one fingerprint other than the key's) for every key of every set that isn't empty."""
+def keyed(nodes: DataFrame, spread: int, root: bool = False) -> DataFrame:
+    """key, id, sig (one fingerprint other than the key's, or the column `root` if asked for) for every key of every set that isn't empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +110,14 @@ def keyed(nodes: DataFrame, spread: int) -> DataFrame:
                     fits = (a >= 0) & (b >= 0)
                     row = np.nonzero(fits)[0]
                     key = ((w << 24) | (a << 12) | b)[fits]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array(wide[:, (w + 1) % spread][row])], ["key", "id", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array((part.column(2).to_numpy() if root else wide[:, (w + 1) % spread])[row])], ["key", "id", "sig"])
 
-    return nodes.filter("n > 0").select("id", "wide").mapInArrow(run, "key long, id long, sig long")
+    return nodes.filter("n > 0").select("id", "wide", *["root"] * root).mapInArrow(run, "key long, id long, sig long")
 
 
-def meeting(keys: DataFrame, small: int = 12, hold: int = 100_000) -> DataFrame:
-    """key, a, b. Key -1: a candidate pair of ids. Others: a (id) and b (sig) of each member of a bucket of more than `small`, of which
-    only the pairs with its least id are candidates so far."""
+def meeting(keys: DataFrame, small: int = 8, hold: int = 100_000) -> DataFrame:
+    """key, a, b. Key -1: a candidate pair of ids. From 0: a (id) and b (sig) of each member of a bucket of more than `small`. Below -1: the pair of
+    the bucket's least id and another, which differ in -2 - key bits."""
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count((x ^ y).view(np.uint64)) <= MOST_BITS
@@ -131,7 +131,8 @@ def meeting(keys: DataFrame, small: int = 12, hold: int = 100_000) -> DataFrame:
         first = np.repeat(starts, sizes)
         member = np.flatnonzero(np.repeat(large, sizes))
         star = member[(first[member] != member) & near(sig[member], sig[first[member]])]
-        out = [(keys[member], ids[member], sig[member]), (np.full(len(star), -1), ids[first[star]], ids[star])]
+        apart = np.bitwise_count((sig[star] ^ sig[first[star]]).view(np.uint64)).astype(np.int64)
+        out = [(keys[member], ids[member], sig[member]), (-2 - apart, ids[first[star]], ids[star])]
         few = np.repeat(~large & (sizes > 1), sizes)
         k, i, s = keys[few], ids[few], sig[few]
         for lag in range(1, small):
@@ -219,16 +220,18 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return out.filter("root_a <> root_b").select(*pairs.columns)
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similarity: float, most: int = 2000) -> DataFrame:
-    """a, b (ids): all pairs of different components in the large buckets (key, id, sig); buckets of over `most` are dealt as pairs of blocks."""
-    roots = nodes.select("id", "node", "n", "wide").join(joined, "node", "left").select("id", "n", "wide", F.xxhash64(F.coalesce("root", "node")).alias("root"))
-    rows, bucket = members.join(roots, "id"), Window.partitionBy("key")
-    rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter("least <> last")
+def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similarity: float, spread: int, small: int, most: int = 2000) -> DataFrame:
+    """a, b (ids): all pairs of different components in the large buckets of the members (id); buckets of over `most` are dealt as pairs of blocks."""
+    roots = nodes.join(members, "id", "left_semi").join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+    bucket = Window.partitionBy("key")
+    rows = keyed(roots, spread, True).withColumnRenamed("sig", "root")
+    rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter(F.col("size") > small).filter("least <> last")
     rows = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # inside a block all rows meet (-1); in a pair of blocks only rows of different ones
     block = F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("block")
-    rows = rows.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), block, "id", "root", "n", "wide")
+    rows = rows.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), block, "id", "root")
+    rows = rows.join(nodes.select("id", "n", "wide"), "id")
 
     def meet(size: np.ndarray, block: np.ndarray, ids: np.ndarray, root: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         upto = np.searchsorted(size, size / similarity + SLACK, "right")
@@ -272,7 +275,7 @@ def joined_by(joined: DataFrame, links: DataFrame) -> DataFrame:
     return components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
-def settled(left: DataFrame, joined: DataFrame, bodies: DataFrame, words: int, similarity: float, turns: int = 3) -> tuple[DataFrame, DataFrame]:
+def settled(left: DataFrame, joined: DataFrame, bodies: DataFrame, words: int, similarity: float, turns: int = 2) -> tuple[DataFrame, DataFrame]:
     """The components and the candidates (a, b, bits) that are still open after some turns, in each of which every set is held against the one
     whose fingerprint is nearest among those that nothing has joined to it: copies by the thousand are mostly joined so."""
     for _ in range(turns):
@@ -286,7 +289,7 @@ def settled(left: DataFrame, joined: DataFrame, bodies: DataFrame, words: int, s
     return joined, left
 
 
-def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, spread: int = SPREAD, small: int = 12) -> DataFrame:
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, spread: int = SPREAD, small: int = 8) -> DataFrame:
     """doc_id, row (hash of the text), named (doc_id and row that name the component) of every row of `docs`."""
     rows = stage(sets_of(docs, words, spread))
     name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
@@ -295,12 +298,15 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, sprea
     wide, rows = rows, stage(rows.select("doc_id", "row", "node"))
     discard(wide)
     met = stage(meeting(keyed(nodes, spread), small))
-    left = stage(allowed(met.filter("key = -1").select("a", "b").distinct(), nodes, similarity))
-    members = met.filter("key >= 0").select("key", F.col("a").alias("id"), F.col("b").alias("sig"))
-    some = left.select(F.col("a").alias("node")).union(left.select("b")).union(members.select("id").distinct().join(nodes, "id").select("node")).distinct()
+    # of the pairs in large buckets the four nearest of each set come first, the others come with the buckets' open pairs
+    own = Window.partitionBy("b").orderBy(F.desc("key"), "a")
+    first = met.filter("key < -1").groupBy("a", "b").agg(F.max("key").alias("key")).withColumn("at", F.row_number().over(own)).filter("at <= 4")
+    left = stage(allowed(met.filter("key = -1").select("a", "b").union(first.select("a", "b")).distinct(), nodes, similarity))
+    members = stage(met.filter("key >= 0").select(F.col("a").alias("id")).distinct())
+    some = left.select(F.col("a").alias("node")).union(left.select("b")).union(members.join(nodes, "id").select("node")).distinct()
     bodies = stage(bodies_of(docs, nodes, some))
     joined, left = settled(left, nodes.select("node", F.col("node").alias("root")).limit(0), bodies, words, similarity)
-    more = allowed(open_pairs(members, nodes, joined, similarity), nodes, similarity)
+    more = allowed(open_pairs(members, nodes, joined, similarity, spread, small), nodes, similarity)
     joined, left = settled(stage(left.union(more).distinct()), joined, bodies, words, similarity, 1)
     if not left.isEmpty():
         joined = joined_by(joined, verified(left, bodies, words, similarity))
