@@ -17,11 +17,18 @@ def dense(rows: list, row: str, col: str, value: str) -> tuple[np.ndarray, list[
     return out, r, c
 
 
-def spectrum(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising eigenvalues and unit eigenvectors of the random-walk Laplacian, from its symmetric form; the largest entry
-    of each vector is positive. Nodes without weight are taken as isolated."""
+def spectrum(graph: np.ndarray, kind: str = "walk") -> tuple[np.ndarray, np.ndarray]:
+    """Rising eigenvalues and unit eigenvectors; the largest entry of each vector is positive.
+
+    walk: of the random-walk Laplacian, from its symmetric form, nodes without weight being isolated; plain: of the Laplacian;
+    modularity: of minus the modularity matrix, so that the best cut comes first."""
     graph = (graph + graph.T) / 2
     degree = graph.sum(axis=1)
+    if kind != "walk":
+        total = degree.sum() or 1.0
+        values, vectors = np.linalg.eigh(np.diag(degree) - graph if kind == "plain" else np.outer(degree, degree) / (2 * total) - graph)
+        top = np.abs(vectors).argmax(axis=0)
+        return values, vectors * np.sign(vectors[top, np.arange(len(graph))])
     half = np.where(degree > 0, 1 / np.sqrt(np.where(degree > 0, degree, 1)), 0)
     values, vectors = np.linalg.eigh(np.diag((degree > 0).astype(float)) - half[:, None] * graph * half)
     vectors = np.where(degree > 0, half, 1)[:, None] * vectors
@@ -103,6 +110,20 @@ def two_sided_normal(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def two_sided_student(t: float, df: int) -> float:
+    """Both tails of Student's t from the finite sums for whole degrees of freedom."""
+    if df < 1:
+        return math.nan
+    angle = math.atan2(abs(t), math.sqrt(df))
+    cosine = math.cos(angle) ** 2
+    term, total = (math.cos(angle) if df % 2 else 1.0), 0.0
+    for k in range(df % 2 + 1, df, 2):
+        total += term
+        term *= cosine * k / (k + 1)
+    inner = math.sin(angle) * total
+    return max(0.0, 1 - (2 / math.pi * (angle + inner) if df % 2 else inner))
+
+
 def fisher_combined(p: list[float]) -> float:
     """Chi-square tail of -2 sum ln p with an even number of degrees of freedom."""
     half = -sum(map(math.log, p))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import linear
 from seqloom.jobs.config import ClassConfig
 from seqloom.operators import association, graphs
+from seqloom.sources import stage
 
 
 def context_graph(cells: DataFrame, config: ClassConfig) -> DataFrame:
@@ -38,7 +39,7 @@ def kmeans_cut(points: DataFrame, k: int, seed: int) -> tuple[DataFrame, float]:
 def spectral_cut(cells: DataFrame, config: ClassConfig) -> DataFrame:
     """context, cluster: k-means on the eigenvectors before the widest gap, or with the k = 5, 7, ... of the best BIC."""
     graph, names, _ = linear.dense(context_graph(cells, config).collect(), "src", "dst", "w")
-    values, vectors = linear.spectrum(graph)
+    values, vectors = linear.spectrum(graph, config.matrix)
     if config.eigengap:
         k = min(linear.eigengap(values, config.min_embs), len(names))
         points = embedded(cells, names, vectors, k)
@@ -90,7 +91,7 @@ def recursive_cut(cells: DataFrame, config: ClassConfig) -> DataFrame:
         if len(part) < 2:
             continue
         sub = graph[np.ix_(part, part)]
-        label = split_values(cells, linear.spectrum(sub)[1][:, 1], config)
+        label = split_values(cells, linear.spectrum(sub, config.matrix)[1][:, 0 if config.mod_matrix else 1], config)
         if sum_modularity(sub, label) <= config.mod_threshold:
             continue
         for c in np.unique(label):
@@ -102,21 +103,29 @@ def recursive_cut(cells: DataFrame, config: ClassConfig) -> DataFrame:
     return cells.sparkSession.createDataFrame(rows, "context string, cluster int")
 
 
+def scored(cells: DataFrame) -> DataFrame:
+    """The count table with PPMI scores for counts."""
+    return stage(association.ppmi(cells).filter("ppmi > 0").withColumnRenamed("ppmi", "n"))
+
+
 def discover(cells: DataFrame, config: ClassConfig = ClassConfig()) -> DataFrame:
     """phones, contexts: the distinct symbol classes, each with the contexts of the first cluster that gave it."""
+    cells = scored(cells) if config.PMI else cells
     cut = spectral_cut(cells, config) if config.method == "spectral" else recursive_cut(cells, config)
     classes = association.symbols_of_contexts(cells, cut, config.PPMI_threshold)
     return classes.groupBy("phones").agg(F.min_by("contexts", "cluster").alias("contexts"))
 
 
-def symbol_axes(cells: DataFrame, config: ClassConfig = ClassConfig(), most: int = 3) -> DataFrame:
+def symbol_axes(cells: DataFrame, config: ClassConfig = ClassConfig()) -> DataFrame:
     """phones: symbols clustered along each of the first eigenvectors of their own graph, one axis at a time."""
     turned = cells.select(F.col("phone").alias("context"), F.col("context").alias("phone"), "n")
     graph, names, _ = linear.dense(context_graph(turned, config).collect(), "src", "dst", "w")
-    values, vectors = linear.spectrum(graph)
-    found = set()
-    for axis in range(1, min(linear.eigengap(values, config.min_embs) + 1, len(names))):
-        breaks = linear.jenks(vectors[:, axis], min(most, len(names)))
-        label = linear.classify(vectors[:, axis], breaks)
+    values, vectors = linear.spectrum(graph, config.matrix)
+    found, axes = set(), linear.eigengap(values, config.min_embs) if config.eigengap else config.num_embs
+    for axis in range(1, min(axes + 1, len(names))):
+        if config.use_jenks:
+            label = linear.classify(vectors[:, axis], linear.jenks(vectors[:, axis], min(config.max_clusters, len(names))))
+        else:
+            label = mixture_labels(cells, vectors[:, axis], config.max_clusters, config.seed)
         found |= {" ".join(n for n, c in zip(names, label) if c == k) for k in np.unique(label)}
     return cells.sparkSession.createDataFrame([(p,) for p in sorted(found)], "phones string")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, fields
 
+# fixed values: settings of plots, and one without effect
+NO_EFFECT = ("oned_plots", "plot_cuts", "unweighted")
+
 
 @dataclass(frozen=True)
 class ClassConfig:
@@ -22,6 +25,11 @@ class ClassConfig:
     use_jenks: bool = True
     max_cuts: int = 2
     mod_threshold: float = -100.0
+    norm_lap: bool = True
+    mod_matrix: bool = False
+    PMI: bool = False
+    num_embs: int = 0
+    max_clusters: int = 3
     seed: int = 1
 
     def __post_init__(self) -> None:
@@ -29,11 +37,18 @@ class ClassConfig:
             raise ValueError(f"unknown method {self.method}")
         if self.window < 1 or self.max_cuts < 2:
             raise ValueError("window must be at least 1, max_cuts at least 2")
+        if self.mod_matrix and self.norm_lap:
+            raise ValueError("the modularity matrix needs norm_lap = 0")
+
+    @property
+    def matrix(self) -> str:
+        """The kind of matrix whose spectrum is taken."""
+        return "walk" if self.norm_lap else "modularity" if self.mod_matrix else "plain"
 
 
 @dataclass(frozen=True)
 class ModelConfig:
-    """Fit of the log-linear model."""
+    """Fit of the log-linear model. Weights are never negative, whatever non_negative says; opt names the only optimiser."""
 
     N: int = 2
     word_boundaries: bool = True
@@ -43,20 +58,26 @@ class ModelConfig:
     n_iter: int = 1000
     lr: float = 0.1
     lam: float = 0.001
+    non_negative: bool = True
+    opt: str = "SGD"
 
     def __post_init__(self) -> None:
+        if self.opt != "SGD":
+            raise ValueError(f"unknown optimiser {self.opt}")
         if self.N < 1 or self.n_iter < 0 or self.lr <= 0:
             raise ValueError("N and lr must be positive, n_iter not negative")
 
 
 def load(path: str) -> tuple[ClassConfig, ModelConfig]:
-    """The sections class and phonotactic of a JSON file; keys that nothing reads are left out."""
+    """The sections class and phonotactic of a JSON file. Keys for plots, and one that never had a meaning, are left out; others that are unknown are refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
 
     def build(kind: type, section: str):
         known = {f.name: f.type for f in fields(kind)}
-        given = {k: v for k, v in spec.get(section, {}).items() if k in known}
+        given = {k: v for k, v in spec.get(section, {}).items() if k not in NO_EFFECT}
+        if unknown := given.keys() - known.keys():
+            raise ValueError(f"unknown settings in {section}: {', '.join(sorted(unknown))}")
         return kind(**{k: bool(v) if known[k] == "bool" else v for k, v in given.items()})
 
     return build(ClassConfig, "class"), build(ModelConfig, "phonotactic")

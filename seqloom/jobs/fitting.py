@@ -17,19 +17,32 @@ def profiles(target: DataFrame, violations: DataFrame) -> DataFrame:
     return target.join(rows, "ngram", "left").groupBy(F.coalesce("profile", empty).alias("profile")).agg(F.count("*").alias("times"), F.sum("p").alias("p"))
 
 
-def descend(table: np.ndarray, times: np.ndarray, target: np.ndarray, config: ModelConfig) -> tuple[np.ndarray, list[float]]:
+class Table:
+    """A sparse matrix: row, column and value of each cell."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> None:
+        self.row, self.col, self.value, self.shape = row, col, value, shape
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def summed(self, p: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * p[self.row], self.shape[1])
+
+
+def descend(table: Table, times: np.ndarray, target: np.ndarray, config: ModelConfig) -> tuple[np.ndarray, list[float]]:
     """Weights (never negative) after full-batch steps and the loss before each step. Every 50 steps the fit ends if the
     loss fell by no more than 1e-7 since the step before."""
     w, losses = np.zeros(table.shape[1]), []
-    seen = target @ table
+    seen = table.summed(target)
     total = target.sum()
     for i in range(config.n_iter):
-        h = -(table @ w)
+        h = -table.times(w)
         e = times * np.exp(h - h.max())
         p = e / e.sum()
         each = np.clip(p / times, 1e-20, 1)
         losses.append(float(-(target / total) @ np.log(each) + config.lam * (w @ w)))
-        w = np.maximum(0, w + config.lr * (p @ table - seen - config.lam))
+        w = np.maximum(0, w + config.lr * (table.summed(p) - seen - config.lam))
         if i % 50 == 0 and i and losses[-2] - losses[-1] <= 1e-7:
             break
     return w, losses
@@ -42,9 +55,7 @@ def fit(target: DataFrame, violations: DataFrame, config: ModelConfig = ModelCon
         raise ValueError(f"more than {most} profiles")
     cons = sorted({c["con"] for r in rows for c in r["profile"]})
     at = {c: i for i, c in enumerate(cons)}
-    table = np.zeros((len(rows), len(cons)))
-    for i, r in enumerate(rows):
-        for c in r["profile"]:
-            table[i, at[c["con"]]] = c["v"]
-    w, _ = descend(table, np.array([float(r["times"]) for r in rows]), np.array([r["p"] for r in rows]), config)
+    cells = [(i, at[c["con"]], c["v"]) for i, r in enumerate(rows) for c in r["profile"]]
+    row, col, value = (np.array([c[k] for c in cells], kind) for k, kind in enumerate((np.int64, np.int64, float)))
+    w, _ = descend(Table(row, col, value, (len(rows), len(cons))), np.array([float(r["times"]) for r in rows]), np.array([r["p"] for r in rows]), config)
     return target.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(cons, w) if x > 0], "con string, weight double")

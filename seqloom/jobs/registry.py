@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.jobs import classes as class_jobs
-from seqloom.jobs import fitting
+from seqloom.jobs import fitting, model
 from seqloom.jobs.config import ClassConfig, ModelConfig
 from seqloom.operators import association, corpus, evaluation, grammar, graphs, sequences
 from seqloom.sources import read_table, stage
@@ -90,11 +90,23 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _event_cells(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.event_contexts(_events(spark, d))
+    """Written once: what follows reads the count table several times, and the events only for it."""
+    return stage(sequences.event_contexts(_events(spark, d)))
+
+
+def _letter_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Written once, like _event_cells."""
+    return stage(sequences.word_contexts(_words(spark, d)))
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    """phones, n: the return flags and line states of an order's lines, in their order, as a word; an open line is a mark."""
+    symbol = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("N"), F.col("l_linestatus"))).otherwise(F.col("l_returnflag"))
+    return corpus.sequence_words(read_table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", symbol)
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.covariance(_event_cells(spark, d))
+    return stage(graphs.covariance(sequences.event_contexts(_events(spark, d))))
 
 
 def _cut(cells: DataFrame, name: str = "node") -> DataFrame:
@@ -148,6 +160,26 @@ def seq_letter_context_count(spark, d):
     return sequences.word_contexts(_words(spark, d))
 
 
+_ARRAYS = """words AS (SELECT p, count(*) AS n FROM (SELECT list(s ORDER BY l_linenumber, s) AS p FROM (SELECT *, CASE WHEN l_returnflag = 'N' THEN 'N' || l_linestatus ELSE l_returnflag END AS s FROM lineitem) WHERE s IS NOT NULL GROUP BY l_orderkey) GROUP BY p)"""
+
+
+@query(f"WITH {_ARRAYS} SELECT DISTINCT unnest(p) AS phone FROM words")
+def seq_array_inventory(spark, d):
+    return corpus.inventory(_orders(spark, d))
+
+
+@query(f"WITH {_ARRAYS}, frame AS (SELECT n, list_concat(['#'], p, ['#']) AS p FROM words) SELECT p[i] || '.' || p[i + 1] || '.' || p[i + 2] AS ngram, sum(n)::BIGINT AS n FROM (SELECT n, p, unnest(range(1, len(p) - 1)) AS i FROM frame) GROUP BY 1")
+def seq_array_ngram_count(spark, d):
+    return sequences.word_ngram_counts(_orders(spark, d), 3)
+
+
+@query(f"""WITH {_ARRAYS}, pad AS (SELECT n, list_concat(['<s>', '<s>'], p, ['<e>', '<e>']) AS p FROM words), pos AS (SELECT n, p, unnest(range(3, len(p) - 1)) AS i FROM pad),
+cells AS (SELECT '1L' || p[i - 1] AS context, p[i] AS phone, n FROM pos UNION ALL SELECT '2L' || p[i - 2], p[i], n FROM pos UNION ALL SELECT '1R' || p[i + 1], p[i], n FROM pos UNION ALL SELECT '2R' || p[i + 2], p[i], n FROM pos)
+SELECT context, phone, sum(n)::BIGINT AS n FROM cells WHERE phone <> 'NO' GROUP BY 1, 2""")
+def seq_array_context_count(spark, d):
+    return sequences.word_contexts(_orders(spark, d), marks=("NO",))
+
+
 # ---------------------------------------------------------------- association
 @query(f"WITH {CELLS} SELECT 'phone' AS kind, phone AS name, sum(n)::BIGINT AS n FROM cells GROUP BY 2 UNION ALL SELECT 'context', context, sum(n)::BIGINT FROM cells GROUP BY 2 UNION ALL SELECT 'all', '', sum(n)::BIGINT FROM cells")
 def assoc_marginals(spark, d):
@@ -161,12 +193,12 @@ def assoc_ppmi(spark, d):
 
 @query(f"WITH {LETTER_CELLS}, {PPMI} SELECT context, phone, round(s, 6) AS ppmi FROM ppmi")
 def assoc_ppmi_letters(spark, d):
-    return association.ppmi(sequences.word_contexts(_words(spark, d))).withColumn("ppmi", F.round("ppmi", 6))
+    return association.ppmi(_letter_cells(spark, d)).withColumn("ppmi", F.round("ppmi", 6))
 
 
 @query(f"WITH {LETTER_CELLS}, {PPMI}, {CUT}, strong AS (SELECT cluster, phone, context FROM ppmi JOIN cut ON context = node WHERE s > 0.1) SELECT cluster, array_to_string(list_sort(list(DISTINCT phone)), ' ') AS phones, array_to_string(list_sort(list(DISTINCT context)), ' ') AS contexts FROM strong GROUP BY 1")
 def cls_contexts_to_symbols(spark, d):
-    cells = sequences.word_contexts(_words(spark, d))
+    cells = _letter_cells(spark, d)
     return association.symbols_of_contexts(cells, _cut(cells, "context"), 0.1)
 
 
@@ -208,7 +240,7 @@ def graph_kld(spark, d):
 
 @query(f"WITH {LETTER_CELLS}, {_KLD}")
 def graph_kld_letters(spark, d):
-    return _rounded(graphs.kld_similarity(sequences.word_contexts(_words(spark, d))))
+    return _rounded(graphs.kld_similarity(_letter_cells(spark, d)))
 
 
 @query(f"WITH {DEG} SELECT src, dst, round(CASE WHEN src = dst THEN 0 ELSE w / ds::DOUBLE END, 6) AS w FROM ed")
@@ -278,6 +310,12 @@ def graph_clustering_coef(spark, d):
     return graphs.clustering_coefficients(_graph(spark, d)).withColumn("coef", F.round("coef", 3))
 
 
+@query(f"""WITH {COV}, e AS (SELECT src, dst, w::DOUBLE AS w FROM edges), wk AS (SELECT x.src AS node, sum(x.w * y.w * z.w) AS t FROM e x JOIN e y ON x.dst = y.src JOIN e z ON y.dst = z.src AND z.dst = x.src GROUP BY 1),
+sc AS (SELECT src AS node, sum(w) * sum(w) - sum(w * w) AS s FROM e GROUP BY 1) SELECT round(avg(t / s), 3) AS coef FROM wk JOIN sc USING (node)""")
+def graph_avg_clustering_coef(spark, d):
+    return graphs.clustering_coefficients(_graph(spark, d)).agg(F.round(F.avg("coef"), 3).alias("coef"))
+
+
 # ---------------------------------------------------------------- candidates, constraints, model
 def _alphabet(words: DataFrame) -> DataFrame:
     return corpus.inventory(words).union(words.sparkSession.range(1).select(F.lit(corpus.EDGE)))
@@ -295,17 +333,14 @@ def _classes(words: DataFrame) -> DataFrame:
 def _model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """The model's tables, each written once: all of them are small next to the corpus and read several times."""
     words = stage(_words(spark, d))
-    every = stage(grammar.with_complements(_classes(words), corpus.inventory(words)))
-    cons = stage(grammar.constraints(every, 2))
-    target = stage(grammar.observed(_alphabet(words), sequences.word_ngram_counts(words, 2), 2))
-    violations = stage(grammar.token_violations(target.select("ngram"), cons, every))
-    weights = cons.select("con", (0.5 + F.length("con") / 100.0).alias("weight"))
-    return {"classes": every, "cons": cons, "target": target, "violations": violations, "weights": weights, "scores": grammar.harmony(target, violations, weights)}
+    t = model.tables(words, _classes(words))
+    weights = t["cons"].select("con", (0.5 + F.length("con") / 100.0).alias("weight"))
+    return t | {"words": words, "weights": weights, "scores": stage(grammar.harmony(t["target"], t["violations"], weights))}
 
 
 @query(f"WITH {SPACE} SELECT ngram FROM cands WHERE ngram NOT IN (SELECT ngram FROM ngrams)")
 def cand_unattested(spark, d):
-    words = _words(spark, d)
+    words = stage(_words(spark, d))
     return grammar.unattested(_alphabet(words), sequences.word_ngram_counts(words, 2), 2)
 
 
@@ -354,6 +389,15 @@ def fit_gradient_step(spark, d):
     return grammar.gradient_step(m["target"], grammar.softmax(m["scores"]), m["violations"], m["weights"], 0.1, 0.001).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"""WITH {CLASSES}, place AS (SELECT word, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT word, list_concat(['#'], string_split(word, ''), ['#']) AS p FROM words)),
+hits AS (SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN cons ON n = 1 AND c1 = m.class UNION ALL
+  SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN members k ON k.phone = p[i + 1] JOIN cons ON n = 2 AND c1 = m.class AND c2 = k.class WHERE i < len(p))
+SELECT array_to_string(list_concat(['#'], string_split(word, ''), ['#']), '.') AS ngram, round(coalesce(-sum(weight), 0.0), 6) AS harmony FROM words LEFT JOIN (hits JOIN weights USING (con)) USING (word) GROUP BY 1""")
+def score_judgements(spark, d):
+    m = _model(spark, d)
+    return model.judged(model.dotted(m["words"]), m["cons"], m["classes"], m["weights"]).withColumn("harmony", F.round("harmony", 6))
+
+
 # ---------------------------------------------------------------- evaluation
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "labels").join(read_table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
@@ -375,22 +419,25 @@ def eval_default_zero(spark, d):
     return evaluation.with_default(read_table(spark, d, "documents").select("doc_id"), labels, "doc_id", "score")
 
 
-@query("""WITH v AS (SELECT p_size AS x, floor(p_retailprice / 50) AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL), c AS (SELECT x, y, count(*) AS n FROM v GROUP BY 1, 2),
-s AS (SELECT sum(a.n::DOUBLE * b.n * sign(b.y - a.y)) AS s FROM c a JOIN c b ON a.x < b.x), tx AS (SELECT sum(t * (t - 1) / 2.0) AS t, sum(t) AS n FROM (SELECT sum(n) AS t FROM c GROUP BY x)), ty AS (SELECT sum(t * (t - 1) / 2.0) AS t FROM (SELECT sum(n) AS t FROM c GROUP BY y))
-SELECT round(s.s / sqrt((tx.n * (tx.n - 1) / 2.0 - tx.t)::DOUBLE * (tx.n * (tx.n - 1) / 2.0 - ty.t)::DOUBLE), 6) AS tau FROM s, tx, ty""")
+@query("""WITH v AS (SELECT p_size::DOUBLE AS x, p_retailprice AS y FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL), c AS (SELECT x, y, count(*) AS n FROM v GROUP BY 1, 2),
+s AS (SELECT sum(a.n::DOUBLE * b.n * sign(b.y - a.y)) AS s FROM c a JOIN c b ON a.x < b.x),
+tx AS (SELECT sum(t * (t - 1) / 2) AS a, sum(t * (t - 1) * (t - 2)) AS b, sum(t * (t - 1) * (2 * t + 5)) AS c, sum(t) AS n FROM (SELECT sum(n)::DOUBLE AS t FROM c GROUP BY x)),
+ty AS (SELECT sum(t * (t - 1) / 2) AS a, sum(t * (t - 1) * (t - 2)) AS b, sum(t * (t - 1) * (2 * t + 5)) AS c FROM (SELECT sum(n)::DOUBLE AS t FROM c GROUP BY y))
+SELECT round(s.s / sqrt((tx.n * (tx.n - 1) / 2 - tx.a) * (tx.n * (tx.n - 1) / 2 - ty.a)), 6) AS tau,
+  round(s.s / sqrt((tx.n * (tx.n - 1) * (2 * tx.n + 5) - tx.c - ty.c) / 18 + 2 * tx.a * ty.a / (tx.n * (tx.n - 1)) + tx.b * ty.b / (9 * tx.n * (tx.n - 1) * (tx.n - 2))), 6) AS z, tx.n::BIGINT AS n FROM s, tx, ty""")
 def eval_kendall(spark, d):
-    return evaluation.kendall(read_table(spark, d, "part"), F.col("p_size"), F.floor(F.col("p_retailprice") / 50)).select(F.round("tau", 6).alias("tau"))
+    return evaluation.kendall(read_table(spark, d, "part"), F.col("p_size"), F.col("p_retailprice")).select(F.round("tau", 6).alias("tau"), F.round("z", 6).alias("z"), "n")
 
 
-@query("SELECT round(corr(p_size::DOUBLE, p_retailprice), 6) AS r FROM part")
+@query("WITH v AS (SELECT corr(p_size::DOUBLE, p_retailprice) AS r, count(*) AS n FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL) SELECT round(r, 6) AS r, round(r * sqrt(n - 2) / sqrt(1 - r * r), 5) AS t, n FROM v")
 def eval_pearson(spark, d):
-    return evaluation.pearson(read_table(spark, d, "part"), "p_size", "p_retailprice").select(F.round("r", 6).alias("r"))
+    return evaluation.pearson(read_table(spark, d, "part"), "p_size", "p_retailprice").select(F.round("r", 6).alias("r"), F.round("t", 5).alias("t"), "n")
 
 
 # ---------------------------------------------------------------- whole jobs, rows only
 @query()
 def cluster_spectral(spark, d):
-    return class_jobs.discover(sequences.word_contexts(_words(spark, d)))
+    return class_jobs.discover(_letter_cells(spark, d))
 
 
 @query()
@@ -400,10 +447,17 @@ def cluster_recursive(spark, d):
 
 @query()
 def cluster_symbol_axes(spark, d):
-    return class_jobs.symbol_axes(sequences.word_contexts(_words(spark, d)))
+    return class_jobs.symbol_axes(_letter_cells(spark, d))
 
 
 @query()
 def fit_maxent(spark, d):
     m = _model(spark, d)
     return fitting.fit(m["target"], m["violations"], ModelConfig())
+
+
+@query()
+def model_judgements(spark, d):
+    """Grammar fitted on the words and classes of the corpus, and the harmony of every word under it."""
+    words = stage(_words(spark, d))
+    return model.fitted_judgements(words, _classes(words), model.dotted(words))[1]

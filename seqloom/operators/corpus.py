@@ -19,6 +19,17 @@ def letters(word: Column) -> Column:
     return F.split(word, "")
 
 
+def symbols(words: DataFrame) -> Column:
+    """The symbols of a row of counted words: the array `phones` where there is one, else the characters of `word`."""
+    return F.col("phones") if "phones" in words.columns else letters(F.col("word"))
+
+
+def sequence_words(rows: DataFrame, key: str, order: str, symbol: Column) -> DataFrame:
+    """phones, n: the symbols of each key in order (ties by symbol) as one word, equal words counted. A word is as long as its key has rows."""
+    pairs = rows.filter(symbol.isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), symbol.alias("s")))).alias("pairs"))
+    return pairs.select(F.transform("pairs", lambda p: p["s"]).alias("phones")).groupBy("phones").agg(F.count("*").alias("n"))
+
+
 def event_symbols(events: DataFrame) -> DataFrame:
     """user_id, phone, ts, event_id: one symbol an event, the user being the word."""
     return events.filter(F.col("event_type").isNotNull()).select("user_id", F.col("event_type").alias("phone"), "ts", "event_id")
@@ -40,4 +51,4 @@ def framed(phones: Column) -> Column:
 
 def inventory(words: DataFrame) -> DataFrame:
     """phone: the distinct symbols of distinct words."""
-    return words.select(F.explode(letters(F.col("word"))).alias("phone")).filter("phone <> ''").distinct()
+    return words.select(F.explode(symbols(words)).alias("phone")).filter("phone <> ''").distinct()

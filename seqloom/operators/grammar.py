@@ -71,11 +71,11 @@ def constraints(classes: DataFrame, most: int) -> DataFrame:
 
 def token_violations(forms: DataFrame, cons: DataFrame, classes: DataFrame) -> DataFrame:
     """ngram, con, v: places at which the tokens lie in the constraint's classes one by one. Equi-joins on the symbol only."""
-    members = classes.select("class", F.explode("phones").alias("phone"))
+    members = classes.select("class", F.explode(F.array_distinct("phones")).alias("phone"))
     tokens = forms.select("ngram", F.posexplode(F.split("ngram", r"\.")).alias("pos", "phone"))
     hits = tokens.join(members, "phone").select("ngram", "pos", "class")
     wanted = cons.select("con", "n", F.posexplode("classes").alias("k", "class"))
-    found = hits.join(wanted, "class").groupBy("ngram", "con", "n", (F.col("pos") - F.col("k")).alias("at")).agg(F.countDistinct("k").alias("k"))
+    found = hits.join(wanted, "class").groupBy("ngram", "con", "n", (F.col("pos") - F.col("k")).alias("at")).agg(F.count("*").alias("k"))  # a place has one symbol, which is in a class once
     return found.filter("k = n").groupBy("ngram", "con").agg(F.count("*").alias("v"))
 
 

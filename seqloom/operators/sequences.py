@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.corpus import EDGE, END, START, event_order, event_symbols, framed, letters, padded
+from seqloom.operators.corpus import EDGE, END, START, event_order, event_symbols, framed, padded, symbols
 
 
 def ngrams(phones: Column, n: int) -> Column:
@@ -17,8 +15,8 @@ def ngrams(phones: Column, n: int) -> Column:
 
 
 def word_ngram_counts(words: DataFrame, n: int) -> DataFrame:
-    """ngram, n over framed words (word, n)."""
-    rows = words.select(F.col("n").alias("times"), F.explode(ngrams(framed(letters(F.col("word"))), n)).alias("ngram"))
+    """ngram, n over framed words (word or phones, n)."""
+    rows = words.select(F.col("n").alias("times"), F.explode(ngrams(framed(symbols(words)), n)).alias("ngram"))
     return rows.groupBy("ngram").agg(F.sum("times").alias("n"))
 
 
@@ -42,14 +40,10 @@ def event_contexts(events: DataFrame, window: int = 2, separate: bool = True) ->
     return rows.select("phone", F.array(*near).alias("near")).select(F.explode("near").alias("context"), "phone").groupBy("context", "phone").agg(F.count("*").alias("n"))
 
 
-def word_contexts(words: DataFrame, window: int = 2, separate: bool = True) -> DataFrame:
-    """context, phone, n over padded words (word, n)."""
-    full = padded(letters(F.col("word")), window)
-    rows = words.select("n", full.alias("p"), F.explode(F.sequence(F.lit(window), F.length("word") + window - 1)).alias("i"))
+def word_contexts(words: DataFrame, window: int = 2, separate: bool = True, marks: tuple[str, ...] = ()) -> DataFrame:
+    """context, phone, n over padded words (word or phones, n). `marks`, as of syllables, are neighbours but no phones."""
+    rows = words.filter(F.size(symbols(words)) > 0).select("n", padded(symbols(words), window).alias("p"))
+    rows = rows.select("n", "p", F.explode(F.sequence(F.lit(window), F.size("p") - window - 1)).alias("i")).filter(~F.get("p", "i").isin(*marks)) if marks else rows.select("n", "p", F.explode(F.sequence(F.lit(window), F.size("p") - window - 1)).alias("i"))
     near = [context_name(k, side, F.get("p", F.col("i") + (k if side == "R" else -k)), separate) for k in range(1, window + 1) for side in "LR"]
     rows = rows.select(F.get("p", "i").alias("phone"), "n", F.array(*near).alias("near")).select(F.explode("near").alias("context"), "phone", "n")
     return rows.groupBy("context", "phone").agg(F.sum("n").alias("n"))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -14,10 +14,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one is set only where the cluster names none."""
+    """A new folder under spark.checkpoint.dir; a temporary one is set only in local sessions that name none."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/seqloom-{uuid.uuid4().hex}"

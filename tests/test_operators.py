@@ -163,7 +163,7 @@ def test_step_and_fit(spark):
     soft = grammar.softmax(grammar.harmony(target, viol, zero))
     assert grammar.loss(target, soft, zero, 0.001).first()["loss"] == pytest.approx(0.693147, abs=1e-6)
     assert grammar.gradient_step(target, soft, viol, zero, 0.1, 0.001).first()["weight"] == pytest.approx(0.0499)
-    w, losses = fitting.descend(np.array([[0.0], [1.0]]), np.ones(2), np.array([1.0, 0.0]), ModelConfig(n_iter=100))
+    w, losses = fitting.descend(fitting.Table(np.array([1]), np.array([0]), np.array([1.0]), (2, 1)), np.ones(2), np.array([1.0, 0.0]), ModelConfig(n_iter=100))
     assert (np.diff(losses) <= 0).all() and w[0] > 1
     fitted = fitting.fit(target, viol, ModelConfig(n_iter=100)).first()
     assert fitted["weight"] == pytest.approx(w[0])
@@ -192,7 +192,7 @@ def test_classes_are_found(spark):
     found = [r["phones"] for r in classes.discover(table, spectral).collect()]
     assert set(" ".join(found).split()) == {"p0", "p1", "p2", "p3"}
     assert sorted(found) == sorted(r["phones"] for r in classes.discover(table, spectral).collect())
-    assert {"p0 p1", "p2 p3"} <= {r["phones"] for r in classes.symbol_axes(table, ClassConfig(min_embs=0), 2).collect()}
+    assert {"p0 p1", "p2 p3"} <= {r["phones"] for r in classes.symbol_axes(table, ClassConfig(min_embs=0, max_clusters=2)).collect()}
 
 
 def test_bic_and_mixture(spark):
@@ -214,3 +214,56 @@ def test_agreement(spark):
     assert evaluation.long_form(ratings, ["onset"], ["rating"]).count() == 5
     row = spark.createDataFrame([(["a", "x"],)], "p array<string>")
     assert evaluation.looked_up(row, "p", {"a": 1.5}, "v").first()["v"] == [1.5, None]
+
+
+def test_kendall_against_all_pairs(spark):
+    """Unrounded values, ties and nulls, with blocks of two ranks."""
+    rng = np.random.default_rng(3)
+    data = [(float(rng.integers(0, 30)), float(round(rng.normal(), 2))) for _ in range(300)] + [(None, 1.0), (2.0, None)]
+    got = evaluation.kendall(spark.createDataFrame(data, "x double, y double"), F.col("x"), F.col("y"), block=2).first()
+    x, y = np.array(data[:300]).T
+    sx, sy = (np.sign(v[:, None] - v[None, :]) for v in (x, y))
+    s = (sx * sy).sum() / 2
+    assert got["tau"] == pytest.approx(s / np.sqrt((abs(sx).sum() / 2) * (abs(sy).sum() / 2))) and got["n"] == 300
+    none = evaluation.kendall(spark.createDataFrame([], "x double, y double"), F.col("x"), F.col("y")).collect()
+    assert [r["tau"] for r in none] == [None]
+
+
+def test_p_values(spark):
+    """Tails that tables of the distributions give."""
+    assert linear.two_sided_student(2.228, 10) == pytest.approx(0.05, abs=1e-4) and linear.two_sided_student(12.706, 1) == pytest.approx(0.05, abs=1e-4)
+    assert linear.two_sided_student(3.182, 3) == pytest.approx(0.05, abs=1e-4)
+    scores = spark.createDataFrame([(0.5, 1.959964, 20)], "tau double, z double, n long")
+    assert evaluation.with_p_values(scores).first()["p"] == pytest.approx(0.05, abs=1e-6)
+
+
+def test_arrays_of_symbols(spark):
+    """Symbols of several characters, and syllable marks that are neighbours only."""
+    words = spark.createDataFrame([(["S", "TH"], 2), (["K", "!", "S"], 1)], "phones array<string>, n long")
+    assert rows(sequences.word_ngram_counts(words, 2)) == [("!.S", 1), ("#.K", 1), ("#.S", 2), ("K.!", 1), ("S.#", 1), ("S.TH", 2), ("TH.#", 2)]
+    found = rows(sequences.word_contexts(words, 1, marks=("!",)))
+    assert ("1R!", "K", 1) in found and ("1L!", "S", 1) in found and "!" not in {r[1] for r in found}
+    assert rows(corpus.inventory(words)) == [("!",), ("K",), ("S",), ("TH",)]
+
+
+def test_whole_flow_of_files(spark, tmp_path):
+    """Files in, grammar and judgements out: forms with what the corpus lacks score lower."""
+    from seqloom.jobs import model
+
+    (tmp_path / "words").write_text("S T\nS T R\nK R\nT R\n")
+    (tmp_path / "classes").write_text("S K\t1LT\nR\t1LS\n")
+    (tmp_path / "tests").write_text("S T\nR S\n")
+    model.run(spark, *[str(tmp_path / f) for f in ("words", "classes", "tests")], str(tmp_path / "out"), ModelConfig(n_iter=200))
+    scores = {r["value"].split("\t")[0].strip(): float(r["value"].split("\t")[1]) for r in spark.read.text(str(tmp_path / "out" / "judgements")).collect()}
+    assert scores["S T"] > scores["R S"]
+
+
+def test_settings_are_read_or_refused(tmp_path):
+    from seqloom.jobs import config
+
+    (tmp_path / "c").write_text('{"class": {"norm_lap": 0, "mod_matrix": 1, "plot_cuts": 0}, "phonotactic": {"N": 2}}')
+    assert config.load(str(tmp_path / "c"))[0].matrix == "modularity"
+    for text in ('{"class": {"nonsense": 1}}', '{"phonotactic": {"opt": "LBFGS"}}', '{"class": {"mod_matrix": 1}}'):
+        (tmp_path / "c").write_text(text)
+        with pytest.raises(ValueError):
+            config.load(str(tmp_path / "c"))
