@@ -97,7 +97,8 @@ def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
 
 
 def keyed(nodes: DataFrame, spread: int, root: bool = False) -> DataFrame:
-    """key, id, sig (one fingerprint other than the key's, or the column `root` if asked for) for every key of every set that isn't empty."""
+    """at, bs, id, sig (one fingerprint other than the key's, or the column `root` if asked for) of every set that isn't empty: `at` is a
+    fingerprint's number and an index of its first segment, `bs` has all indices of the second one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,17 +107,23 @@ def keyed(nodes: DataFrame, spread: int, root: bool = False) -> DataFrame:
                 ids, wide = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
                 for w in range(spread):
                     left, right = (segment_keys((wide[:, w] >> s) & ((1 << 23) - 1)) for s in SEGMENTS)
-                    a, b = left[:, :, None], right[:, None, :]
-                    fits = (a >= 0) & (b >= 0)
-                    row = np.nonzero(fits)[0]
-                    key = ((w << 24) | (a << 12) | b)[fits]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[row]), pa.array((part.column(2).to_numpy() if root else wide[:, (w + 1) % spread])[row])], ["key", "id", "sig"])
+                    row = np.nonzero(left >= 0)[0]
+                    fits = right[row] >= 0
+                    ends = np.concatenate(([0], np.cumsum(fits.sum(axis=1)))).astype(np.int32)
+                    bs = pa.ListArray.from_arrays(pa.array(ends), pa.array(right[row][fits].astype(np.int16)))
+                    sig = part.column(2).to_numpy() if root else wide[:, (w + 1) % spread]
+                    yield pa.RecordBatch.from_arrays([pa.array((w << 12) | left[left >= 0]), bs, pa.array(ids[row]), pa.array(sig[row])], ["at", "bs", "id", "sig"])
 
-    return nodes.filter("n > 0").select("id", "wide", *["root"] * root).mapInArrow(run, "key long, id long, sig long")
+    return nodes.filter("n > 0").select("id", "wide", *["root"] * root).mapInArrow(run, "at long, bs array<smallint>, id long, sig long")
+
+
+def keys_of(rows: DataFrame) -> DataFrame:
+    """key, id, sig: a row for each pair of indices of keyed()'s rows."""
+    return rows.select("at", F.explode("bs").alias("b"), "id", "sig").select((F.col("at") * 4096 + F.col("b")).alias("key"), "id", "sig")
 
 
 def meeting(keys: DataFrame, small: int = 8, hold: int = 100_000) -> DataFrame:
-    """key, a, b. Key -1: a candidate pair of ids. From 0: a (id) and b (sig) of each member of a bucket of more than `small`. Below -1: the pair of
+    """key, a, b of keyed()'s rows. Key -1: a candidate pair of ids. From 0: a (id) and b (sig) of each member of a bucket of more than `small`. Below -1: the pair of
     the bucket's least id and another, which differ in -2 - key bits."""
 
     def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -158,7 +165,9 @@ def meeting(keys: DataFrame, small: int = 8, hold: int = 100_000) -> DataFrame:
         if len(held[0]):
             yield pairs(*held, forced)
 
-    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, a long, b long")
+    # the rows are dealt before they become keys, five times as many; a count of its own, as their bytes say little of those of the keys
+    dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at")
+    return keys_of(dealt).sortWithinPartitions("key", "id").mapInArrow(run, "key long, a long, b long")
 
 
 def allowed(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -224,7 +233,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similari
     """a, b (ids): all pairs of different components in the large buckets of the members (id); buckets of over `most` are dealt as pairs of blocks."""
     roots = nodes.join(members, "id", "left_semi").join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     bucket = Window.partitionBy("key")
-    rows = keyed(roots, spread, True).withColumnRenamed("sig", "root")
+    rows = keys_of(keyed(roots, spread, True)).withColumnRenamed("sig", "root")
     rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter(F.col("size") > small).filter("least <> last")
     rows = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
