@@ -19,8 +19,8 @@ from seqloom.sources import read_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-_GOOD = ("ththen", "thering", "tionsh", "therly", "blog.thernt", "m.therat", "www.therou", "news.onand", "docs.ering", "blog.ththha", "m.thonre", "theran", "www.theron", "library.edth", "m.hathe", "wiki.inand", "school.ander", "blog.tiontion", "museum.ersth", "shop.thatin")
-_BAD = ("cheap-pills", "spam-farm", "adult-x", "casino-win", "free-bets", "ads-track", "www.cheap-meds", "blog.casino-777", "m.adult-cams", "track-ads", "www.spam-links", "pills-online", "free-casino", "win-bets", "x-adult", "m.free-pills", "blog.ads-farm", "www.bets-win", "farm-links", "cheap-track")
+_GOOD = ("city-library", "weather", "www.gardening", "blog.bakery", "history-museum", "m.stations", "northern-school", "wiki.rivers", "www.theatre", "shop.lanterns", "science-institute", "docs.compiler", "news.harbour", "m.cathedral", "mountain-weather", "www.orchestra", "blog.birding", "nation-archive", "m.therapist", "students-union")
+_BAD = ("cheap-meds", "www.pills-24", "spam-links", "link-farm", "blog.casino-777", "m.adult-cams", "x-adult", "adult-xx", "bets-online", "www.free-casino", "win-cash", "m.free-pills", "track-ads", "ads-click", "www.tracker-ads", "sports-bets", "cheap-loans", "spam-mailer", "casino-games", "m.winbets")
 _TLD, _LANG = ("com", "net", "org"), ("en", "fr", "de", "es")
 
 
