@@ -82,6 +82,18 @@ def test_url_model(spark):
     assert [r["verdict"] for r in url_filter.judge(new, labelled).collect()] == ["block", "block", "allow", "allow"]
 
 
+def test_url_quality(spark, data):
+    """No host of `pages` is in the labelled table; those with a hyphen, the unwanted ones of these tables, are told from the others."""
+
+    def stem(host: str) -> str:
+        return re.sub(r"^(www|m|blog)\.", "", host).split(".")[0]
+
+    got = [(stem(r["host"]), r["score"] > 0.7) for r in QUERIES["op1_url_filter"](spark, data).collect()]
+    assert not {h for h, _ in got} & {stem(url.split("://")[1]) for url, _ in url_filter.seed_urls()}
+    bad, good = ([over for h, over in got if ("-" in h) == kind] for kind in (True, False))
+    assert bad and sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
+
+
 # ---------------------------------------------------------------- 2, 4, 10
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
