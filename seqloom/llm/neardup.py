@@ -97,39 +97,47 @@ def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
 
 
 def keyed(nodes: DataFrame, spread: int, root: bool = False) -> DataFrame:
-    """at, bs, id, sig (one fingerprint other than the key's, or the column `root` if asked for) of every set that isn't empty: `at` is a
-    fingerprint's number and an index of its first segment, `bs` has all indices of the second one."""
+    """at, bs, id, sig (one fingerprint other than the key's, or the column `root` if asked for), n, even, odd (128 parities) of every set that
+    isn't empty: `at` is a fingerprint's number and an index of its first segment, `bs` has all indices of the second one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                ids, wide = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                ids, wide, n = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), part.column(2).to_numpy()
+                even, odd = (np.bitwise_xor.reduce(wide[:, spread + k :: 2], axis=1) for k in range(2))
                 for w in range(spread):
                     left, right = (segment_keys((wide[:, w] >> s) & ((1 << 23) - 1)) for s in SEGMENTS)
                     row = np.nonzero(left >= 0)[0]
                     fits = right[row] >= 0
                     ends = np.concatenate(([0], np.cumsum(fits.sum(axis=1)))).astype(np.int32)
                     bs = pa.ListArray.from_arrays(pa.array(ends), pa.array(right[row][fits].astype(np.int16)))
-                    sig = part.column(2).to_numpy() if root else wide[:, (w + 1) % spread]
-                    yield pa.RecordBatch.from_arrays([pa.array((w << 12) | left[left >= 0]), bs, pa.array(ids[row]), pa.array(sig[row])], ["at", "bs", "id", "sig"])
+                    sig = part.column(3).to_numpy() if root else wide[:, (w + 1) % spread]
+                    columns = [(w << 12) | left[left >= 0], *[c[row] for c in (ids, sig, n, even, odd)]]
+                    columns = [pa.array(c) for c in columns]
+                    yield pa.RecordBatch.from_arrays([columns[0], bs, *columns[1:]], ["at", "bs", "id", "sig", "n", "even", "odd"])
 
-    return nodes.filter("n > 0").select("id", "wide", *["root"] * root).mapInArrow(run, "at long, bs array<smallint>, id long, sig long")
+    kind = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long"
+    return nodes.filter("n > 0").select("id", "wide", "n", *["root"] * root).mapInArrow(run, kind)
 
 
 def keys_of(rows: DataFrame) -> DataFrame:
-    """key, id, sig: a row for each pair of indices of keyed()'s rows."""
-    return rows.select("at", F.explode("bs").alias("b"), "id", "sig").select((F.col("at") * 4096 + F.col("b")).alias("key"), "id", "sig")
+    """key, id and the other columns: a row for each pair of indices of keyed()'s rows."""
+    others = [c for c in rows.columns if c not in ("at", "bs")]
+    return rows.select("at", F.explode("bs").alias("b"), *others).select((F.col("at") * 4096 + F.col("b")).alias("key"), *others)
 
 
-def meeting(keys: DataFrame, small: int = 8, hold: int = 100_000) -> DataFrame:
-    """key, a, b of keyed()'s rows. Key -1: a candidate pair of ids. From 0: a (id) and b (sig) of each member of a bucket of more than `small`. Below -1: the pair of
+def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int = 100_000) -> DataFrame:
+    """key, a, b of keyed()'s rows; pairs are left out if their sizes and parities exclude the similarity or a fingerprint differs too much. Key -1: a candidate pair of ids. From 0: a (id) and b (sig) of each member of a bucket of more than `small`. Below -1: the pair of
     the bucket's least id and another, which differ in -2 - key bits."""
 
-    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count((x ^ y).view(np.uint64)) <= MOST_BITS
+    def near(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        """Of sig, n, even, odd. Sets of sizes m and n that have the similarity s differ in (m + n)(1 - s)/(1 + s) shingles at most."""
+        sig, even, odd = (np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64) for p, q in ((x[i], y[i]) for i in (0, 2, 3)))
+        size = np.minimum(x[1], y[1]) >= similarity * np.maximum(x[1], y[1]) - SLACK
+        return size & (sig <= MOST_BITS) & (even + odd <= (x[1] + y[1]) * ((1 - similarity) / (1 + similarity)) + SLACK)
 
-    def pairs(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, forced: bool) -> pa.RecordBatch:
+    def pairs(keys: np.ndarray, ids: np.ndarray, *seen: np.ndarray, forced: bool) -> pa.RecordBatch:
         """Candidates and members of whole buckets; `forced`: the first one is large, whatever is here of it."""
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(starts, len(keys)))
@@ -137,33 +145,34 @@ def meeting(keys: DataFrame, small: int = 8, hold: int = 100_000) -> DataFrame:
         large[0] |= forced
         first = np.repeat(starts, sizes)
         member = np.flatnonzero(np.repeat(large, sizes))
-        star = member[(first[member] != member) & near(sig[member], sig[first[member]])]
+        sig = seen[0]
+        star = member[(first[member] != member) & near([c[member] for c in seen], [c[first[member]] for c in seen])]
         apart = np.bitwise_count((sig[star] ^ sig[first[star]]).view(np.uint64)).astype(np.int64)
         out = [(keys[member], ids[member], sig[member]), (-2 - apart, ids[first[star]], ids[star])]
         few = np.repeat(~large & (sizes > 1), sizes)
-        k, i, s = keys[few], ids[few], sig[few]
+        k, i, s = keys[few], ids[few], [c[few] for c in seen]
         for lag in range(1, small):
             if len(k) <= lag:
                 break
-            hit = (k[lag:] == k[:-lag]) & near(s[lag:], s[:-lag])
+            hit = (k[lag:] == k[:-lag]) & near([c[lag:] for c in s], [c[:-lag] for c in s])
             out.append((np.full(int(hit.sum()), -1), i[:-lag][hit], i[lag:][hit]))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, forced = [np.empty(0, np.int64)] * 3, False
+        held, forced = [np.empty(0, np.int64)] * 6, False
         for batch in batches:
             held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
             if not len(held[0]):
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
             if cut:
-                yield pairs(*[h[:cut] for h in held], forced)
+                yield pairs(*[h[:cut] for h in held], forced=forced)
                 held, forced = [h[cut:] for h in held], False
             if len(held[0]) > hold:  # a large bucket goes on with its least member
-                yield pairs(*held, True)
+                yield pairs(*held, forced=True)
                 held, forced = [h[:1] for h in held], True
         if len(held[0]):
-            yield pairs(*held, forced)
+            yield pairs(*held, forced=forced)
 
     # the rows are dealt before they become keys, five times as many; a count of its own, as their bytes say little of those of the keys
     dealt = keys.repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "at")
@@ -233,7 +242,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similari
     """a, b (ids): all pairs of different components in the large buckets of the members (id); buckets of over `most` are dealt as pairs of blocks."""
     roots = nodes.join(members, "id", "left_semi").join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     bucket = Window.partitionBy("key")
-    rows = keys_of(keyed(roots, spread, True)).withColumnRenamed("sig", "root")
+    rows = keys_of(keyed(roots, spread, True).select("at", "bs", "id", "sig")).withColumnRenamed("sig", "root")
     rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter(F.col("size") > small).filter("least <> last")
     rows = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -306,7 +315,7 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, sprea
     nodes = stage(nodes.withColumn("id", F.xxhash64("node")))
     wide, rows = rows, stage(rows.select("doc_id", "row", "node"))
     discard(wide)
-    met = stage(meeting(keyed(nodes, spread), small))
+    met = stage(meeting(keyed(nodes, spread), similarity, small))
     # of the pairs in large buckets the four nearest of each set come first, the others come with the buckets' open pairs
     own = Window.partitionBy("b").orderBy(F.desc("key"), "a")
     first = met.filter("key < -1").groupBy("a", "b").agg(F.max("key").alias("key")).withColumn("at", F.row_number().over(own)).filter("at <= 4")
