@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
+
 from seqloom.llm import neardup, simhash
 
 
@@ -95,3 +97,28 @@ def test_pipeline_rows(spark, data):
     roots = brute([r["text"] for r in rows])
     kept = corpus_pipeline.near_dedup(spark, docs, data).collect()
     assert sorted(r["doc_id"] for r in kept) == [rows[i]["doc_id"] for i in sorted(set(roots))] and len(kept) < len(rows)
+
+
+def test_early_filter_keeps_similar_pairs(spark):
+    """Pairs of sets whose similarity is 0.8 or more pass sizes and parities where keys meet; clearly different ones don't."""
+    rng = np.random.default_rng(5)
+    rows, alike, unlike = [], set(), set()
+    for pair in range(300):
+        whole = rng.integers(-(1 << 62), 1 << 62, int(rng.integers(10, 400)))
+        cut = int(rng.integers(0, len(whole) // 9 + 1))
+        other = rng.integers(-(1 << 62), 1 << 62, len(whole)) if pair % 3 == 0 else whole
+        sets = [np.unique(whole[cut:]), np.unique(other[: len(other) - cut])]
+        shared = len(np.intersect1d(*sets))
+        likeness = shared / (len(sets[0]) + len(sets[1]) - shared)
+        for side, found in enumerate(sets):
+            odd = neardup.parities(found)
+            folded = [int(np.bitwise_xor.reduce(odd[k::2])) for k in range(2)]
+            rows.append((pair, [0], 2 * pair + side, 0, len(found), *folded))
+        if likeness >= 0.8:
+            alike.add((2 * pair, 2 * pair + 1))
+        elif likeness == 0 and len(whole) < 100:
+            unlike.add((2 * pair, 2 * pair + 1))
+    keys = spark.createDataFrame(rows, "at long, bs array<smallint>, id long, sig long, n int, even long, odd long")
+    met = {(r.a, r.b) for r in neardup.meeting(keys).collect() if r.key == -1}
+    assert len(alike) > 100 and alike <= met
+    assert unlike and not unlike & met
