@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, text_bytes
-from seqloom.llm.components import components
+from seqloom.llm.components import Forest, components
 from seqloom.llm.golay import segment_keys
 from seqloom.llm.neardup import near_deduplicated  # noqa: F401
 from seqloom.sources import read_table, stage
@@ -88,26 +88,6 @@ def bucketed(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp").mapInArrow(run, "key long, fp long")
 
 
-class Forest:
-    """Union-find over the linked fingerprints of a task."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def joins(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def run_links(fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning links of one large bucket: every fingerprint is compared with all that are not reached yet."""
     left = fps.copy()
