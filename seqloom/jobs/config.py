@@ -60,10 +60,13 @@ class ModelConfig:
     lam: float = 0.001
     non_negative: bool = True
     opt: str = "SGD"
+    match: str = "token"  # or substring
 
     def __post_init__(self) -> None:
         if self.opt != "SGD":
             raise ValueError(f"unknown optimiser {self.opt}")
+        if self.match not in ("token", "substring"):
+            raise ValueError(f"unknown way to match {self.match}")
         if self.N < 1 or self.n_iter < 0 or self.lr <= 0:
             raise ValueError("N and lr must be positive, n_iter not negative")
 

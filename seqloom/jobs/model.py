@@ -11,7 +11,7 @@ from seqloom.operators import corpus, evaluation, grammar, sequences
 from seqloom.sources import stage
 from seqloom.sources import text as files
 
-EDGE, SYLLABLE = "#", "!"
+EDGE, SYLLABLE, DOT = "#", "!", "."
 
 
 def dotted(words: DataFrame) -> DataFrame:
@@ -19,54 +19,94 @@ def dotted(words: DataFrame) -> DataFrame:
     return words.select(F.array_join(corpus.framed(corpus.symbols(words)), ".").alias("ngram"), "n")
 
 
-def tables(words: DataFrame, classes: DataFrame, config: ModelConfig = ModelConfig()) -> dict[str, DataFrame]:
-    """classes, cons, target, violations of words (word or phones, n) and classes (class, phones), each written once.
+def violations(forms: DataFrame, cons: DataFrame, classes: DataFrame, config: ModelConfig) -> DataFrame:
+    """ngram, con, v of distinct forms, matched as the settings say."""
+    by = grammar.substring_violations if config.match == "substring" else grammar.token_violations
+    return by(forms, cons, classes)
 
-    Without word boundaries neither forms nor classes hold the mark; with syllable boundaries the mark is a symbol and a class.
-    """
-    words = stage(words)
-    symbols = corpus.inventory(words).filter(~F.col("phone").isin(EDGE, SYLLABLE))
-    every = grammar.with_complements(classes, symbols, EDGE, config.singletons)
+
+def model_classes(words: DataFrame, classes: DataFrame, config: ModelConfig) -> DataFrame:
+    """class, phones of the model: the classes, their complements, single symbols if asked for and the marks in use, written once."""
+    spark = words.sparkSession
+    every = grammar.with_complements(classes, inventory(words), EDGE, config.singletons)
     if not config.word_boundaries:
         every = every.filter(F.col("class") != "word")
-    marks = [m for m, used in ((EDGE, config.word_boundaries), (SYLLABLE, config.syll_boundaries)) if used]
-    spark = words.sparkSession
     if config.syll_boundaries:
         every = every.unionByName(spark.range(1).select(F.lit("syllable").alias("class"), F.array(F.lit(SYLLABLE)).alias("phones")))
     every = stage(every)
-    alphabet = symbols
-    for m in marks:
-        alphabet = alphabet.union(spark.range(1).select(F.lit(m)))
-    counts = sequences.word_ngram_counts(words, config.N)
+    grammar.refuse_repeated_names(every)
+    return every
+
+
+def inventory(words: DataFrame) -> DataFrame:
+    """phone: the symbols of words without marks."""
+    return corpus.inventory(words).filter(~F.col("phone").isin(EDGE, SYLLABLE, DOT))
+
+
+def model_target(words: DataFrame, config: ModelConfig) -> DataFrame:
+    """ngram, p of all candidates, written once."""
+    alphabet = inventory(words)
+    for m, used in ((EDGE, config.word_boundaries), (SYLLABLE, config.syll_boundaries)):
+        if used:
+            alphabet = alphabet.union(words.sparkSession.range(1).select(F.lit(m)))
+    kept = words if "phones" not in words.columns else words.withColumn("phones", F.filter("phones", lambda p: ~p.isin(DOT, "")))
+    counts = sequences.word_ngram_counts(kept, config.N)
     if not config.word_boundaries:
         counts = counts.filter(~F.array_contains(F.split("ngram", r"\."), EDGE))
     target = grammar.observed(alphabet, counts, config.N)
-    target = stage(grammar.type_target(target) if config.type_frequency else target)
-    cons = stage(grammar.constraints(every, config.N))
-    return {"classes": every, "cons": cons, "target": target, "violations": stage(grammar.token_violations(target.select("ngram"), cons, every))}
+    return stage(grammar.type_target(target) if config.type_frequency else target)
+
 
+def tables(words: DataFrame, classes: DataFrame, config: ModelConfig = ModelConfig(), parts: tuple[str, ...] = ("classes", "cons", "target", "violations")) -> dict[str, DataFrame]:
+    """classes, cons, target, violations of words (word or phones, n) and classes (class, phones), each written once; only the `parts` asked for.
 
-def judged(forms: DataFrame, cons: DataFrame, classes: DataFrame, weights: DataFrame) -> DataFrame:
+    Without word boundaries neither forms nor classes hold the mark; with syllable boundaries the mark is a symbol and a class. A
+    symbol that is a dot is no symbol of an n-gram.
+    """
+    words = stage(words)
+    found: dict[str, DataFrame] = {}
+    if {"classes", "cons", "violations"} & set(parts):
+        found["classes"] = model_classes(words, classes, config)
+        found["cons"] = stage(grammar.constraints(found["classes"], config.N))
+    if {"target", "violations"} & set(parts):
+        found["target"] = model_target(words, config)
+    if "violations" in parts:
+        found["violations"] = stage(violations(found["target"].select("ngram"), found["cons"], found["classes"], config))
+    return found
+
+
+def judged(forms: DataFrame, cons: DataFrame, classes: DataFrame, weights: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """ngram, harmony of every distinct form (ngram, dotted) under the constraints that have a weight (con, weight)."""
-    forms = forms.select("ngram").distinct()
-    return grammar.harmony(forms, grammar.token_violations(forms, cons.join(weights.select("con"), "con", "left_semi"), classes), weights)
+    return grammar.windowed_harmony(forms.select("ngram").distinct(), cons, classes, weights, config.match == "substring")
 
 
 def fitted_judgements(words: DataFrame, classes: DataFrame, forms: DataFrame, config: ModelConfig = ModelConfig()) -> tuple[DataFrame, DataFrame]:
     """The grammar (con, regex, weight) and the judgements (ngram, harmony) of the forms."""
     t = tables(words, classes, config)
     weights = stage(fitting.fit(t["target"], t["violations"], config))
-    return weights.join(t["cons"].select("con", "regex"), "con").select("con", "regex", "weight"), judged(forms, t["cons"], t["classes"], weights)
+    return weights.join(t["cons"].select("con", "regex"), "con").select("con", "regex", "weight"), judged(forms, t["cons"], t["classes"], weights, config)
+
+
+def form_words(forms: DataFrame) -> DataFrame:
+    """phones, n: the symbols of dotted forms without word boundaries, equal ones counted."""
+    phones = F.filter(F.split("form", r"\."), lambda p: ~p.isin("", EDGE))
+    return forms.select(phones.alias("phones")).groupBy("phones").agg(F.count("*").alias("n"))
+
+
+def named_classes(classes: DataFrame) -> DataFrame:
+    """class, phones: a class is named by its symbols in order, with spaces between them."""
+    return classes.select(F.array_join(F.array_sort("phones"), " ").alias("class"), "phones")
 
 
-def run(spark: SparkSession, corpus_file: str, classes_file: str, tests_file: str, out: str, config: ModelConfig = ModelConfig()) -> None:
-    """Files in; folders `grammar` and `judgements` under `out`."""
-    words = files.read_words(spark, corpus_file).groupBy("phones").agg(F.count("*").alias("n"))
-    classes = files.read_classes(spark, classes_file).select(F.array_join("phones", "").alias("class"), "phones")
-    forms = files.read_words(spark, tests_file).select("phones", F.lit(1).alias("n"))
-    rules, scores = fitted_judgements(words, classes, dotted(forms), config)
+def run(spark: SparkSession, corpus_file: str, classes_file: str, tests_file: str, out: str, config: ModelConfig = ModelConfig(match="substring")) -> None:
+    """Files in; folders `grammar` and `judgements` under `out`. Every line of the test file has a line of its own, in the file's order."""
+    marks = config.word_boundaries, config.syll_boundaries
+    words = form_words(files.read_forms(spark, corpus_file, *marks))
+    classes = named_classes(files.read_classes(spark, classes_file))
+    tests = stage(files.read_forms(spark, tests_file, *marks))
+    rules, scores = fitted_judgements(words, classes, tests.select(F.col("form").alias("ngram")), config)
     files.write_grammar(rules, f"{out}/grammar")
-    files.write_judgements(scores.select(F.concat("ngram", F.lit(".")).alias("form"), "harmony"), f"{out}/judgements")
+    files.write_judgements(tests.join(scores.withColumnRenamed("ngram", "form"), "form").select("line", "form", "harmony"), f"{out}/judgements")
 
 
 def repeated(words: DataFrame, classes_of: list[DataFrame], forms: DataFrame, ratings: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:

@@ -330,12 +330,16 @@ def _classes(words: DataFrame) -> DataFrame:
     return early.unionByName(frequent).groupBy("class").agg(F.array_sort(F.collect_set("phone")).alias("phones"))
 
 
-def _model(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The model's tables, each written once: all of them are small next to the corpus and read several times."""
+def _model(spark: SparkSession, d: str, *parts: str) -> dict[str, DataFrame]:
+    """The model's tables that a query needs, each written once: all of them are small next to the corpus and read several times."""
     words = stage(_words(spark, d))
-    t = model.tables(words, _classes(words))
-    weights = t["cons"].select("con", (0.5 + F.length("con") / 100.0).alias("weight"))
-    return t | {"words": words, "weights": weights, "scores": stage(grammar.harmony(t["target"], t["violations"], weights))}
+    own = {"weights": "cons", "scores": "violations"}
+    t = model.tables(words, _classes(words), parts=tuple(own.get(p, p) for p in parts)) | {"words": words}
+    if {"weights", "scores"} & set(parts):
+        t["weights"] = t["cons"].select("con", (0.5 + F.length("con") / 100.0).alias("weight"))
+    if "scores" in parts:
+        t["scores"] = stage(grammar.harmony(t["target"], t["violations"], t["weights"]))
+    return t
 
 
 @query(f"WITH {SPACE} SELECT ngram FROM cands WHERE ngram NOT IN (SELECT ngram FROM ngrams)")
@@ -346,17 +350,17 @@ def cand_unattested(spark, d):
 
 @query(f"WITH {SPACE} SELECT ngram, round(p, 9) AS p FROM target")
 def cand_observed_prob(spark, d):
-    return _model(spark, d)["target"].withColumn("p", F.round("p", 9))
+    return _model(spark, d, "target")["target"].withColumn("p", F.round("p", 9))
 
 
 @query(f"WITH {CLASSES} SELECT con, n, regex FROM cons")
 def con_build(spark, d):
-    return _model(spark, d)["cons"].select("con", "n", "regex")
+    return _model(spark, d, "cons")["cons"].select("con", "n", "regex")
 
 
 @query(f"WITH {CLASSES} SELECT ngram, con, v FROM viol")
 def con_violations_token(spark, d):
-    return _model(spark, d)["violations"]
+    return _model(spark, d, "violations")["violations"]
 
 
 _FIXED = (r"(t|h)[\.](h)", r"(e|i|o)", r"(h|e)[\.](#)")
@@ -369,23 +373,23 @@ def con_violations_substring(spark, d):
 
 @query(f"WITH {CLASSES} SELECT ngram, round(harmony, 6) AS harmony FROM scores")
 def score_harmony(spark, d):
-    return _model(spark, d)["scores"].withColumn("harmony", F.round("harmony", 6))
+    return _model(spark, d, "scores")["scores"].withColumn("harmony", F.round("harmony", 6))
 
 
 @query(f"WITH {CLASSES} SELECT ngram, round(p, 9) AS p FROM soft")
 def score_softmax(spark, d):
-    return grammar.softmax(_model(spark, d)["scores"]).withColumn("p", F.round("p", 9))
+    return grammar.softmax(_model(spark, d, "scores")["scores"]).withColumn("p", F.round("p", 9))
 
 
 @query(f"WITH {CLASSES}, ll AS (SELECT -sum(t.p * ln(least(greatest(s.p, 1e-20), 1.0))) / sum(t.p) AS l FROM target t JOIN soft s USING (ngram)), sq AS (SELECT sum(weight * weight) AS q FROM weights) SELECT round(l, 6) AS loglik, round(l + 0.001 * q, 6) AS loss FROM ll, sq")
 def score_loss(spark, d):
-    m = _model(spark, d)
+    m = _model(spark, d, "scores")
     return grammar.loss(m["target"], grammar.softmax(m["scores"]), m["weights"], 0.001).select(*[F.round(c, 6).alias(c) for c in ("loglik", "loss")])
 
 
 @query(f"WITH {CLASSES}, g AS (SELECT con, sum(v * (s.p - t.p)) AS g FROM viol JOIN soft s USING (ngram) JOIN target t USING (ngram) GROUP BY 1) SELECT con, round(greatest(0, weight + 0.1 * (coalesce(g, 0) - 0.001)), 6) AS weight FROM weights LEFT JOIN g USING (con)")
 def fit_gradient_step(spark, d):
-    m = _model(spark, d)
+    m = _model(spark, d, "scores")
     return grammar.gradient_step(m["target"], grammar.softmax(m["scores"]), m["violations"], m["weights"], 0.1, 0.001).withColumn("weight", F.round("weight", 6))
 
 
@@ -394,10 +398,67 @@ hits AS (SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN cons
   SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN members k ON k.phone = p[i + 1] JOIN cons ON n = 2 AND c1 = m.class AND c2 = k.class WHERE i < len(p))
 SELECT array_to_string(list_concat(['#'], string_split(word, ''), ['#']), '.') AS ngram, round(coalesce(-sum(weight), 0.0), 6) AS harmony FROM words LEFT JOIN (hits JOIN weights USING (con)) USING (word) GROUP BY 1""")
 def score_judgements(spark, d):
-    m = _model(spark, d)
+    m = _model(spark, d, "weights")
     return model.judged(model.dotted(m["words"]), m["cons"], m["classes"], m["weights"]).withColumn("harmony", F.round("harmony", 6))
 
 
+_STARTS = "(SELECT count(*) FROM (SELECT unnest(range(1, length({form}) + 1)) AS i) WHERE regexp_matches(substr({form}, i::INTEGER), '^(' || regex || ')'))"
+
+
+@query(f"WITH {CLASSES}, hits AS (SELECT ngram, con, {_STARTS.format(form='ngram')}::BIGINT AS v FROM cands, cons) SELECT * FROM hits WHERE v > 0")
+def con_violations_substring_table(spark, d):
+    """The whole constraint table by substring, through one automaton."""
+    m = _model(spark, d, "target", "cons")
+    return grammar.substring_violations(m["target"].select("ngram"), m["cons"], m["classes"])
+
+
+@query(f"""WITH {CLASSES}, forms AS (SELECT array_to_string(list_concat(['#'], string_split(word, ''), ['#']), '.') AS ngram FROM words),
+spots AS (SELECT ngram, substr(ngram, unnest(range(1, length(ngram) + 1))::INTEGER, 3) AS w FROM forms),
+cost AS (SELECT w, sum(weight) AS cost FROM (SELECT DISTINCT w FROM spots), cons JOIN weights USING (con) WHERE regexp_matches(w, '^(' || regex || ')') GROUP BY 1)
+SELECT ngram, round(coalesce(-sum(cost), 0.0), 6) AS harmony FROM spots LEFT JOIN cost USING (w) GROUP BY 1""")
+def score_judgements_substring(spark, d):
+    m = _model(spark, d, "weights")
+    return model.judged(model.dotted(m["words"]), m["cons"], m["classes"], m["weights"], ModelConfig(match="substring")).withColumn("harmony", F.round("harmony", 6))
+
+
+# symbols of one and of two characters, a mark of syllables, and two classes whose symbols joined without a separator are equal
+_MARKED = """syl AS (SELECT list(s ORDER BY l_linenumber, s) AS p FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'N' WHEN l_returnflag = 'A' THEN 'F' WHEN l_linestatus = 'F' THEN 'NF' ELSE '!' END AS s FROM lineitem) GROUP BY l_orderkey),
+orders_of AS (SELECT p, count(*) AS n FROM syl GROUP BY p),
+classes AS (SELECT * FROM (VALUES ('F N', ['F', 'N']), ('NF', ['NF']), ('word', ['#']), ('syllable', ['!'])) t(class, phones)),
+named AS (SELECT class, '(' || array_to_string(phones, '|') || ')' AS part FROM classes),
+cons AS (SELECT '[' || class || ']' AS con, 1 AS n, class AS c1, NULL AS c2, part AS regex FROM named UNION ALL SELECT '[' || a.class || '][' || b.class || ']', 2, a.class, b.class, a.part || '[.]' || b.part FROM named a, named b),
+members AS (SELECT class, unnest(phones) AS phone FROM classes), alphabet AS (SELECT DISTINCT phone FROM members),
+cands AS (SELECT a.phone AS t1, b.phone AS t2, a.phone || '.' || b.phone AS ngram FROM alphabet a, alphabet b)"""
+
+
+def _marked(spark: SparkSession, d: str, match: str, *parts: str) -> dict[str, DataFrame]:
+    symbol = F.when(F.col("l_returnflag") == "R", "N").when(F.col("l_returnflag") == "A", "F").when(F.col("l_linestatus") == "F", "NF").otherwise(model.SYLLABLE)
+    words = stage(corpus.sequence_words(read_table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", symbol))
+    classes = model.named_classes(spark.createDataFrame([(["N", "F"],), (["NF"],)], "phones array<string>"))
+    return model.tables(words, classes, ModelConfig(syll_boundaries=True, match=match), parts) | {"words": words}
+
+
+@query(f"""WITH {_MARKED} SELECT ngram, con, count(*) AS v FROM (SELECT ngram, con FROM cands JOIN members m ON m.phone = t1 JOIN cons ON n = 1 AND c1 = m.class UNION ALL SELECT ngram, con FROM cands JOIN members m ON m.phone = t2 JOIN cons ON n = 1 AND c1 = m.class UNION ALL
+SELECT ngram, con FROM cands JOIN members m ON m.phone = t1 JOIN members k ON k.phone = t2 JOIN cons ON n = 2 AND c1 = m.class AND c2 = k.class) GROUP BY 1, 2""")
+def con_violations_marked(spark, d):
+    """Symbols of several characters and marks of syllables, by token."""
+    return _marked(spark, d, "token", "violations")["violations"]
+
+
+@query(f"WITH {_MARKED}, hits AS (SELECT ngram, con, {_STARTS.format(form='ngram')}::BIGINT AS v FROM cands, cons) SELECT * FROM hits WHERE v > 0")
+def con_violations_marked_substring(spark, d):
+    return _marked(spark, d, "substring", "violations")["violations"]
+
+
+@query(f"""WITH {_MARKED}, forms AS (SELECT array_to_string(list_concat(['#'], p, ['#']), '.') AS ngram FROM orders_of),
+hits AS (SELECT ngram, {_STARTS.format(form='ngram')} * (0.5 + length(con) / 100.0::DOUBLE) AS cost FROM forms, cons)
+SELECT ngram, round(coalesce(-sum(cost), 0.0), 6) AS harmony FROM hits GROUP BY 1""")
+def score_marked_substring(spark, d):
+    m = _marked(spark, d, "substring", "cons")
+    weights = m["cons"].select("con", (0.5 + F.length("con") / 100.0).alias("weight"))
+    return model.judged(model.dotted(m["words"]), m["cons"], m["classes"], weights, ModelConfig(match="substring")).withColumn("harmony", F.round("harmony", 6))
+
+
 # ---------------------------------------------------------------- evaluation
 def _rated(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "labels").join(read_table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
@@ -452,7 +513,7 @@ def cluster_symbol_axes(spark, d):
 
 @query()
 def fit_maxent(spark, d):
-    m = _model(spark, d)
+    m = _model(spark, d, "violations")
     return fitting.fit(m["target"], m["violations"], ModelConfig())
 
 

@@ -1,12 +1,16 @@
 """Candidate n-grams, class constraints, their violations, and one step of the log-linear model.
 
 constraints: con, n, classes (array of class names), regex; members: class, phone. Violations are kept sparse and positive.
+Two ways to match are kept apart: by token (a symbol lies in a class) and by substring (the constraint's regex starts anywhere
+in the dotted form, so a class member may be the end of one symbol or the start of another).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +60,17 @@ def quoted(symbol: Column) -> Column:
     return F.regexp_replace(symbol, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
 
 
-def constraints(classes: DataFrame, most: int) -> DataFrame:
-    """con, n, classes, regex for sequences of 1 to `most` classes that are all different or all the same."""
+def bracketed(name: Column) -> Column:
+    return F.regexp_replace(name, r"([\\\[\]])", r"\\$1")
+
+
+def constraints(classes: DataFrame, most: int, limit: int = 20_000_000) -> DataFrame:
+    """con, n, classes, regex for sequences of 1 to `most` classes that are all different or all the same.
+
+    A constraint is its regex, the sets of symbols in order; con spells the classes' names, whose brackets are escaped, so that it is as distinct as they are.
+    The rows are the result, about the number of classes to the power of `most`; their number is checked against `limit`."""
+    if (size := classes.count() ** most) > limit:
+        raise ValueError(f"{size} sequences of classes")
     named = classes.select("class", F.concat(F.lit("("), F.array_join(F.transform("phones", quoted), "|"), F.lit(")")).alias("part"))
     base = named.select(F.array("class").alias("classes"), F.col("part").alias("regex"))
     level, parts = base, [base]
@@ -66,7 +79,14 @@ def constraints(classes: DataFrame, most: int) -> DataFrame:
         kinds = F.size(F.array_distinct("classes"))
         parts.append(level.filter((kinds == F.size("classes")) | (kinds == 1)))
     every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("regex").agg(F.min("classes").alias("classes")).select(F.concat(F.lit("["), F.array_join("classes", "]["), F.lit("]")).alias("con"), F.size("classes").alias("n"), "classes", "regex")
+    return every.groupBy("regex").agg(F.min("classes").alias("classes")).select(F.concat(F.lit("["), F.array_join(F.transform("classes", bracketed), "]["), F.lit("]")).alias("con"), F.size("classes").alias("n"), "classes", "regex")
+
+
+def refuse_repeated_names(classes: DataFrame) -> None:
+    """Constraints, members and weights meet by the names of classes, so each has to be one class."""
+    names = [r["class"] for r in classes.groupBy("class").count().filter("count > 1").select("class").orderBy("class").limit(5).collect()]
+    if names:
+        raise ValueError(f"classes that share a name: {', '.join(map(str, names))}")
 
 
 def token_violations(forms: DataFrame, cons: DataFrame, classes: DataFrame) -> DataFrame:
@@ -79,6 +99,134 @@ def token_violations(forms: DataFrame, cons: DataFrame, classes: DataFrame) -> D
     return found.filter("k = n").groupBy("ngram", "con").agg(F.count("*").alias("v"))
 
 
+def token_windows(forms: DataFrame, most: int) -> DataFrame:
+    """ngram, window: for every place of a dotted form the tokens from there on, `most` at most, joined again."""
+    tokens = F.split("ngram", r"\.")
+    windows = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, i, F.lit(most)), "."))
+    return forms.select("ngram", F.explode(windows).alias("window"))
+
+
+def substring_windows(forms: DataFrame, longest: int) -> DataFrame:
+    """ngram, window: for every place of a form the characters from there on, `longest` at most."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("ngram"), F.lit(1))), lambda i: i <= F.length("ngram"))
+    windows = F.transform(starts, lambda i: F.substring(F.col("ngram"), i, F.lit(longest)))
+    return forms.select("ngram", F.explode(windows).alias("window"))
+
+
+def token_starts(windows: DataFrame, cons: DataFrame, classes: DataFrame) -> DataFrame:
+    """window, con: constraints that the tokens of a distinct window fit from its first one on."""
+    members = classes.select("class", F.explode(F.array_distinct("phones")).alias("phone"))
+    tokens = windows.select("window", F.posexplode(F.split("window", r"\.")).alias("k", "phone"))
+    wanted = cons.select("con", "n", F.posexplode("classes").alias("k", "class"))
+    found = tokens.join(members, "phone").join(wanted, ["k", "class"]).groupBy("window", "con", "n").agg(F.count("*").alias("fits"))
+    return found.filter("fits = n").select("window", "con")
+
+
+class Automaton:
+    """All constraints as one trie of class sequences, run over characters: a state is a trie node and a place of the text."""
+
+    def __init__(self, cons: list[tuple[str, list[str]]], members: dict[str, list[str]]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[list[str]] = [[]]
+        for con, classes in cons:
+            at = 0
+            for c in classes:
+                if c not in self.next[at]:
+                    self.next[at][c] = len(self.next)
+                    self.next.append({})
+                    self.ends.append([])
+                at = self.next[at][c]
+            self.ends[at].append(con)
+        self.first: dict[str, list[tuple[str, list[str]]]] = {}
+        by_phone: dict[str, list[str]] = {}
+        for c, phones in members.items():
+            for p in phones:
+                by_phone.setdefault(p, []).append(c)
+        for p, found in by_phone.items():
+            self.first.setdefault(p[:1], []).append((p, found))
+
+    def matches(self, text: str) -> list[str]:
+        """The constraints that match at the start of the text, each once."""
+        found, queue, seen = [], [(0, 0)], {(0, 0)}
+        ended = set()
+        while queue:
+            node, at = queue.pop()
+            onward = self.next[node]
+            for phone, classes in self.first.get(text[at : at + 1], ()):
+                if not text.startswith(phone, at):
+                    continue
+                end = at + len(phone)
+                for c in classes:
+                    if (to := onward.get(c)) is None:
+                        continue
+                    if to not in ended:
+                        ended.add(to)
+                        found += self.ends[to]
+                    if self.next[to] and text.startswith(".", end) and (to, end + 1) not in seen:
+                        seen.add((to, end + 1))
+                        queue.append((to, end + 1))
+        return found
+
+
+def substring_starts(windows: DataFrame, cons: DataFrame, classes: DataFrame, block: int = 200_000) -> DataFrame:
+    """window, con: constraints whose regex matches at the start of a distinct window. The constraints go to the tasks as automata of at most `block` each."""
+    members = {r["class"]: r["phones"] for r in classes.select("class", F.array_distinct("phones").alias("phones")).collect()}
+    if any(p == "" for phones in members.values() for p in phones):
+        raise ValueError("an empty symbol in a class")
+    total = cons.count()
+    parts = max(1, -(-total // block))
+    sc = windows.sparkSession.sparkContext
+    out = None
+    for part in range(parts):  # one, but for huge constraint tables
+        own = cons.filter(F.pmod(F.xxhash64("con"), F.lit(parts)) == part).select("con", "classes")
+        automaton = sc.broadcast(Automaton([(r["con"], r["classes"]) for r in own.toLocalIterator()], members))
+
+        def run(batches: Iterator[pa.RecordBatch], automaton=automaton) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    texts = batch.column(0).slice(lo, 1024).to_pylist()
+                    found = [(t, c) for t in texts for c in automaton.value.matches(t)]
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(2)], ["window", "con"])
+
+        rows = windows.select("window").mapInArrow(run, "window string, con string")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def longest_match(cons: DataFrame, classes: DataFrame) -> int:
+    """Characters that the longest match of any constraint can have."""
+    size = classes.select("class", F.array_max(F.transform("phones", F.length)).alias("size"))
+    spans = cons.select("con", "n", F.explode("classes").alias("class")).join(size, "class").groupBy("con", "n").agg((F.sum("size") + F.col("n") - 1).alias("span"))
+    return int(spans.agg(F.coalesce(F.max("span"), F.lit(1))).first()[0])
+
+
+def substring_violations(forms: DataFrame, cons: DataFrame, classes: DataFrame) -> DataFrame:
+    """ngram, con, v: start positions at which the regex of each constraint of the table matches, overlaps counted.
+
+    What a place gives depends on the characters that a match can span, so the automaton reads each distinct window once.
+    """
+    windows = substring_windows(forms, longest_match(cons, classes))
+    starts = substring_starts(windows.select("window").distinct(), cons, classes)
+    return windows.join(starts, "window").groupBy("ngram", "con").agg(F.count("*").alias("v"))
+
+
+def windowed_harmony(forms: DataFrame, cons: DataFrame, classes: DataFrame, weights: DataFrame, substrings: bool = False) -> DataFrame:
+    """ngram, harmony: as harmony() of the violations of all constraints with a weight, by token or by substring.
+
+    The cost of every distinct window is summed once; forms then meet one row for each of their places, whatever the number of constraints.
+    """
+    weighted = cons.join(weights.select("con"), "con", "left_semi")
+    if substrings:
+        windows = substring_windows(forms, longest_match(weighted, classes))
+        starts = substring_starts(windows.select("window").distinct(), weighted, classes)
+    else:
+        windows = token_windows(forms, int(weighted.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]))
+        starts = token_starts(windows.select("window").distinct(), weighted, classes)
+    costs = starts.join(weights, "con").groupBy("window").agg(F.sum("weight").alias("cost"))
+    found = windows.join(costs, "window").groupBy("ngram").agg(F.sum(-F.col("cost")).alias("h"))
+    return forms.select("ngram").join(found, "ngram", "left").select("ngram", F.coalesce("h", F.lit(0.0)).alias("harmony"))
+
+
 def regex_violations(forms: DataFrame, patterns: list[str]) -> DataFrame:
     """ngram, regex, v: start positions at which a pattern matches, overlaps counted. The patterns are literals of the plan."""
     pairs = F.array(*[F.struct(F.lit(p).alias("regex"), F.regexp_count("ngram", F.lit(f"(?={p})")).cast("long").alias("v")) for p in patterns])

@@ -11,13 +11,20 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.split(F.rtrim("value"), " ").alias("phones"))
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, line (file, block and place in it: lines order by it as they stand in the files)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return lines.select("value", F.struct("file", "block", "at").alias("line"))
+
+
 def read_forms(spark: SparkSession, path: str, word_boundaries: bool = True, syll_boundaries: bool = False) -> DataFrame:
-    """form: the first tab field's symbols joined by dots, framed by word boundaries; '.' is '!' only if both kinds are marked."""
+    """line, form: the first tab field's symbols joined by dots, framed by word boundaries; '.' is '!' only if both kinds are marked."""
     symbols = F.filter(F.split(F.trim(F.split("value", "\t")[0]), r"\s+"), lambda t: t != "")
     if word_boundaries and syll_boundaries:
         symbols = F.transform(symbols, lambda t: F.when(t == ".", "!").otherwise(t))
     form = F.array_join(symbols, ".")
-    return spark.read.text(path).select((F.concat(F.lit("#."), form, F.lit(".#.")) if word_boundaries else F.concat(form, F.lit("."))).alias("form"))
+    framed = F.concat(F.lit("#."), form, F.lit(".#.")) if word_boundaries else F.concat(form, F.lit("."))
+    return read_lines(spark, path).select("line", framed.alias("form"))
 
 
 def read_test_forms(spark: SparkSession, path: str) -> DataFrame:
@@ -70,9 +77,10 @@ def write_grammar(grammar: DataFrame, path: str) -> None:
 
 
 def write_judgements(scores: DataFrame, path: str) -> None:
-    """form, harmony: symbols between spaces, without boundaries, and three decimals."""
+    """form, harmony: symbols between spaces, without boundaries, and three decimals; in the order of `line` if there is one."""
     plain = F.replace(F.replace("form", F.lit("#."), F.lit("")), F.lit("."), F.lit(" "))
-    scores.select(F.concat_ws("\t", plain, F.format_string("%.3f", "harmony"))).write.text(path)
+    rows = scores.orderBy("line") if "line" in scores.columns else scores
+    rows.select(F.concat_ws("\t", plain, F.format_string("%.3f", "harmony"))).write.text(path)
 
 
 def read_judgements(spark: SparkSession, path: str) -> DataFrame:
