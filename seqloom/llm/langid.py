@@ -6,7 +6,8 @@ forward-backward over runs of at most `span` words, so code-switched text gets a
 language is the one with the most posterior words, its score the share of these words.
 
 The field is fitted on a bounded sample of labelled documents: `per_label` of each label in expectation, drawn by a hash of
-the id. Gradients are summed over Spark partitions in every step. Prediction covers all words of all texts.
+the id and the text, and twice as many at most. Half of them are cut into pieces that are joined across languages, so the
+transitions learn switches. Gradients are summed over Spark partitions in every step. Prediction covers all words of all texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any labelled row all are `und`;
 ties go to the label that sorts first; repeated rows are judged alike; an empty table gives an empty result. Other
@@ -23,10 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.arrow import blocks
+from seqloom.llm.arrow import blocks, ragged
+from seqloom.llm.rows import keeps_columns
 from seqloom.sources import read_table, stage
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -114,19 +116,35 @@ def runs(counts: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+def joined_runs(counts: np.ndarray, span: int, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the words of some documents and the lengths of the runs in it: every other document is cut into runs as it
+    is, the pieces of the others follow each other in a mixed order."""
+    starts = np.cumsum(counts) - counts
+    whole, other = np.arange(0, len(counts), 2), np.arange(1, len(counts), 2)
+    sizes = runs(counts[other], piece)
+    first = np.repeat(starts[other], -(-counts[other] // piece))
+    own = np.arange(len(sizes)) - np.repeat(np.cumsum(-(-counts[other] // piece)) - -(-counts[other] // piece), -(-counts[other] // piece))
+    mixed = np.random.default_rng(len(sizes)).permutation(len(sizes))
+    order = np.concatenate((ragged(starts[whole], counts[whole]), ragged((first + own * piece)[mixed], sizes[mixed])))
+    return order, np.concatenate((runs(counts[whole], span), runs(np.array([sizes.sum()]), span)))
+
+
 def sample(docs: DataFrame, text: str, label: str, per_label: int) -> DataFrame:
-    """About `per_label` labelled documents of each label, the same on every run: text, label."""
+    """About `per_label` labelled documents of each label, twice as many at most, the same on every run: t (text), y (label)."""
     known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").alias("i"), F.col(label).alias("y"), F.col(text).alias("t"))
     counts = known.groupBy("y").count().collect()  # a row a label, like the field itself
     if not counts:
         return known.select("t", "y").limit(0)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], min(1.0, per_label / r["count"]))])
-    drawn = (F.pmod(F.xxhash64("i"), F.lit(1 << 30)) + 0.5) / (1 << 30) < F.element_at(share, F.col("y"))
-    return known.filter(drawn).select("t", "y")
+    known = known.withColumn("h", F.xxhash64("i", "t"))  # rows without an id are told apart by their texts
+    drawn = known.filter((F.pmod("h", F.lit(1 << 30)) + 0.5) / (1 << 30) < F.element_at(share, F.col("y")))
+    # equal rows are drawn together, so their number has a bound of its own
+    place = F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))
+    return drawn.withColumn("place", place).filter(F.col("place") <= 2 * per_label).select("t", "y")
 
 
-def fit(train: DataFrame, buckets: int = 1 << 14, steps: int = 10, rate: float = 0.5, decay: float = 1e-4, words: int = 400, span: int = 64, tasks: int = 6) -> Field | None:
-    """Full-batch adaptive gradient steps. `words`: lexicon entries of each label. None if nothing is labelled."""
+def fit(train: DataFrame, buckets: int = 1 << 14, steps: int = 10, rate: float = 0.5, decay: float = 1e-4, words: int = 400, span: int = 64, piece: int = 12, tasks: int = 6) -> Field | None:
+    """Full-batch adaptive gradient steps over whole texts and over pieces of `piece` words of different texts joined to one, from which the field learns switches. `words`: lexicon entries of each label. None if nothing is labelled."""
     spark = train.sparkSession
     train = stage(train.repartition(tasks))
     labels = sorted(r[0] for r in train.select("y").distinct().collect())
@@ -166,14 +184,17 @@ def fit(train: DataFrame, buckets: int = 1 << 14, steps: int = 10, rate: float =
                 rows, feats = word_features(list(uniq), m.lexicon, m.buckets)
                 w = m.emit[feats]
                 e = np.stack([np.bincount(rows, w[:, j], len(uniq)) for j in range(k)], axis=1)
-                lengths = runs(counts, span)
-                post, pairs = forward_backward(e[at], lengths, m.move)
                 gold = np.repeat(np.array([m.labels.index(y) for y in b.column(1).to_pylist()]), counts)
+                order, lengths = joined_runs(counts, span, piece)
+                at, gold = at[order], gold[order]
+                post, pairs = forward_backward(e[at], lengths, m.move)
                 post[np.arange(len(gold)), gold] -= 1
                 by_word = np.stack([np.bincount(at, post[:, j], len(uniq)) for j in range(k)], axis=1)
                 emit -= np.stack([np.bincount(feats, by_word[rows, j], len(m.emit)) for j in range(k)], axis=1)
-                run_gold = gold[np.cumsum(lengths) - 1]
-                move += np.diag(np.bincount(run_gold, lengths - 1, k)) - pairs
+                inner = np.ones(len(gold), bool)
+                inner[np.cumsum(lengths) - 1] = False  # the last word of a run leads nowhere
+                step = np.flatnonzero(inner)
+                move += np.bincount(gold[step] * k + gold[step + 1], minlength=k * k).reshape(k, k) - pairs
             yield pa.RecordBatch.from_arrays([pa.array([emit.tobytes()], pa.binary()), pa.array([move.tobytes()], pa.binary())], ["emit", "move"])
 
         parts = train.select("t", "y").mapInArrow(gradient, "emit binary, move binary").collect()  # one row a task, of the field's size
@@ -241,6 +262,7 @@ def fitted(docs: DataFrame, per_label: int = 300) -> Field | None:
     return fit(sample(docs.filter(~held_out(F.col("doc_id"))), "text", "lang", per_label))
 
 
+@keeps_columns
 def identified(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The documents whose language is known: not `und`, and with at least that share of their words in one language."""
     out = predict(docs, fitted(docs), to=("_lang", "_share"))

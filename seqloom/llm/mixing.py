@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm.rows import keeps_columns, row_digest
 from seqloom.sources import stage
 
 BITS, LEVELS = 12, 5
@@ -42,8 +43,9 @@ def hashed(rows: DataFrame, name: Column, to: str) -> DataFrame:
     if repeated.isEmpty():
         return named.select(*[named[c] for c in columns], bits(F.lit(1)))
     once = keyed.join(repeated, "_mix_key", "left_anti").select(*columns, bits(F.lit(1)))
-    some = keyed.join(repeated, "_mix_key", "left_semi").groupBy(*columns, "_mix_name").agg(F.count("*").alias("_mix_n"))
-    before = Window.partitionBy("_mix_name").orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, -1)
+    some = keyed.join(repeated, "_mix_key", "left_semi").groupBy("_mix_name", row_digest(columns).alias("_mix_row"))
+    some = some.agg(F.count("*").alias("_mix_n"), F.first(F.struct(*columns)).alias("_mix_whole")).select("_mix_name", "_mix_row", "_mix_n", "_mix_whole.*")
+    before = Window.partitionBy("_mix_name").orderBy("_mix_row").rowsBetween(Window.unboundedPreceding, -1)
     some = some.withColumn("_mix_lo", F.coalesce(F.sum("_mix_n").over(before), F.lit(0)))
     some = some.withColumn("_mix_at", F.explode(F.sequence(F.col("_mix_lo") + 1, F.col("_mix_lo") + F.col("_mix_n"))))
     return once.union(some.select(*columns, bits(F.col("_mix_at"))))
@@ -115,6 +117,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
+@keeps_columns
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The rows of `docs` that the mix takes, each as often as the mix takes it; only the plan, a row a source, meets the texts."""
     _, plan = mix_plan(docs, weights, max_epochs, seed)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, ragged, text_bytes
+from seqloom.llm.rows import keeps_columns
 from seqloom.sources import discard, read_table, stage
 
 LENGTH, GRAM = 200, 32
@@ -91,9 +92,9 @@ def segments(raw: bytes, starts: np.ndarray, sizes: np.ndarray, length: int, gra
     return owner[first], at[first], count, anchor[first] - at[first], h[anchor[first]]
 
 
-def tag(text: bytes) -> int:
-    """Tells apart texts that share a doc_id."""
-    return xxhash.xxh32_intdigest(text) - (1 << 31)
+def tag(text: bytes) -> bytes:
+    """128 bits that tell apart texts that share a doc_id."""
+    return xxhash.xxh3_128_digest(text)
 
 
 def cut(docs: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
@@ -110,7 +111,7 @@ def cut(docs: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, size=1 << 20):
             texts = text_bytes(b).to_pylist()
-            tags = np.array([tag(t) for t in texts], np.int32)
+            tags = pa.array([tag(t) for t in texts], pa.binary())
             long = [i for i, t in enumerate(texts) if len(t) > chunk]
             sizes = np.array([0 if len(t) > chunk else len(t) for t in texts], np.int64)
             raw = b"".join(t for t in texts if len(t) <= chunk)
@@ -121,9 +122,9 @@ def cut(docs: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
                     owner, cols = rows(piece, np.zeros(1, np.int64), np.array([len(piece)]), lo)
                     found.append((np.full(len(owner), i), cols))
             for owner, (h, content, place) in found:
-                yield pa.RecordBatch.from_arrays([h, content, b.column(0).take(pa.array(owner)), pa.array(tags[owner]), place], ["anchor", "content", "doc_id", "tag", "place"])
+                yield pa.RecordBatch.from_arrays([h, content, b.column(0).take(pa.array(owner)), tags.take(pa.array(owner)), place], ["anchor", "content", "doc_id", "tag", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, content binary, doc_id {kind}, tag int, place long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, content binary, doc_id {kind}, tag binary, place long")
 
 
 class Columns:
@@ -204,7 +205,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     lists = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "content", "times", "place")).alias("parts"))
     lists = lists.select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "parts")
     # a text that stands twice under one doc_id is fetched once
-    texts = tagged(docs).dropDuplicates(["doc_id", "tag", "body"])
+    texts = tagged(docs).dropDuplicates(["doc_id", "tag"])
     joined = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("tag") == F.col("t"))).select("body", "parts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +234,9 @@ def tagged(docs: DataFrame) -> DataFrame:
         press = zstandard.ZstdCompressor(level=1)
         for b in blocks(batches):
             texts = text_bytes(b).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tag(t) for t in texts], pa.int32()), pa.array([press.compress(t) for t in texts], pa.binary())], ["doc_id", "tag", "body"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([tag(t) for t in texts], pa.binary()), pa.array([press.compress(t) for t in texts], pa.binary())], ["doc_id", "tag", "body"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tag int, body binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, tag binary, body binary")
 
 
 def by_construction(segs: DataFrame, length: int, width: int, batch: int = 6000) -> DataFrame:
@@ -373,8 +374,8 @@ def kept(text: bytes, packed: list[int] | None) -> tuple[bytes, int, int]:
 
 
 def span_lists(docs: DataFrame, **options) -> DataFrame:
-    """_cut_id, _cut_tag, _cut_spans: the spans of each text in one list, as long as its text at most."""
-    lists = spans(docs, **options).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("_cut_spans"))
+    """_cut_id, _cut_tag, _cut_spans: the spans of each text in one list, as long as its text at most: rows of equal doc_id and text have equal spans, which count once."""
+    lists = spans(docs, **options).groupBy("doc_id", "tag").agg(F.flatten(F.collect_set("spans")).alias("_cut_spans"))
     return lists.select(F.col("doc_id").alias("_cut_id"), F.col("tag").alias("_cut_tag"), "_cut_spans")
 
 
@@ -397,6 +398,7 @@ def digests(docs: DataFrame, **options) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@keeps_columns
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` with repeated bytes cut out of their texts; null texts stay null."""
     lists, names = span_lists(docs, **options), docs.columns
@@ -407,14 +409,14 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
             texts = [t if t is None or not s else kept(t.encode(), s)[0].decode("utf-8", "replace") for t, s in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(names))], names)
 
-    rows = docs.mapInArrow(_tag_rows, docs.select("*", F.lit(0).alias("_own_tag")).schema)
+    rows = docs.mapInArrow(_tag_rows, docs.select("*", F.lit(b"").alias("_own_tag")).schema)
     rows = rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_cut_id")) & (F.col("_own_tag") == F.col("_cut_tag")), "left").select(*names, "_cut_spans")
     return rows.mapInArrow(run, docs.schema)
 
 
 def _tag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks(batches):
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([tag(t) for t in text_bytes(b).to_pylist()], pa.int32())], [*b.schema.names, "_own_tag"])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([tag(t) for t in text_bytes(b).to_pylist()], pa.binary())], [*b.schema.names, "_own_tag"])
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,3 +231,74 @@ def test_trie_long_conversation(spark, monkeypatch):
 def test_op11_rows(spark, data):
     rows = [tuple(x) for x in spark.read.parquet(f"{data}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert Counter(map(tuple, QUERIES["op11_prefix_trie"](spark, data).collect())) == Counter(brute_trie(rows))
+
+
+# ---------------------------------------------------------------- stages on odd tables
+CLASHING = ["_id", "_row", "_key", "_lang", "_share", "_own_tag", "_cut_id", "_cut_tag", "_cut_spans", "_mix_name", "_mix_key", "_mix_h", "_mix_n", "named", "node", "row", "body", "others", "c0", "a.b`c"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns with names of the stages' own, and a map, come through every stage unchanged; repeated rows too."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["the", "of", "and", "house", "river", "le", "la", "maison"], k=80)) for _ in range(12)]
+    rows = [(i, t, ["en", "fr"][i % 2], f"s{i % 3}") for i, t in enumerate(texts)] * 2 + [(None, texts[0], "en", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING], F.create_map(F.lit("k"), F.col("doc_id")).alias("m"))
+    for name, stage_of in corpus_pipeline.STAGES[:-1]:
+        out = stage_of(spark, docs, "")
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found, name
+        for row in found:
+            own = "none" if row["doc_id"] is None else str(row["doc_id"])
+            assert all(row[c] == c + own for c in CLASHING) and row["m"] == {"k": row["doc_id"]}, name
+
+
+def test_texts_without_ids_are_told_apart(spark):
+    """Only the text that repeats elsewhere loses bytes, whatever ids its rows have; equal rows count their spans once."""
+    from seqloom.llm import substrings
+
+    r = random.Random(9)
+    one, two, three = (" ".join(words(r, 40)) for _ in range(3))
+    rows = [(None, one), (None, two), (5, "x " + one)] + [(None, three)] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter(map(tuple, substrings.digests(docs).collect()))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = Counter({
+        (None, len(one), len(one), 1, sha("")): 1, (None, len(two), 0, 0, sha(two)): 1, (5, len(one) + 2, len(one), 1, sha("x ")): 1, (None, len(three), len(three), 1, sha("")): 2000,
+    })
+    assert got == want
+    lists = substrings.span_lists(docs).collect()
+    assert len(lists) == 3 and max(len(x["_cut_spans"]) for x in lists) <= 2 * len(three)
+
+
+def test_language_sample_has_a_bound(spark):
+    """Rows without ids are drawn by their texts, equal rows up to twice the bound."""
+    from seqloom.llm import langid
+
+    r = random.Random(10)
+    rows = [(None, " ".join(words(r, 5)), "a") for _ in range(1000)] + [(None, "same", "b")] * 1000 + [(i, "text", "c") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = Counter(x["y"] for x in langid.sample(docs, "text", "lang", 10).collect())
+    assert 1 <= drawn["a"] <= 20 and drawn["b"] in (0, 20) and 1 <= drawn["c"] <= 20
+
+
+def test_switches_are_learned(spark):
+    """Words of mixed texts are labelled by their own language: runs of pieces teach the field to switch."""
+    from seqloom.llm import langid
+
+    r = random.Random(11)
+    lexica = {"x": [f"{a}{b}an" for a in "bdfg" for b in "aeiou"], "y": [f"{a}{b}ur" for a in "klmn" for b in "aeiou"]}
+    train = [(i, " ".join(r.choices(lexica[y], k=60)), y) for i, y in enumerate("xy" * 60)]
+    field = langid.fit(langid.sample(spark.createDataFrame(train, "doc_id long, text string, lang string"), "text", "lang", 100))
+    hits = total = 0
+    for _ in range(30):
+        gold = [y for y in r.choices("xy", k=6) for _ in range(5)]
+        text = [r.choice(lexica[y]) for y in gold]
+        at, scores = langid.word_scores(text, field)
+        post, _ = langid.forward_backward(scores[at], np.array([len(text)]), field.move)
+        hits += sum(field.labels[p] == y for p, y in zip(post.argmax(axis=1), gold))
+        total += len(text)
+    assert hits > 0.97 * total
