@@ -1,19 +1,31 @@
-"""Fit of the log-linear model. Candidates with equal violations are one profile with a multiplicity and a summed target,
-so what the driver iterates over is bounded by the constraints' patterns and not by the candidates."""
+"""Fit of the log-linear model. Candidates with equal violations are one profile with a multiplicity and a summed target.
+
+The sparse tableau of the profiles stays in the executors, as blocks of arrays over a written table, so a lost executor costs
+a re-read. Each step sends the weights out and adds up the partial gradients of the blocks; only vectors as long as
+the number of constraints, which are the result, reach the driver.
+"""
 
 from __future__ import annotations
 
+import math
+import pickle
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.jobs.config import ModelConfig
+from seqloom.sources import stage
 
 
-def profiles(target: DataFrame, violations: DataFrame) -> DataFrame:
+def profiles(target: DataFrame, violations: DataFrame, con: str = "string") -> DataFrame:
     """profile (sorted array of con, v), times, p."""
     rows = violations.groupBy("ngram").agg(F.array_sort(F.collect_list(F.struct("con", "v"))).alias("profile"))
-    empty = F.array().cast("array<struct<con:string,v:bigint>>")
+    empty = F.array().cast(f"array<struct<con:{con},v:bigint>>")
     return target.join(rows, "ngram", "left").groupBy(F.coalesce("profile", empty).alias("profile")).agg(F.count("*").alias("times"), F.sum("p").alias("p"))
 
 
@@ -48,14 +60,97 @@ def descend(table: Table, times: np.ndarray, target: np.ndarray, config: ModelCo
     return w, losses
 
 
-def fit(target: DataFrame, violations: DataFrame, config: ModelConfig = ModelConfig(), most: int = 2_000_000) -> DataFrame:
+class Block:
+    """Profiles of one task: a sparse table with the multiplicity and the target of each row."""
+
+    def __init__(self, table: Table, times: np.ndarray, target: np.ndarray) -> None:
+        self.table, self.times, self.target = table, times, target
+
+    def seen(self) -> np.ndarray:
+        """The target's violations of each constraint, then the sum of the target."""
+        return np.append(self.table.summed(self.target), self.target.sum())
+
+    def expected(self, w: np.ndarray) -> tuple[float, float, np.ndarray]:
+        """The largest harmony, and shifted by it the sum of exp(harmony) and the violations under it."""
+        h = -self.table.times(w)
+        top = float(h.max())
+        e = self.times * np.exp(h - top)
+        return top, float(e.sum()), self.table.summed(e)
+
+    def loglik(self, w: np.ndarray, log_z: float) -> float:
+        """The target times the log of the clipped probabilities."""
+        return float(self.target @ np.log(np.clip(np.exp(-self.table.times(w) - log_z), 1e-20, 1)))
+
+
+def added(a: tuple[float, float, np.ndarray], b: tuple[float, float, np.ndarray]) -> tuple[float, float, np.ndarray]:
+    """Two partial sums of Block.expected, shifted by the larger harmony."""
+    top = max(a[0], b[0])
+    x, y = math.exp(a[0] - top), math.exp(b[0] - top)
+    return top, a[1] * x + b[1] * y, a[2] * x + b[2] * y
+
+
+def blocks(target: DataFrame, violations: DataFrame, size: int = 20_000) -> tuple[RDD, list[str]]:
+    """The profiles as blocks that the executors keep, and the names of the constraints in the order of the columns."""
+    spark = target.sparkSession
+    cons = [r["con"] for r in violations.select("con").distinct().orderBy("con").collect()]  # the weights' names
+    names = spark.createDataFrame([(c, i) for i, c in enumerate(cons)], "con string, at int")
+    rows = stage(profiles(target, violations.join(names, "con").select("ngram", F.col("at").alias("con"), "v"), "int"))
+    width, parts = len(cons), max(1, -(-rows.count() // size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column(0)
+            own = cells.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
+            table = Table(row, own.field("con").to_numpy().astype(np.int64), own.field("v").to_numpy().astype(float), (batch.num_rows, width))
+            block = Block(table, batch.column(1).to_numpy().astype(float), batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+    packed = stage(rows.repartition(parts).mapInArrow(run, "block binary"))
+    return packed.coalesce(parts).rdd.map(lambda r: pickle.loads(r["block"])).persist(StorageLevel.MEMORY_AND_DISK), cons
+
+
+def summed(rdd: RDD, each, plus):
+    """The sum of a value of all blocks, first in the tasks, then in a tree; None without a block."""
+
+    def run(items: Iterator[Block]) -> Iterator:
+        found = [each(b) for b in items]
+        return iter([reduce(plus, found)]) if found else iter([])
+
+    parts = rdd.mapPartitions(run)
+    if rdd.getNumPartitions() > 64:
+        parts = parts.repartition(8).mapPartitions(lambda items: iter([reduce(plus, x)] if (x := list(items)) else []))
+    found = parts.collect()
+    return reduce(plus, found) if found else None
+
+
+def descend_blocks(rdd: RDD, width: int, config: ModelConfig) -> np.ndarray:
+    """The weights of descend() over all blocks."""
+    w, sc = np.zeros(width), rdd.context
+    first = summed(rdd, lambda b: b.seen(), lambda a, b: a + b)
+    if first is None:
+        return w
+    seen, total, before = first[:-1], first[-1], math.nan
+    for i in range(config.n_iter):
+        sent = sc.broadcast(w)
+        top, z, expected = summed(rdd, lambda b, sent=sent: b.expected(sent.value), added)
+        loss = math.nan
+        if i % 50 in (0, 49):  # the fit looks at the loss of every 50th step and of the one before it
+            fit = summed(rdd, lambda b, sent=sent, log_z=top + math.log(z): b.loglik(sent.value, log_z), lambda a, b: a + b)
+            loss = -fit / total + config.lam * float(w @ w)
+        w = np.maximum(0, w + config.lr * (expected / z - seen - config.lam))
+        sent.destroy()
+        if i % 50 == 0 and i and before - loss <= 1e-7:
+            break
+        before = loss
+    return w
+
+
+def fit(target: DataFrame, violations: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """con, weight of the constraints with a positive weight."""
-    rows = profiles(target, violations).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} profiles")
-    cons = sorted({c["con"] for r in rows for c in r["profile"]})
-    at = {c: i for i, c in enumerate(cons)}
-    cells = [(i, at[c["con"]], c["v"]) for i, r in enumerate(rows) for c in r["profile"]]
-    row, col, value = (np.array([c[k] for c in cells], kind) for k, kind in enumerate((np.int64, np.int64, float)))
-    w, _ = descend(Table(row, col, value, (len(rows), len(cons))), np.array([float(r["times"]) for r in rows]), np.array([r["p"] for r in rows]), config)
+    rdd, cons = blocks(target, violations)
+    w = descend_blocks(rdd, len(cons), config)
+    rdd.unpersist()
     return target.sparkSession.createDataFrame([(c, float(x)) for c, x in zip(cons, w) if x > 0], "con string, weight double")

@@ -393,6 +393,16 @@ def fit_gradient_step(spark, d):
     return grammar.gradient_step(m["target"], grammar.softmax(m["scores"]), m["violations"], m["weights"], 0.1, 0.001).withColumn("weight", F.round("weight", 6))
 
 
+@query(f"""WITH {CLASSES}, size AS (SELECT count(*) AS k FROM cands), w1 AS (SELECT con, greatest(0, 0.1::DOUBLE * (sum(v * (1 / k - p)) - 0.001)) AS weight FROM viol JOIN target USING (ngram), size GROUP BY con),
+h1 AS (SELECT c.ngram, exp(coalesce(-sum(v * weight), 0.0)) AS e FROM cands c LEFT JOIN (viol JOIN w1 USING (con)) USING (ngram) GROUP BY 1), p1 AS (SELECT ngram, e / sum(e) OVER () AS q FROM h1),
+w2 AS (SELECT con, greatest(0, any_value(weight) + 0.1::DOUBLE * (sum(v * (q - p)) - 0.001)) AS weight FROM viol JOIN target USING (ngram) JOIN p1 USING (ngram) JOIN w1 USING (con) GROUP BY con)
+SELECT con, round(weight, 9) AS weight FROM w2 WHERE weight > 0""")
+def fit_two_steps(spark, d):
+    """The first two steps of the fit, which SQL can follow."""
+    m = _model(spark, d, "violations")
+    return fitting.fit(m["target"], m["violations"], ModelConfig(n_iter=2)).withColumn("weight", F.round("weight", 9))
+
+
 @query(f"""WITH {CLASSES}, place AS (SELECT word, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT word, list_concat(['#'], string_split(word, ''), ['#']) AS p FROM words)),
 hits AS (SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN cons ON n = 1 AND c1 = m.class UNION ALL
   SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN members k ON k.phone = p[i + 1] JOIN cons ON n = 2 AND c1 = m.class AND c2 = k.class WHERE i < len(p))
