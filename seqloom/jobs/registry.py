@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqloom.jobs import classes as class_jobs
 from seqloom.jobs import fitting, model
 from seqloom.jobs.config import ClassConfig, ModelConfig
-from seqloom.operators import association, corpus, evaluation, grammar, graphs, sequences
+from seqloom.operators import association, corpus, evaluation, grammar, graphs, sequences, spectral
 from seqloom.sources import read_table, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -316,6 +316,28 @@ def graph_avg_clustering_coef(spark, d):
     return graphs.clustering_coefficients(_graph(spark, d)).agg(F.round(F.avg("coef"), 3).alias("coef"))
 
 
+@query(f"""WITH RECURSIVE {LETTER_CELLS}, kld AS ({_KLD.replace("grid AS", "WITH grid AS", 1)}), e AS (SELECT src, dst FROM kld WHERE w > 0.2),
+reach AS (SELECT DISTINCT context AS node, context AS root FROM cells UNION SELECT reach.node, e.dst FROM reach JOIN e ON e.src = reach.root)
+SELECT node, min(root) AS root FROM reach GROUP BY 1""")
+def graph_components(spark, d):
+    """The parts of the context graph that links of over 0.2 leave."""
+    edges = _rounded(graphs.kld_similarity(_letter_cells(spark, d)))
+    return graphs.components(stage(edges.filter("w > 0.2")))
+
+
+@query(f"""WITH {DEG}, na AS (SELECT src, dst, w / (sqrt(ds::DOUBLE) * sqrt(dd::DOUBLE)) AS w FROM ed), l AS (SELECT src, dst, -w AS w FROM na UNION ALL SELECT src, src, sum(w) FROM na GROUP BY src)
+SELECT src, dst, round(sum(w), 6) AS w FROM l GROUP BY 1, 2 HAVING abs(sum(w)) > 0.000001""")
+def graph_from_spectrum(spark, d):
+    """The Laplacian of the normalised graph, put together again from all eigenvalues and vectors of the Lanczos iteration."""
+    edges = stage(class_jobs.as_part(graphs.symmetric_normalised(_graph(spark, d))))
+    size = edges.select("src").distinct().count()
+    values, vectors = spectral.lanczos(edges, "plain", size)
+    scaled = F.transform("vector", lambda v, i: v * F.get(F.array(*[F.lit(float(x)) for x in values[0]]), i))
+    a, b = vectors.select(F.col("node").alias("src"), scaled.alias("a")), vectors.select(F.col("node").alias("dst"), F.col("vector").alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return a.crossJoin(b).select("src", "dst", F.round(dot, 6).alias("w")).filter("abs(w) > 0.000001")  # nodes x nodes is the result
+
+
 # ---------------------------------------------------------------- candidates, constraints, model
 def _alphabet(words: DataFrame) -> DataFrame:
     return corpus.inventory(words).union(words.sparkSession.range(1).select(F.lit(corpus.EDGE)))
@@ -505,6 +527,24 @@ def eval_pearson(spark, d):
     return evaluation.pearson(read_table(spark, d, "part"), "p_size", "p_retailprice").select(F.round("r", 6).alias("r"), F.round("t", 5).alias("t"), "n")
 
 
+@query("""WITH p AS (SELECT o_custkey, (o_orderkey % 97 + 1) / 98.0::DOUBLE AS p FROM orders), s AS (SELECT o_custkey, count(*) AS k, -sum(ln(p)) AS h, sum(1 / p) AS i FROM p GROUP BY 1)
+SELECT o_custkey, k, round(list_sum(list_transform(range(0, k), lambda j: exp(j * ln(h) - lgamma(j + 1) - h))), 9) AS fisher, round(k / i, 9) AS harmonic FROM s""")
+def eval_combined_p(spark, d):
+    p = read_table(spark, d, "orders").select("o_custkey", ((F.col("o_orderkey") % 97 + 1) / F.lit(98.0)).alias("p"))
+    return evaluation.combined_p(p, ["o_custkey"], "p").select("o_custkey", "k", F.round("fisher", 9).alias("fisher"), F.round("harmonic", 9).alias("harmonic"))
+
+
+@query("""WITH r AS (SELECT source, avg(quality) AS mean FROM labels JOIN documents USING (doc_id) WHERE lang = 'en' GROUP BY 1),
+l AS (SELECT source, arg_max(n_chars, doc_id)::DOUBLE AS last FROM documents GROUP BY 1), b AS (SELECT source, mean AS x, coalesce(last, 0) AS y FROM r LEFT JOIN l USING (source)),
+t AS (SELECT sum(sign(q.x - p.x) * sign(q.y - p.y)) AS s, sqrt(sum(abs(sign(q.x - p.x))) * sum(abs(sign(q.y - p.y)))) AS d FROM b p JOIN b q ON p.source < q.source)
+SELECT round(s / nullif(d, 0), 6) AS tau, (SELECT round(corr(x, y), 6) FROM b) AS r FROM t""")
+def eval_agreement(spark, d):
+    """Mean ratings of one kind's keys against the keys' last scores."""
+    ratings = _rated(spark, d)
+    scores = read_table(spark, d, "documents").select("source", "doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    return evaluation.agreement(ratings, scores, "source", "lang", "en", "quality", "n_chars", "doc_id").select(F.round("tau", 6).alias("tau"), F.round("r", 6).alias("r"))
+
+
 # ---------------------------------------------------------------- whole jobs, rows only
 @query()
 def cluster_spectral(spark, d):

@@ -35,6 +35,20 @@ def long_form(table: DataFrame, keys: list[str], values: list[str]) -> DataFrame
     return table.unpivot(keys, values, "measure", "value")
 
 
+def combined_p(rows: DataFrame, by: list[str], p: str) -> DataFrame:
+    """by, k (values), fisher (the chi-square tail of -2 sum ln p with 2 k degrees of freedom), harmonic (mean p), of p-values above 0 that aren't null.
+
+    With an even number of degrees of freedom the tail is a finite sum, taken over logarithms so that no term underflows by itself.
+    """
+    one = rows.filter(F.col(p) > 0).groupBy(*by).agg(F.count("*").alias("k"), (-F.sum(F.ln(p))).alias("h"), F.sum(1 / F.col(p)).alias("inverse"))
+    ln_h = F.ln("h")
+    step = lambda s, i: F.struct((s["term"] + ln_h - F.ln(i.cast("double"))).alias("term"), (s["total"] + F.exp(s["term"] + ln_h - F.ln(i.cast("double")))).alias("total"))
+    start = F.struct((-F.col("h")).alias("term"), F.exp(-F.col("h")).alias("total"))
+    tail = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k") - 1), start, step, lambda s: s["total"])
+    fisher = F.when(F.col("h") <= 0, 1.0).when(F.col("k") == 1, F.exp(-F.col("h"))).otherwise(F.least(tail, F.lit(1.0)))
+    return one.select(*by, "k", fisher.alias("fisher"), (F.col("k") / F.col("inverse")).alias("harmonic"))
+
+
 def agreement(ratings: DataFrame, scores: DataFrame, onset: str, attested: str, kind: str, rating: str, score: str, order: str) -> DataFrame:
     """One row, tau, r and their p-values, of the mean ratings of the onsets of one kind of attestedness and their last scores (0 without one)."""
     means = group_mean(ratings.filter(F.col(attested) == kind), [onset], rating)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.sources import discard, stage
+
 
 def _pairs(cells: DataFrame) -> DataFrame:
     """Pairs of rows that share a symbol: src, dst, a, b."""
@@ -124,6 +126,43 @@ def modularity(edges: DataFrame, cut: DataFrame) -> DataFrame:
     return one.select(((F.col("inside") - F.col("sums") / F.col("m2")) / F.col("m2")).alias("sum_form"), ((F.col("inside") - F.col("products") / F.col("m2")) / F.col("m2")).alias("product_form"))
 
 
+def part_modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """part, sum_form: modularity()'s sum_form of the labels (part, node, label) in the graph of each part (part, src, dst, w); 0 without weight."""
+    d = edges.groupBy("part", F.col("src").alias("node")).agg(F.sum("w").alias("d"))
+    nodes = labels.join(d, ["part", "node"], "left").groupBy("part", "label").agg(F.count("*").alias("k"), F.sum("d").alias("s"))
+    nodes = nodes.groupBy("part").agg(F.coalesce(F.sum(F.col("k") * F.col("s")), F.lit(0.0)).alias("sums"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("m2"))
+    a, b = (labels.select("part", F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in ("src", "dst"))
+    inside = edges.join(a, ["part", "src"]).join(b, ["part", "dst"]).filter("l_src = l_dst").groupBy("part").agg(F.sum("w").alias("inside"))
+    one = nodes.join(inside, "part", "left")
+    form = F.try_divide(F.coalesce("inside", F.lit(0.0)) - F.try_divide("sums", "m2"), F.col("m2"))
+    return one.select("part", F.coalesce(form, F.lit(0.0)).alias("sum_form"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node that each node reaches, in either direction; edges: src, dst, of any weight but 0.
+
+    Rounds of a star about the least neighbour and a jump of every pointer to its root's root: O(log nodes) of them, each written once.
+    """
+    pairs = edges.filter("w <> 0").select("src", "dst") if "w" in edges.columns else edges.select("src", "dst")
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    links = stage(pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
+    roots = stage(nodes.select("node", F.col("node").alias("root")))
+    while True:
+        own = links.join(roots.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), F.col("root").alias("near"))
+        own = own.join(roots, "node")
+        # every root learns of the least root next to its tree, and every node of that next to it
+        hooks = own.select(F.col("root").alias("node"), "near").unionByName(own.select("node", "near")).groupBy("node").agg(F.min("near").alias("near"))
+        moved = roots.join(hooks, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
+        moved = stage(moved)
+        jump = moved.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        last = stage(moved.join(jump, "root").select("node", F.least("root", "far").alias("root"), (F.least("root", "far") != F.col("was")).alias("new")))
+        discard(moved)
+        discard(roots)
+        roots = last.select("node", "root")
+        if last.filter("new").isEmpty():
+            return roots
+
+
 def conductance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Weight that leaves the cut (node) over the smaller of the two sides' weights."""
     side = nodes.select(F.col("node").alias("n"), F.lit(1).alias("in"))

@@ -128,8 +128,6 @@ def test_spectrum():
 def test_knee_and_tails():
     assert linear.knee([1, 2, 3, 4], [0, 0.9, 0.95, 1]) == 2
     assert linear.knee([1, 2], [0, 1]) is None
-    assert linear.fisher_combined([0.5]) == pytest.approx(0.5)
-    assert linear.harmonic_mean_p([0.1, 0.1]) == pytest.approx(0.1)
     assert linear.two_sided_normal(1.959964) == pytest.approx(0.05, abs=1e-6)
 
 
@@ -203,7 +201,6 @@ def test_bic_and_mixture(spark):
     assert len(set(label[:3])) == len(set(label[3:])) == 1 and label[0] != label[3]
     good, bad = (linear.spherical_bic(np.array([10, 10]), s, 2) for s in (0.1, 10.0))
     assert good > bad and linear.spherical_bic(np.array([1, 1]), 0.0, 1) == -math.inf
-    assert linear.near_zero(np.array([0.0, 1e-4, 0.5])) == 2
 
 
 def test_agreement(spark):
