@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.jobs import classes as discovery
 from seqloom.jobs import fitting
-from seqloom.jobs.config import ModelConfig
+from seqloom.jobs.config import ClassConfig, ModelConfig
 from seqloom.operators import corpus, evaluation, grammar, sequences
 from seqloom.sources import stage
 from seqloom.sources import text as files
@@ -109,12 +112,24 @@ def run(spark: SparkSession, corpus_file: str, classes_file: str, tests_file: st
     files.write_judgements(tests.join(scores.withColumnRenamed("ngram", "form"), "form").select("line", "form", "harmony"), f"{out}/judgements")
 
 
-def repeated(words: DataFrame, classes_of: list[DataFrame], forms: DataFrame, ratings: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """repetition, tau, r: the flow over several discovered class tables, each held against ratings (ngram, rating); one row a repetition."""
+def repeated(words: DataFrame, forms: DataFrame, ratings: DataFrame, seeds: list[int], kinds: ClassConfig = ClassConfig(), config: ModelConfig = ModelConfig(), state: str | None = None) -> DataFrame:
+    """seed, classes (their number), tau, tau_p, r, r_p: the whole flow for each seed of the class discovery, held against ratings (ngram, rating).
+
+    Contexts are counted once; all fits are one job or one iteration, whose steps are kept in the folder `state` if it is given.
+    """
+    cells = stage(sequences.word_contexts(words, kinds.window, kinds.separate_lens, (DOT,)))
+    made = {}
+    for seed in seeds:
+        found = discovery.discover(cells, replace(kinds, seed=seed)).select(F.split("phones", " ").alias("phones"))
+        made[seed] = tables(words, named_classes(found), config)
+    weights = stage(fitting.fit_all({k: (t["target"], t["violations"]) for k, t in made.items()}, config, state=state))
     out = None
-    for k, classes in enumerate(classes_of):
-        scores = stage(fitted_judgements(words, classes, forms, config)[1].join(ratings, "ngram"))
-        tau = evaluation.kendall(scores, F.col("harmony"), F.col("rating")).select(F.lit(k).alias("repetition"), "tau")
-        row = tau.join(F.broadcast(evaluation.pearson(scores, "harmony", "rating").select("r")))  # single rows
+    for seed, t in made.items():
+        scores = judged(forms, t["cons"], t["classes"], weights.filter(F.col("problem") == seed).select("con", "weight"), config)
+        both = stage(scores.join(ratings, "ngram"))
+        tau = evaluation.with_p_values(evaluation.kendall(both, F.col("harmony"), F.col("rating"))).select("tau", F.col("p").alias("tau_p"))
+        r = evaluation.with_p_values(evaluation.pearson(both, "harmony", "rating")).select("r", F.col("p").alias("r_p"))
+        size = t["classes"].agg(F.count("*").alias("classes"))
+        row = size.join(F.broadcast(tau)).join(F.broadcast(r)).select(F.lit(seed).alias("seed"), "classes", "tau", "tau_p", "r", "r_p")  # single rows
         out = row if out is None else out.unionByName(row)
     return out

@@ -11,7 +11,8 @@ from seqloom.jobs import classes as class_jobs
 from seqloom.jobs import fitting, model
 from seqloom.jobs.config import ClassConfig, ModelConfig
 from seqloom.operators import association, corpus, evaluation, grammar, graphs, sequences, spectral
-from seqloom.sources import read_table, stage
+from seqloom.sources import read_table, stage, work_dir
+from seqloom.sources import text as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,6 +181,13 @@ def seq_array_context_count(spark, d):
     return sequences.word_contexts(_orders(spark, d), marks=("NO",))
 
 
+@query(f"WITH {WORDS}, {LETTERS} SELECT phone FROM syms")
+def seq_plain_symbols(spark, d):
+    """The symbols of padded words that are no marks."""
+    rows = _words(spark, d).select(F.explode(corpus.padded(corpus.letters(F.col("word")), 2)).alias("phone")).distinct()
+    return corpus.without_specials(rows)
+
+
 # ---------------------------------------------------------------- association
 @query(f"WITH {CELLS} SELECT 'phone' AS kind, phone AS name, sum(n)::BIGINT AS n FROM cells GROUP BY 2 UNION ALL SELECT 'context', context, sum(n)::BIGINT FROM cells GROUP BY 2 UNION ALL SELECT 'all', '', sum(n)::BIGINT FROM cells")
 def assoc_marginals(spark, d):
@@ -453,6 +461,37 @@ def score_judgements_substring(spark, d):
     return model.judged(model.dotted(m["words"]), m["cons"], m["classes"], m["weights"], ModelConfig(match="substring")).withColumn("harmony", F.round("harmony", 6))
 
 
+_JUDGED = f"""{CLASSES}, forms AS (SELECT list_concat(['#'], string_split(word, ''), ['#']) AS p, word FROM words), place AS (SELECT word, p, unnest(range(1, len(p) + 1)) AS i FROM forms),
+hits AS (SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN cons ON n = 1 AND c1 = m.class UNION ALL
+  SELECT word, con FROM place JOIN members m ON m.phone = p[i] JOIN members k ON k.phone = p[i + 1] JOIN cons ON n = 2 AND c1 = m.class AND c2 = k.class WHERE i < len(p)),
+sums AS (SELECT word, coalesce(-sum(weight), 0.0) AS harmony FROM words LEFT JOIN (hits JOIN weights USING (con)) USING (word) GROUP BY 1)"""
+
+
+@query(f"WITH {_JUDGED} SELECT array_to_string(string_split(word, ''), ' ') || ' ' AS form, array_to_string(string_split(word, '')[:2], ' ') AS onset, round(harmony, 3) AS score FROM sums")
+def sink_judgements(spark, d):
+    """Judgements written as text and read again."""
+    m, folder = _model(spark, d, "weights"), work_dir(spark)
+    scores = model.judged(model.dotted(m["words"]), m["cons"], m["classes"], m["weights"])
+    files.write_judgements(scores.select(F.concat("ngram", F.lit(".")).alias("form"), "harmony"), folder)
+    return files.read_judgements(spark, folder)
+
+
+@query(f"WITH {CLASSES} SELECT regex, round(weight, 3) AS weight FROM cons JOIN weights USING (con)")
+def sink_grammar(spark, d):
+    """A grammar written as text and read again."""
+    m, folder = _model(spark, d, "weights"), work_dir(spark)
+    files.write_grammar(m["cons"].join(m["weights"], "con"), folder)
+    return files.read_grammar(spark, folder)
+
+
+@query(f"WITH {CLASSES} SELECT array_to_string(phones, ' ') AS phones FROM classes")
+def sink_classes(spark, d):
+    """Classes written as text and read again."""
+    m, folder = _model(spark, d, "classes"), work_dir(spark)
+    files.write_classes(m["classes"], folder)
+    return files.read_classes(spark, folder).select(F.array_join("phones", " ").alias("phones"))
+
+
 # symbols of one and of two characters, a mark of syllables, and two classes whose symbols joined without a separator are equal
 _MARKED = """syl AS (SELECT list(s ORDER BY l_linenumber, s) AS p FROM (SELECT *, CASE WHEN l_returnflag = 'R' THEN 'N' WHEN l_returnflag = 'A' THEN 'F' WHEN l_linestatus = 'F' THEN 'NF' ELSE '!' END AS s FROM lineitem) GROUP BY l_orderkey),
 orders_of AS (SELECT p, count(*) AS n FROM syl GROUP BY p),
@@ -501,6 +540,19 @@ def eval_group_mean(spark, d):
     return evaluation.group_mean(_rated(spark, d), ["lang", "toxic"], "quality").withColumn("mean", F.round("mean", 6))
 
 
+@query("SELECT source, round(avg(quality), 6) AS mean FROM labels JOIN documents USING (doc_id) WHERE lang = 'fr' GROUP BY 1")
+def eval_kind_means(spark, d):
+    return evaluation.kind_means(_rated(spark, d), "lang", "fr", "source", "quality").withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH q AS (SELECT source, avg(quality) AS mean FROM labels JOIN documents USING (doc_id) WHERE lang = 'fr' GROUP BY 1), l AS (SELECT source, avg(n_chars) AS mean FROM documents GROUP BY 1)
+SELECT source, round(q.mean, 6) AS mean_x, round(l.mean, 4) AS mean_y FROM q JOIN l USING (source)""")
+def eval_merge(spark, d):
+    lengths = evaluation.group_mean(read_table(spark, d, "documents"), ["source"], "n_chars")
+    both = evaluation.merged(evaluation.kind_means(_rated(spark, d), "lang", "fr", "source", "quality"), lengths, "source")
+    return both.select("source", F.round("mean_x", 6).alias("mean_x"), F.round("mean_y", 4).alias("mean_y"))
+
+
 @query("SELECT source, arg_max(quality, doc_id) AS last FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def eval_last_wins(spark, d):
     return evaluation.last_value(_rated(spark, d), ["source"], "doc_id", "quality")
@@ -572,3 +624,11 @@ def model_judgements(spark, d):
     """Grammar fitted on the words and classes of the corpus, and the harmony of every word under it."""
     words = stage(_words(spark, d))
     return model.fitted_judgements(words, _classes(words), model.dotted(words))[1]
+
+
+@query()
+def model_repetitions(spark, d):
+    """Classes, grammar and judgements of the corpus for three seeds, held against the logarithm of the words' counts."""
+    words = stage(_words(spark, d))
+    forms = model.dotted(words)
+    return model.repeated(words, forms, forms.select("ngram", F.ln("n").alias("rating")), [1, 2, 3])

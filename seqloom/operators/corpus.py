@@ -52,3 +52,8 @@ def framed(phones: Column) -> Column:
 def inventory(words: DataFrame) -> DataFrame:
     """phone: the distinct symbols of distinct words."""
     return words.select(F.explode(symbols(words)).alias("phone")).filter("phone <> ''").distinct()
+
+
+def without_specials(symbols: DataFrame) -> DataFrame:
+    """Symbols (phone) that are no marks: those without `<`."""
+    return symbols.filter(~F.contains("phone", F.lit("<")))

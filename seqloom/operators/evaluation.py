@@ -14,6 +14,17 @@ def group_mean(ratings: DataFrame, by: list[str], value: str) -> DataFrame:
     return ratings.groupBy(*by).agg(F.avg(value).alias("mean"))
 
 
+def kind_means(ratings: DataFrame, kind: str, of: str, by: str, value: str) -> DataFrame:
+    """by, mean of the rows of one kind, as of the onsets that are not attested."""
+    return group_mean(ratings.filter(F.col(kind) == of), [by], value)
+
+
+def merged(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """The rows of both tables that share a key; columns of one name but the key are told apart by _x and _y."""
+    both = [c for c in left.columns if c in right.columns and c != on]
+    return left.withColumnsRenamed({c: f"{c}_x" for c in both}).join(right.withColumnsRenamed({c: f"{c}_y" for c in both}), on)
+
+
 def last_value(scores: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """The value of the last row of each key."""
     return scores.groupBy(*by).agg(F.max_by(value, order).alias("last"))

@@ -76,6 +76,12 @@ def write_grammar(grammar: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", "regex", F.format_string("%.3f", "weight"))).write.text(path)
 
 
+def read_grammar(spark: SparkSession, path: str) -> DataFrame:
+    """regex, weight of a written grammar."""
+    parts = F.split("value", "\t")
+    return spark.read.text(path).select(parts[0].alias("regex"), parts[1].cast("double").alias("weight"))
+
+
 def write_judgements(scores: DataFrame, path: str) -> None:
     """form, harmony: symbols between spaces, without boundaries, and three decimals; in the order of `line` if there is one."""
     plain = F.replace(F.replace("form", F.lit("#."), F.lit("")), F.lit("."), F.lit(" "))

@@ -160,7 +160,7 @@ def test_combined_p(spark):
     assert got["e"]["fisher"] == pytest.approx(1) and 0.3 < got["f"]["fisher"] < 0.7  # a mean of ln p close to -1, though exp(-h) is 0
 
 
-def test_fit_of_blocks(spark):
+def test_fit_of_blocks(spark, tmp_path):
     """The weights of the fit over blocks are those of the same steps over one table, whatever the number of blocks."""
     r = random.Random(9)
     cons = [f"c{i}" for i in range(12)]
@@ -178,8 +178,15 @@ def test_fit_of_blocks(spark):
     table = fitting.Table(row, col, value.astype(float), (len(rows), len(at)))
     want, _ = fitting.descend(table, np.array([float(x["times"]) for x in rows]), np.array([x["p"] for x in rows]), config)
     for size in (10**6, 40):
-        rdd, names = fitting.blocks(t, v, size)
-        assert names == sorted(at) and fitting.descend_blocks(rdd, len(names), config) == pytest.approx(want, abs=1e-9)
-        rdd.unpersist()
+        got = {x["con"]: x["weight"] for x in fitting.fit(t, v, config, size).collect()}
+        assert [got.get(c, 0.0) for c in sorted(at)] == pytest.approx(want, abs=1e-9)
+    # two problems in one iteration, broken off after some steps and gone on with
+    folder = str(tmp_path / "steps")
+    problems = {3: (t, v), 5: (t, v.filter("con < 'c5'"))}
+    fitting.fit_all(problems, ModelConfig(n_iter=60), 40, folder)
+    assert fitting.kept_steps(spark, folder)[0][3][0] == 49
+    both = fitting.fit_all(problems, config, 40, folder).collect()
+    got = {x["con"]: x["weight"] for x in both if x["problem"] == 3}
+    assert [got.get(c, 0.0) for c in sorted(at)] == pytest.approx(want, abs=1e-9) and {x["problem"] for x in both} == {3, 5}
     assert fitting.fit(t.limit(0), v.limit(0), config).count() == 0
     assert max(want) > 0
