@@ -181,7 +181,7 @@ def discover(cells: DataFrame, config: ClassConfig = ClassConfig()) -> DataFrame
 
 
 def symbol_axes(cells: DataFrame, config: ClassConfig = ClassConfig()) -> DataFrame:
-    """phones: symbols clustered along each of the first eigenvectors of their own graph, one axis at a time.
+    """phones: symbols clustered along each of the eigenvectors before the widest gap (the first one at least) of their own graph, one axis at a time.
 
     With natural breaks the number of clusters of an axis is the knee over all numbers; a mixture has max_clusters components at most.
     """
@@ -189,7 +189,7 @@ def symbol_axes(cells: DataFrame, config: ClassConfig = ClassConfig()) -> DataFr
     graph = stage(as_part(context_graph(turned, config)))
     values, vectors = spectral.eigenvectors(graph, config.matrix, MOST_EMBEDDED + 1)
     axes = linear.eigengap(np.array(values.first()["values"]), config.min_embs) if config.eigengap else config.num_embs
-    rows = vectors.select("node", F.posexplode("vector").alias("part", "v")).filter((F.col("part") > 0) & (F.col("part") < axes))
+    rows = vectors.select("node", F.posexplode("vector").alias("part", "v")).filter((F.col("part") > 0) & (F.col("part") < max(axes, 2)))
     size = vectors.count()
     by = replace(config, sign_cut=False)
     labels = split(rows.select("part", "node", "v"), by, size if config.use_jenks else config.max_clusters)

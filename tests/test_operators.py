@@ -197,7 +197,7 @@ def test_bic_and_mixture(spark):
     table = cells(spark, [[9, 8, 0, 0], [7, 9, 1, 0], [0, 0, 9, 8], [0, 1, 8, 9], [8, 8, 0, 1], [1, 0, 9, 9], [9, 9, 1, 0]])
     found = classes.discover(table, ClassConfig(eigengap=False)).collect()
     assert found and all(r["phones"] for r in found)
-    label = classes.mixture_labels(table, np.array([0.0, 0.1, 0.05, 5.0, 5.1, 5.05]), 2, 1)
+    label = linear.mixture_labels(np.array([0.0, 0.1, 0.05, 5.0, 5.1, 5.05]), 2)
     assert len(set(label[:3])) == len(set(label[3:])) == 1 and label[0] != label[3]
     good, bad = (linear.spherical_bic(np.array([10, 10]), s, 2) for s in (0.1, 10.0))
     assert good > bad and linear.spherical_bic(np.array([1, 1]), 0.0, 1) == -math.inf
