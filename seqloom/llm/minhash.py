@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.arrow import blocks, ragged, text_bytes
 from seqloom.llm.components import Forest, components
 from seqloom.llm.neardup import shingle_set
+from seqloom.llm.rows import join_names
 from seqloom.sources import discard, read_table, stage
 
 BANDS, ROWS = 32, 6
@@ -191,7 +192,7 @@ def open_links(members: DataFrame, labels: DataFrame, bodies: DataFrame, words:
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that is reachable), kept of every row of `docs`."""
     every = stage(sets_of(docs, words, bands, rows))
-    nodes = every.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.max(F.octet_length("body")).alias("bytes"))
+    nodes = every.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), F.max(F.octet_length("body")).alias("bytes"), F.count("*").alias("times"))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()))  # written once, so the ids stay
     keyed = nodes.select("id", "bytes", F.explode("keys").alias("key"))
     buckets = stage(keyed.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("size"), F.sum("bytes").alias("bytes")).filter("size > 1"))
@@ -205,10 +206,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
     labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     for t in (buckets, members, pairs, bodies):
         discard(t)
-    own = nodes.select("id", "node", "first").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    own = nodes.select("id", "node", "first", "times").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))
-    names = stage(own.join(least, "root").select("node", "component_id"))
-    out = every.select("doc_id", "node", "n").join(names, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    names = stage(own.join(least, "root").select("node", "component_id", "times"))
+    rows_of = every.select("doc_id", "node", "n")
+    out = join_names(rows_of.filter("node IS NOT NULL"), names, "node")
+    out = out.unionByName(rows_of.filter("node IS NULL").withColumn("component_id", F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

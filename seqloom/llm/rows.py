@@ -35,3 +35,16 @@ def keeps_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 def row_digest(columns: list[str]) -> Column:
     """128 bits of whole rows, of any types, maps included."""
     return F.md5(F.to_json(F.struct(*[quoted(c) for c in columns])))
+
+
+def join_names(rows: DataFrame, names: DataFrame, key: str, least: int = 1000, most: int = 100_000) -> DataFrame:
+    """The rows with the columns of names: one row a key, `times` being about its number of rows.
+
+    Keys with more than `least` rows and over one in `most` of all rows, fewer than `most` keys for any input, are sent to all tasks, so that no task is given all rows of a hot
+    key; the others are joined by the key.
+    """
+    total = names.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = F.col("times") > max(least, total // most)
+    few, rest = names.filter(hot).drop("times"), names.filter(~hot).drop("times")
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)
+    return cold.unionByName(rows.join(F.broadcast(few), key))

@@ -27,6 +27,7 @@ from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.components import Forest, components
 from seqloom.llm.golay import segment_keys
 from seqloom.llm.neardup import near_deduplicated  # noqa: F401
+from seqloom.llm.rows import join_names
 from seqloom.sources import read_table, stage
 
 # fixed values: the cut of a fingerprint into (shift, bits)
@@ -143,8 +144,10 @@ def links(buckets: DataFrame, most: int, small: int = 12) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fp, component_id (least doc_id that is reachable) for every row of `docs`."""
     fps = stage(fingerprints(docs, words))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    parts = components(links(bucketed(first), most))
+    first = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")))
+    # a fingerprint becomes some eighty keys, so they are dealt over all tasks however few bytes they are
+    dealt = first.select("fp").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    parts = components(links(bucketed(dealt), most))
     return named(fps, first, parts).select("doc_id", "fp", "component_id")
 
 
@@ -153,7 +156,7 @@ def named(fps: DataFrame, first: DataFrame, parts: DataFrame) -> DataFrame:
     linked = parts.join(first, F.col("node") == F.col("fp")).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     names = first.join(linked.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
-    return fps.join(stage(names.select("fp", F.coalesce("component_id", "first").alias("component_id"))), "fp")
+    return join_names(fps, stage(names.select("fp", F.coalesce("component_id", "first").alias("component_id"), "times")), "fp")
 
 
 def op9_simhash(spark, sf_dir) -> DataFrame:

@@ -426,7 +426,7 @@ def test_components(spark):
 # ---------------------------------------------------------------- queries and pipeline
 def test_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline(spark, data):
