@@ -12,7 +12,7 @@ pair is left out. A set is known by a 128-bit hash.
 
 Defined results: null and empty texts and texts without a word are one empty set; fewer words than a shingle are one
 shingle; rows are told apart by doc_id and text, a null doc_id included; the row that names a component is the one with the least
-doc_id, null after all others, then the least hash of its text. An empty table gives an empty result.
+doc_id, null after all others, then the least hash of its text. An empty table gives an empty result. Other columns come through unchanged.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.components import components
 from seqloom.llm.fingerprint import packed
 from seqloom.llm.golay import segment_keys
+from seqloom.llm.rows import keeps_columns, row_digest
 from seqloom.sources import discard, stage
 
 SEED, SPREAD, SLACK = 42, 10, 1e-9
@@ -96,8 +97,8 @@ def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
     return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row binary, node binary, n int, wide array<long>")
 
 
-def keyed(nodes: DataFrame, spread: int, root: bool = False) -> DataFrame:
-    """at, bs, id, sig (one fingerprint other than the key's, or the column `root` if asked for), n, even, odd (128 parities) of every set that
+def keyed(nodes: DataFrame, spread: int) -> DataFrame:
+    """at, bs, id, sig (one fingerprint other than the key's), n, even, odd (128 parities) of every set that
     isn't empty: `at` is a fingerprint's number and an index of its first segment, `bs` has all indices of the second one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,13 +113,13 @@ def keyed(nodes: DataFrame, spread: int, root: bool = False) -> DataFrame:
                     fits = right[row] >= 0
                     ends = np.concatenate(([0], np.cumsum(fits.sum(axis=1)))).astype(np.int32)
                     bs = pa.ListArray.from_arrays(pa.array(ends), pa.array(right[row][fits].astype(np.int16)))
-                    sig = part.column(3).to_numpy() if root else wide[:, (w + 1) % spread]
+                    sig = wide[:, (w + 1) % spread]
                     columns = [(w << 12) | left[left >= 0], *[c[row] for c in (ids, sig, n, even, odd)]]
                     columns = [pa.array(c) for c in columns]
                     yield pa.RecordBatch.from_arrays([columns[0], bs, *columns[1:]], ["at", "bs", "id", "sig", "n", "even", "odd"])
 
     kind = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long"
-    return nodes.filter("n > 0").select("id", "wide", "n", *["root"] * root).mapInArrow(run, kind)
+    return nodes.filter("n > 0").select("id", "wide", "n").mapInArrow(run, kind)
 
 
 def keys_of(rows: DataFrame) -> DataFrame:
@@ -127,6 +128,26 @@ def keys_of(rows: DataFrame) -> DataFrame:
     return rows.select("at", F.explode("bs").alias("b"), *others).select((F.col("at") * 4096 + F.col("b")).alias("key"), *others)
 
 
+def all_keys(nodes: DataFrame, spread: int) -> DataFrame:
+    """id, root, keys (all that keys_of gives for the set) of nodes (id, wide, n, root): one row a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                wide = part.column(2).flatten().to_numpy().reshape(part.num_rows, -1)
+                keys = np.full((part.num_rows, spread, 6, 6), -1)
+                for w in range(spread):
+                    left, right = (segment_keys((wide[:, w] >> s) & ((1 << 23) - 1)) for s in SEGMENTS)
+                    key = (((w << 12) | left[:, :, None]) << 12) + right[:, None, :]
+                    keys[:, w] = np.where((left[:, :, None] >= 0) & (right[:, None, :] >= 0), key, -1)
+                keys = keys.reshape(part.num_rows, -1)
+                ends = np.concatenate(([0], np.cumsum((keys >= 0).sum(axis=1)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keys >= 0]))], ["id", "root", "keys"])
+
+    return nodes.filter("n > 0").select("id", "root", "wide").mapInArrow(run, "id long, root long, keys array<long>")
+
+
 def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int = 100_000) -> DataFrame:
     """key, a, b of keyed()'s rows; pairs are left out if their sizes and parities exclude the similarity or a fingerprint differs too much. Key -1: a candidate pair of ids. From 0: a (id) and b (sig) of each member of a bucket of more than `small`. Below -1: the pair of
     the bucket's least id and another, which differ in -2 - key bits."""
@@ -242,7 +263,7 @@ def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similari
     """a, b (ids): all pairs of different components in the large buckets of the members (id); buckets of over `most` are dealt as pairs of blocks."""
     roots = nodes.join(members, "id", "left_semi").join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     bucket = Window.partitionBy("key")
-    rows = keys_of(keyed(roots, spread, True).select("at", "bs", "id", "sig")).withColumnRenamed("sig", "root")
+    rows = all_keys(roots, spread).select("id", "root", F.explode("keys").alias("key"))
     rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter(F.col("size") > small).filter("least <> last")
     rows = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -340,6 +361,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     return similar_rows(docs, words, similarity).select("doc_id", F.col("named.doc_id").alias("component_id"))
 
 
+@keeps_columns
 def near_deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component one row stays, with the doc_id and text that name it."""
     names = (F.col("row") == F.col("named.row")) & F.col("doc_id").eqNullSafe(F.col("named.doc_id"))
@@ -352,5 +374,5 @@ def near_deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         return kept
     # rows of one doc_id and text: the least hash of the whole row stays, the same one in each run
     repeated = keyed.join(found.filter("stays"), same, "left_semi")
-    least = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_whole")
+    least = F.min_by(F.struct(*docs.columns), row_digest(docs.columns)).alias("_whole")
     return kept.unionByName(repeated.groupBy("doc_id", "_key").agg(least).select("_whole.*"))
