@@ -217,10 +217,15 @@ def rank_table(kept: DataFrame, kind: np.dtype, vocabulary: int) -> np.ndarray:
     """Ids by falling frequency, ties by id; one row an id at most reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, unzip = np.zeros(vocabulary, np.int64), zstandard.ZstdDecompressor()
+        n, unzip, held, size = np.zeros(vocabulary, np.int64), zstandard.ZstdDecompressor(), [], 0
         for b in batches:
-            for ids in b.column(0):
-                n += np.bincount(np.frombuffer(unzip.decompress(ids.as_py()), kind), minlength=vocabulary)
+            for ids in b.column(0).to_pylist():
+                held.append(unzip.decompress(ids))
+                size += len(held[-1])
+                if size > BLOCK:  # a count costs as much as the vocabulary is long, so not for every document
+                    n += np.bincount(np.frombuffer(b"".join(held), kind), minlength=vocabulary)
+                    held, size = [], 0
+        n += np.bincount(np.frombuffer(b"".join(held), kind), minlength=vocabulary)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["id", "n"])
 

@@ -302,3 +302,15 @@ def test_switches_are_learned(spark):
         hits += sum(field.labels[p] == y for p, y in zip(post.argmax(axis=1), gold))
         total += len(text)
     assert hits > 0.97 * total
+
+
+def test_join_names_of_hot_keys(spark):
+    """Hot keys and others each get their names once; rows whose key has none are left out."""
+    from seqloom.llm.rows import join_names
+
+    rows = spark.createDataFrame([(k, i) for k, n in (("hot", 300), ("warm", 40), ("cold", 1)) for i in range(n)] + [("none", 0)], "k string, i int").repartition(3)
+    names = spark.createDataFrame([("hot", "H", 300), ("warm", "W", 40), ("cold", "C", 1)], "k string, name string, times long")
+    for least in (10, 100, 1000):
+        got = Counter((r["k"], r["name"]) for r in join_names(rows, names, "k", least, 10**6).collect())
+        assert got == {("hot", "H"): 300, ("warm", "W"): 40, ("cold", "C"): 1}
+    assert join_names(rows, names.limit(0), "k").count() == 0
