@@ -72,7 +72,7 @@ class ModelConfig:
 
 
 def load(path: str) -> tuple[ClassConfig, ModelConfig]:
-    """The sections class and phonotactic of a JSON file. Keys for plots, and one that never had a meaning, are left out; others that are unknown are refused."""
+    """The sections class and phonotactic of a JSON file. Keys for plots, and one that never had a meaning, are left out; others that are unknown are refused. Matching is by substring unless the file says otherwise."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
 
@@ -83,4 +83,5 @@ def load(path: str) -> tuple[ClassConfig, ModelConfig]:
             raise ValueError(f"unknown settings in {section}: {', '.join(sorted(unknown))}")
         return kind(**{k: bool(v) if known[k] == "bool" else v for k, v in given.items()})
 
+    spec["phonotactic"] = {"match": "substring"} | spec.get("phonotactic", {})  # what a flow of files has always meant
     return build(ClassConfig, "class"), build(ModelConfig, "phonotactic")

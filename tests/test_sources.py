@@ -36,7 +36,7 @@ def test_class_and_grammar_files(spark, tmp_path):
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"class": {"window": 3, "unweighted": 0, "separate_lens": 0}, "phonotactic": {"N": 3}}))
     kinds, model = config.load(str(tmp_path / "c.json"))
-    assert kinds.window == 3 and kinds.separate_lens is False and model.N == 3
+    assert kinds.window == 3 and kinds.separate_lens is False and model.N == 3 and model.match == "substring"
     with pytest.raises(ValueError):
         config.ClassConfig(method="louvain")
 
