@@ -129,13 +129,13 @@ def keys_of(rows: DataFrame) -> DataFrame:
 
 
 def all_keys(nodes: DataFrame, spread: int) -> DataFrame:
-    """id, root, keys (all that keys_of gives for the set) of nodes (id, wide, n, root): one row a node."""
+    """id, root, n, wide, keys (all that keys_of gives for the set) of nodes: one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                wide = part.column(2).flatten().to_numpy().reshape(part.num_rows, -1)
+                wide = part.column(3).flatten().to_numpy().reshape(part.num_rows, -1)
                 keys = np.full((part.num_rows, spread, 6, 6), -1)
                 for w in range(spread):
                     left, right = (segment_keys((wide[:, w] >> s) & ((1 << 23) - 1)) for s in SEGMENTS)
@@ -143,9 +143,9 @@ def all_keys(nodes: DataFrame, spread: int) -> DataFrame:
                     keys[:, w] = np.where((left[:, :, None] >= 0) & (right[:, None, :] >= 0), key, -1)
                 keys = keys.reshape(part.num_rows, -1)
                 ends = np.concatenate(([0], np.cumsum((keys >= 0).sum(axis=1)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keys >= 0]))], ["id", "root", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keys >= 0]))], ["id", "root", "n", "wide", "keys"])
 
-    return nodes.filter("n > 0").select("id", "root", "wide").mapInArrow(run, "id long, root long, keys array<long>")
+    return nodes.filter("n > 0").select("id", "root", "n", "wide").mapInArrow(run, "id long, root long, n int, wide array<long>, keys array<long>")
 
 
 def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int = 100_000) -> DataFrame:
@@ -263,14 +263,13 @@ def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similari
     """a, b (ids): all pairs of different components in the large buckets of the members (id); buckets of over `most` are dealt as pairs of blocks."""
     roots = nodes.join(members, "id", "left_semi").join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
     bucket = Window.partitionBy("key")
-    rows = all_keys(roots, spread).select("id", "root", F.explode("keys").alias("key"))
+    rows = all_keys(roots, spread).select("id", "root", "n", "wide", F.explode("keys").alias("key"))
     rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter(F.col("size") > small).filter("least <> last")
     rows = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # inside a block all rows meet (-1); in a pair of blocks only rows of different ones
     block = F.when(F.col("part") == F.col("other"), -1).otherwise(F.col("part")).alias("block")
-    rows = rows.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), block, "id", "root")
-    rows = rows.join(nodes.select("id", "n", "wide"), "id")
+    rows = rows.select(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("cell"), block, "id", "root", "n", "wide")
 
     def meet(size: np.ndarray, block: np.ndarray, ids: np.ndarray, root: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         upto = np.searchsorted(size, size / similarity + SLACK, "right")
