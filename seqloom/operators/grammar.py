@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources import stage
+
 
 def candidates(symbols: DataFrame, n: int, most: int = 5_000_000) -> DataFrame:
     """All n-grams of the symbols (phone); their number is the result's, and is checked."""
@@ -103,14 +105,19 @@ def token_windows(forms: DataFrame, most: int) -> DataFrame:
     """ngram, window: for every place of a dotted form the tokens from there on, `most` at most, joined again."""
     tokens = F.split("ngram", r"\.")
     windows = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, i, F.lit(most)), "."))
-    return forms.select("ngram", F.explode(windows).alias("window"))
+    return forms.select("ngram", F.explode_outer(windows).alias("window"))
 
 
 def substring_windows(forms: DataFrame, longest: int) -> DataFrame:
-    """ngram, window: for every place of a form the characters from there on, `longest` at most."""
+    """ngram, window: for every place of a form the characters from there on, `longest` at most; a form without places has one null window."""
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length("ngram"), F.lit(1))), lambda i: i <= F.length("ngram"))
     windows = F.transform(starts, lambda i: F.substring(F.col("ngram"), i, F.lit(longest)))
-    return forms.select("ngram", F.explode(windows).alias("window"))
+    return forms.select("ngram", F.explode_outer(windows).alias("window"))
+
+
+def distinct_windows(windows: DataFrame) -> DataFrame:
+    """window: the distinct ones of all forms."""
+    return windows.select("window").filter("window IS NOT NULL").distinct()
 
 
 def token_starts(windows: DataFrame, cons: DataFrame, classes: DataFrame) -> DataFrame:
@@ -188,7 +195,7 @@ def substring_starts(windows: DataFrame, cons: DataFrame, classes: DataFrame, bl
                     found = [(t, c) for t in texts for c in automaton.value.matches(t)]
                     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in range(2)], ["window", "con"])
 
-        rows = windows.select("window").mapInArrow(run, "window string, con string")
+        rows = windows.select("window").filter("window IS NOT NULL").mapInArrow(run, "window string, con string")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -206,25 +213,27 @@ def substring_violations(forms: DataFrame, cons: DataFrame, classes: DataFrame)
     What a place gives depends on the characters that a match can span, so the automaton reads each distinct window once.
     """
     windows = substring_windows(forms, longest_match(cons, classes))
-    starts = substring_starts(windows.select("window").distinct(), cons, classes)
-    return windows.join(starts, "window").groupBy("ngram", "con").agg(F.count("*").alias("v"))
+    starts = substring_starts(distinct_windows(windows), cons, classes)
+    # neither side is as small as Spark takes rows to be that are made by explode or in Python: no broadcast
+    return windows.join(starts.hint("merge"), "window").groupBy("ngram", "con").agg(F.count("*").alias("v"))
 
 
 def windowed_harmony(forms: DataFrame, cons: DataFrame, classes: DataFrame, weights: DataFrame, substrings: bool = False) -> DataFrame:
     """ngram, harmony: as harmony() of the violations of all constraints with a weight, by token or by substring.
 
-    The cost of every distinct window is summed once; forms then meet one row for each of their places, whatever the number of constraints.
+    The forms are distinct. The cost of every distinct window is summed once and written, so that its size is known; forms then meet one row for each of
+    their places, whatever the number of constraints. In a left join Spark can broadcast the costs alone, never the places, and with the costs broadcast no place is shuffled.
     """
     weighted = cons.join(weights.select("con"), "con", "left_semi")
     if substrings:
         windows = substring_windows(forms, longest_match(weighted, classes))
-        starts = substring_starts(windows.select("window").distinct(), weighted, classes)
+        starts = substring_starts(distinct_windows(windows), weighted, classes)
     else:
         windows = token_windows(forms, int(weighted.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]))
-        starts = token_starts(windows.select("window").distinct(), weighted, classes)
-    costs = starts.join(weights, "con").groupBy("window").agg(F.sum("weight").alias("cost"))
-    found = windows.join(costs, "window").groupBy("ngram").agg(F.sum(-F.col("cost")).alias("h"))
-    return forms.select("ngram").join(found, "ngram", "left").select("ngram", F.coalesce("h", F.lit(0.0)).alias("harmony"))
+        starts = token_starts(distinct_windows(windows), weighted, classes)
+    costs = stage(starts.join(weights, "con").groupBy("window").agg(F.sum("weight").alias("cost")))
+    found = windows.join(costs, "window", "left").groupBy("ngram").agg(F.sum(-F.col("cost")).alias("h"))
+    return found.select("ngram", F.coalesce("h", F.lit(0.0)).alias("harmony"))
 
 
 def regex_violations(forms: DataFrame, patterns: list[str]) -> DataFrame:

@@ -55,6 +55,23 @@ def test_windowed_harmony(made, substrings):
     assert got == pytest.approx(want) and min(want.values()) < 0
 
 
+@pytest.mark.parametrize("substrings", [False, True])
+def test_places_are_not_broadcast(made, tmp_path, substrings):
+    """The places of all forms stay in the executors, however small Spark takes the forms to be; a form without places, null or empty, costs nothing."""
+    _, classes, cons = made
+    spark = cons.sparkSession
+    spark.createDataFrame([("#.H.S.#",), ("#.T.#",), ("",), (None,)], "ngram string").write.parquet(str(tmp_path / "forms"))
+    forms = spark.read.parquet(str(tmp_path / "forms"))
+    weights = cons.select("con", F.lit(1.0).alias("weight"))
+    scores = grammar.windowed_harmony(forms, cons, classes, weights, substrings)
+    got = {r["ngram"]: r["harmony"] for r in scores.collect()}
+    assert got[""] == got[None] == 0 and got["#.H.S.#"] < got["#.T.#"] < 0
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "Exchange Single" not in plan
+    tableau = grammar.substring_violations(forms, cons, classes)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in tableau.split("MapInArrow")[0]
+
+
 def test_names_of_classes(spark):
     """Names that are equal are refused; sets whose symbols joined would be equal have names of their own."""
     words = spark.createDataFrame([(["H", "S"], 2), (["HS"], 1), (["H", "S", "HS", "S"], 1)], "phones array<string>, n long")
