@@ -11,7 +11,7 @@ from seqloom.jobs import classes as discovery
 from seqloom.jobs import fitting
 from seqloom.jobs.config import ClassConfig, ModelConfig
 from seqloom.operators import corpus, evaluation, grammar, sequences
-from seqloom.sources import stage
+from seqloom.sources import spread, stage
 from seqloom.sources import text as files
 
 EDGE, SYLLABLE, DOT = "#", "!", "."
@@ -28,10 +28,15 @@ def violations(forms: DataFrame, cons: DataFrame, classes: DataFrame, config: Mo
     return by(forms, cons, classes)
 
 
-def model_classes(words: DataFrame, classes: DataFrame, config: ModelConfig) -> DataFrame:
-    """class, phones of the model: the classes, their complements, single symbols if asked for and the marks in use, written once."""
-    spark = words.sparkSession
-    every = grammar.with_complements(classes, inventory(words), EDGE, config.singletons)
+def staged_words(words: DataFrame) -> DataFrame:
+    """Words (word or phones, n) written in as many files as there are shuffle partitions: a file is read by one task, however many symbols its few bytes hold."""
+    return stage(spread(words, *(c for c in ("phones", "word") if c in words.columns)))
+
+
+def model_classes(symbols: DataFrame, classes: DataFrame, config: ModelConfig) -> DataFrame:
+    """class, phones of the model: the classes, their complements, single symbols (phone) if asked for and the marks in use, written once."""
+    spark = symbols.sparkSession
+    every = grammar.with_complements(classes, symbols, EDGE, config.singletons)
     if not config.word_boundaries:
         every = every.filter(F.col("class") != "word")
     if config.syll_boundaries:
@@ -46,9 +51,9 @@ def inventory(words: DataFrame) -> DataFrame:
     return corpus.inventory(words).filter(~F.col("phone").isin(EDGE, SYLLABLE, DOT))
 
 
-def model_target(words: DataFrame, config: ModelConfig) -> DataFrame:
-    """ngram, p of all candidates, written once."""
-    alphabet = inventory(words)
+def model_target(words: DataFrame, symbols: DataFrame, config: ModelConfig) -> DataFrame:
+    """ngram, p of all candidates of the symbols (phone), written once."""
+    alphabet = symbols
     for m, used in ((EDGE, config.word_boundaries), (SYLLABLE, config.syll_boundaries)):
         if used:
             alphabet = alphabet.union(words.sparkSession.range(1).select(F.lit(m)))
@@ -66,21 +71,32 @@ def tables(words: DataFrame, classes: DataFrame, config: ModelConfig = ModelConf
     Without word boundaries neither forms nor classes hold the mark; with syllable boundaries the mark is a symbol and a class. A
     symbol that is a dot is no symbol of an n-gram.
     """
-    words = stage(words)
-    found: dict[str, DataFrame] = {}
-    if {"classes", "cons", "violations"} & set(parts):
-        found["classes"] = model_classes(words, classes, config)
-        found["cons"] = stage(grammar.constraints(found["classes"], config.N))
-    if {"target", "violations"} & set(parts):
-        found["target"] = model_target(words, config)
-    if "violations" in parts:
-        found["violations"] = stage(violations(found["target"].select("ngram"), found["cons"], found["classes"], config))
-    return found
+    return all_tables(staged_words(words), {0: classes}, config, parts)[0]
+
+
+def all_tables(words: DataFrame, classes: dict[int, DataFrame], config: ModelConfig = ModelConfig(), parts: tuple[str, ...] = ("classes", "cons", "target", "violations")) -> dict[int, dict[str, DataFrame]]:
+    """tables() of the same written words for several sets of classes, whose symbols and target are one."""
+    symbols = stage(inventory(words))
+    shared = {"target": model_target(words, symbols, config)} if {"target", "violations"} & set(parts) else {}
+    made = {}
+    for k, own in classes.items():
+        found = made[k] = dict(shared)
+        if {"classes", "cons", "violations"} & set(parts):
+            found["classes"] = model_classes(symbols, own, config)
+            found["cons"] = stage(grammar.constraints(found["classes"], config.N))
+        if "violations" in parts:
+            found["violations"] = stage(violations(found["target"].select("ngram"), found["cons"], found["classes"], config))
+    return made
 
 
 def judged(forms: DataFrame, cons: DataFrame, classes: DataFrame, weights: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
     """ngram, harmony of every distinct form (ngram, dotted) under the constraints that have a weight (con, weight)."""
-    return grammar.windowed_harmony(forms.select("ngram").distinct(), cons, classes, weights, config.match == "substring")
+    return all_judged(forms, {"harmony": (cons, classes, weights)}, config)
+
+
+def all_judged(forms: DataFrame, problems: dict[str, tuple[DataFrame, DataFrame, DataFrame]], config: ModelConfig = ModelConfig()) -> DataFrame:
+    """ngram and for each problem (constraints, classes, weights) a column of its name with the harmony of every distinct form."""
+    return grammar.windowed_harmonies(spread(forms.select("ngram"), "ngram").distinct(), problems, config.match == "substring")
 
 
 def fitted_judgements(words: DataFrame, classes: DataFrame, forms: DataFrame, config: ModelConfig = ModelConfig()) -> tuple[DataFrame, DataFrame]:
@@ -117,18 +133,18 @@ def repeated(words: DataFrame, forms: DataFrame, ratings: DataFrame, seeds: list
 
     Contexts are counted once; all fits are one job or one iteration, whose steps are kept in the folder `state` if it is given.
     """
+    words = staged_words(words)
     cells = stage(sequences.word_contexts(words, kinds.window, kinds.separate_lens, (DOT,)))
-    made = {}
-    for seed in seeds:
-        found = discovery.discover(cells, replace(kinds, seed=seed)).select(F.split("phones", " ").alias("phones"))
-        made[seed] = tables(words, named_classes(found), config)
+    found = {seed: discovery.discover(cells, replace(kinds, seed=seed)).select(F.split("phones", " ").alias("phones")) for seed in seeds}
+    made = all_tables(words, {seed: named_classes(c) for seed, c in found.items()}, config)
     weights = stage(fitting.fit_all({k: (t["target"], t["violations"]) for k, t in made.items()}, config, state=state))
+    problems = {f"harmony_{k}": (t["cons"], t["classes"], weights.filter(F.col("problem") == k).select("con", "weight")) for k, t in made.items()}
+    scores = all_judged(forms, problems, config).select("ngram", *[F.round(k, 9).alias(k) for k in problems])  # forms of equal violations tie, in whatever order their costs were added up
+    both = stage(scores.join(ratings.select("ngram", "rating").hint("merge"), "ngram"))
     out = None
     for seed, t in made.items():
-        scores = judged(forms, t["cons"], t["classes"], weights.filter(F.col("problem") == seed).select("con", "weight"), config)
-        both = stage(scores.join(ratings, "ngram"))
-        tau = evaluation.with_p_values(evaluation.kendall(both, F.col("harmony"), F.col("rating"))).select("tau", F.col("p").alias("tau_p"))
-        r = evaluation.with_p_values(evaluation.pearson(both, "harmony", "rating")).select("r", F.col("p").alias("r_p"))
+        tau = evaluation.with_p_values(evaluation.kendall(both, F.col(f"harmony_{seed}"), F.col("rating"))).select("tau", F.col("p").alias("tau_p"))
+        r = evaluation.with_p_values(evaluation.pearson(both, f"harmony_{seed}", "rating")).select("r", F.col("p").alias("r_p"))
         size = t["classes"].agg(F.count("*").alias("classes"))
         row = size.join(F.broadcast(tau)).join(F.broadcast(r)).select(F.lit(seed).alias("seed"), "classes", "tau", "tau_p", "r", "r_p")  # single rows
         out = row if out is None else out.unionByName(row)

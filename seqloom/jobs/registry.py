@@ -362,7 +362,7 @@ def _classes(words: DataFrame) -> DataFrame:
 
 def _model(spark: SparkSession, d: str, *parts: str) -> dict[str, DataFrame]:
     """The model's tables that a query needs, each written once: all of them are small next to the corpus and read several times."""
-    words = stage(_words(spark, d))
+    words = model.staged_words(_words(spark, d))
     own = {"weights": "cons", "scores": "violations"}
     t = model.tables(words, _classes(words), parts=tuple(own.get(p, p) for p in parts)) | {"words": words}
     if {"weights", "scores"} & set(parts):
@@ -622,13 +622,13 @@ def fit_maxent(spark, d):
 @query()
 def model_judgements(spark, d):
     """Grammar fitted on the words and classes of the corpus, and the harmony of every word under it."""
-    words = stage(_words(spark, d))
+    words = model.staged_words(_words(spark, d))
     return model.fitted_judgements(words, _classes(words), model.dotted(words))[1]
 
 
 @query()
 def model_repetitions(spark, d):
     """Classes, grammar and judgements of the corpus for three seeds, held against the logarithm of the words' counts."""
-    words = stage(_words(spark, d))
+    words = model.staged_words(_words(spark, d))
     forms = model.dotted(words)
     return model.repeated(words, forms, forms.select("ngram", F.ln("n").alias("rating")), [1, 2, 3])

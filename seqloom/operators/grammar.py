@@ -103,9 +103,9 @@ def token_violations(forms: DataFrame, cons: DataFrame, classes: DataFrame) -> D
 
 def token_windows(forms: DataFrame, most: int) -> DataFrame:
     """ngram, window: for every place of a dotted form the tokens from there on, `most` at most, joined again."""
-    tokens = F.split("ngram", r"\.")
-    windows = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.slice(tokens, i, F.lit(most)), "."))
-    return forms.select("ngram", F.explode_outer(windows).alias("window"))
+    rows = forms.select("ngram", F.split("ngram", r"\.").alias("tokens"))  # a column of its own: an expression inside a lambda is worked out for every place
+    windows = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.array_join(F.slice("tokens", i, F.lit(most)), "."))
+    return rows.select("ngram", F.explode_outer(windows).alias("window"))
 
 
 def substring_windows(forms: DataFrame, longest: int) -> DataFrame:
@@ -218,22 +218,27 @@ def substring_violations(forms: DataFrame, cons: DataFrame, classes: DataFrame)
     return windows.join(starts.hint("merge"), "window").groupBy("ngram", "con").agg(F.count("*").alias("v"))
 
 
-def windowed_harmony(forms: DataFrame, cons: DataFrame, classes: DataFrame, weights: DataFrame, substrings: bool = False) -> DataFrame:
-    """ngram, harmony: as harmony() of the violations of all constraints with a weight, by token or by substring.
+def windowed_harmonies(forms: DataFrame, problems: dict[str, tuple[DataFrame, DataFrame, DataFrame]], substrings: bool = False) -> DataFrame:
+    """ngram and for each problem (constraints, classes, weights) a column of its name: as harmony() of the violations of all constraints with a weight, by token or by substring.
 
-    The forms are distinct. The cost of every distinct window is summed once and written, so that its size is known; forms then meet one row for each of
-    their places, whatever the number of constraints. In a left join Spark can broadcast the costs alone, never the places, and with the costs broadcast no place is shuffled.
+    The forms are distinct and expanded once for all problems. The cost of every distinct window is summed once and written, so that its size is known; forms then
+    meet one row for each of their places, whatever the number of constraints. In a left join Spark can broadcast the costs alone, never the
+    places, and with the costs broadcast no place is shuffled.
     """
-    weighted = cons.join(weights.select("con"), "con", "left_semi")
+    weighted = {k: cons.join(weights.select("con"), "con", "left_semi") for k, (cons, _, weights) in problems.items()}
     if substrings:
-        windows = substring_windows(forms, longest_match(weighted, classes))
-        starts = substring_starts(distinct_windows(windows), weighted, classes)
+        windows = substring_windows(forms, max(longest_match(weighted[k], classes) for k, (_, classes, _) in problems.items()))
     else:
-        windows = token_windows(forms, int(weighted.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]))
-        starts = token_starts(distinct_windows(windows), weighted, classes)
-    costs = stage(starts.join(weights, "con").groupBy("window").agg(F.sum("weight").alias("cost")))
-    found = windows.join(costs, "window", "left").groupBy("ngram").agg(F.sum(-F.col("cost")).alias("h"))
-    return found.select("ngram", F.coalesce("h", F.lit(0.0)).alias("harmony"))
+        windows = token_windows(forms, int(reduce(DataFrame.union, [c.select("n") for c in weighted.values()]).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]))
+    different, starts = stage(distinct_windows(windows)), substring_starts if substrings else token_starts
+    rows = [starts(different, weighted[k], classes).join(weights, "con").select("window", F.lit(k).alias("problem"), "weight") for k, (_, classes, weights) in problems.items()]
+    costs = stage(reduce(DataFrame.union, rows).groupBy("window").agg(*[F.sum(F.when(F.col("problem") == k, F.col("weight"))).alias(k) for k in problems]))
+    return windows.join(costs, "window", "left").groupBy("ngram").agg(*[F.coalesce(F.sum(-F.col(k)), F.lit(0.0)).alias(k) for k in problems])
+
+
+def windowed_harmony(forms: DataFrame, cons: DataFrame, classes: DataFrame, weights: DataFrame, substrings: bool = False) -> DataFrame:
+    """ngram, harmony: windowed_harmonies() of one problem."""
+    return windowed_harmonies(forms, {"harmony": (cons, classes, weights)}, substrings)
 
 
 def regex_violations(forms: DataFrame, patterns: list[str]) -> DataFrame:

@@ -16,7 +16,8 @@ def ngrams(phones: Column, n: int) -> Column:
 
 def word_ngram_counts(words: DataFrame, n: int) -> DataFrame:
     """ngram, n over framed words (word or phones, n)."""
-    rows = words.select(F.col("n").alias("times"), F.explode(ngrams(framed(symbols(words)), n)).alias("ngram"))
+    rows = words.select(F.col("n").alias("times"), framed(symbols(words)).alias("p"))  # a column of its own: an expression inside a lambda is worked out for every place
+    rows = rows.select("times", F.explode(ngrams(F.col("p"), n)).alias("ngram"))
     return rows.groupBy("ngram").agg(F.sum("times").alias("n"))
 
 

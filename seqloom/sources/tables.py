@@ -36,6 +36,11 @@ def stage(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """`df` dealt over all shuffle partitions by its columns `by`. For rows that are few bytes but much work, which would else be put together in a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def discard(staged: DataFrame) -> None:
     """Remove the files of a staged table that no later step reads, to keep the shared folder small."""
     jvm = staged.sparkSession.sparkContext._jvm

@@ -72,6 +72,24 @@ def test_places_are_not_broadcast(made, tmp_path, substrings):
     assert "BroadcastHashJoin" not in tableau.split("MapInArrow")[0]
 
 
+def test_words_are_read_once_for_all_classes(spark):
+    """Words lie in files for several tasks, symbols and target are made once, and several problems are judged in one pass."""
+    words = spark.createDataFrame([("".join(w), n + 1) for n, w in enumerate(["ab", "ba", "aab", "abc", "cab", "bb"])], "word string, n long").coalesce(1)
+    staged = model.staged_words(words)
+    assert len(staged.inputFiles()) > 1 and sorted(staged.collect()) == sorted(words.collect())
+    sets = {k: model.named_classes(spark.createDataFrame([(p,)], "phones array<string>")) for k, p in ((1, ["a"]), (2, ["b", "c"]))}
+    made = model.all_tables(staged, sets)
+    assert made[1]["target"] is made[2]["target"]
+    forms = model.dotted(words)
+    problems = {f"h{k}": (t["cons"], t["classes"], t["cons"].select("con", (F.length("con") / 3.0).alias("weight"))) for k, t in made.items()}
+    got = {r["ngram"]: (r["h1"], r["h2"]) for r in model.all_judged(forms, problems).collect()}
+    for k, t in made.items():
+        alone = model.tables(words, sets[k])
+        assert sorted(map(str, alone["violations"].collect())) == sorted(map(str, t["violations"].collect()))
+        want = {r["ngram"]: r["harmony"] for r in grammar.harmony(forms, grammar.token_violations(forms, t["cons"], t["classes"]), problems[f"h{k}"][2]).collect()}
+        assert {f: h[k - 1] for f, h in got.items()} == pytest.approx(want)
+
+
 def test_names_of_classes(spark):
     """Names that are equal are refused; sets whose symbols joined would be equal have names of their own."""
     words = spark.createDataFrame([(["H", "S"], 2), (["HS"], 1), (["H", "S", "HS", "S"], 1)], "phones array<string>, n long")
