@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -95,27 +96,24 @@ class Bpe:
         for i, b in plain.items():
             self.find.add_word(b.decode("latin-1"), i)
         self.find.make_automaton()
-        self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.shorter, self.under = [-1] * size, {}  # the longest token that starts a token, or a state of the automaton's trie
+        for b, i in self.ids.items():
+            text, last = b.decode("latin-1"), -1
+            for n in range(1, len(b)):
+                last = self.ids.get(b[:n], last)
+                self.under[text[:n]] = last
+            self.shorter[i], self.under[text] = last, i
+        self.fits: dict[int, bool] = {}
         self.cache = Cached(lambda piece: self.pieces(" " + piece))
         lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.lengths, self.offsets = lengths, np.cumsum(lengths) - lengths
         self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.decimal = np.array([b"%d," % i for i in range(size)])
 
-    def shorter_token(self, token: int) -> int:
-        """The longest token that starts this one, -1 for none."""
-        found = self.shorter.get(token)
-        if found is None:
-            b = self.bytes[token]
-            found = next((self.ids[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in self.ids), -1)
-            self.shorter[token] = found
-        return found
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether no merge crosses the border of two tokens: their merges are undone, the latest first, and at each
         state of the border its pair must not have merged before the part that was undone last came to be."""
-        known = self.fits.get((a, b))
+        known = self.fits.get(a << 32 | b)
         if known is not None:
             return known
         x, y, before, out = a, b, len(self.rank), True
@@ -132,36 +130,41 @@ class Bpe:
                 break
         if len(self.fits) > 1_000_000:
             self.fits.clear()
-        self.fits[a, b] = out
+        self.fits[a << 32 | b] = out
         return out
 
     def word(self, word: bytes) -> list[int]:
-        """Token ids of one pre-token."""
+        """Token ids of one pre-token. The look-ups stand in the loop itself, which is nearly all work of new words, and the automaton is asked only at places that a token starts at."""
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        sizes, n = self.lengths_list, len(word)
-        longest = [0] * n
-        for end, i in self.find.iter(word.decode("latin-1")):
-            longest[end + 1 - sizes[i]] = i
+        sizes, n, known, shorter = self.lengths_list, len(word), self.fits.get, self.shorter
+        text, reach, under = word.decode("latin-1"), self.find.longest_prefix, self.under
         out: list[int] = []
         left = bytearray(n + 1)
-        at, token = 0, longest[0]
+        at, token, before = 0, under[text[: reach(text)]], -1
         while True:
             end = at + sizes[token]
-            if not left[end] and (not out or self.compatible(out[-1], token)):
+            if left[end]:
+                fits = False
+            elif before < 0:
+                fits = True
+            elif (fits := known(before << 32 | token)) is None:
+                fits = self.compatible(before, token)
+            if fits:
                 out.append(token)
-                at = end
-                if at == n:
+                if end == n:
                     return out
-                token = longest[at]
+                at, before, rest = end, token, text[end:]
+                token = under[rest[: reach(rest)]]
             else:
-                less = self.shorter_token(token)
+                less = shorter[token]
                 if less >= 0:
                     token = less
                 else:
                     left[at] = 1
                     token = out.pop()
+                    before = out[-1] if out else -1
                     at -= sizes[token]
 
     @property
@@ -172,7 +175,14 @@ class Bpe:
 
     def pieces(self, text: str) -> bytes:
         """Ids of a text without special strings, as raw numbers of self.kind."""
-        return np.array([i for p in PIECES.findall(text) for i in self.word(p.encode())], self.kind).tobytes()
+        ids, whole = [], self.ids.get
+        for p in PIECES.findall(text):
+            p = p.encode()
+            if (i := whole(p)) is None:
+                ids += self.word(p)
+            else:
+                ids.append(i)
+        return array(self.kind.char, ids).tobytes()
 
     def plain(self, text: str) -> bytes:
         if not text:

@@ -147,6 +147,18 @@ def test_every_token_is_one_token():
     assert all(own.word(b) == [i] for b, i in own.ids.items())
 
 
+def test_bpe_longest_tokens():
+    """The tables by state and by token give the longest token at a place and the longest one that starts it."""
+    own = bytebpe.load(bytebpe.default_path())
+    for word in (" unbelievably", "zzxqjkvw", "naïveté", "…—x", "antidisestablishment"):
+        text = word.encode().decode("latin-1")
+        for at in range(len(text)):
+            rest = text[at:]
+            found = [own.ids[b] for n in range(1, len(rest) + 1) if (b := rest[:n].encode("latin-1")) in own.ids]
+            assert own.under[rest[: own.find.longest_prefix(rest)]] == found[-1]
+            assert own.shorter[found[-1]] == (found[-2] if len(found) > 1 else -1)
+
+
 def test_bpe_rows(docs, empty):
     got = by_id(bytebpe.round_trip(docs))
     assert len(got) == len(ROWS)
