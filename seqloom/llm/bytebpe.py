@@ -17,7 +17,6 @@ import hashlib
 import json
 from array import array
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -26,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.arrow import blocks, ragged, text_bytes
+from seqloom.llm.held import held
 from seqloom.sources import read_table
 
 # fixed values: the white space of the pre-tokenizer and its pattern
@@ -210,10 +210,9 @@ class Bpe:
         return self.decimal[ids].tobytes().translate(None, b"\0")[:-1]
 
 
-@cache
 def load(path: str) -> Bpe:
-    """The tables of a file, once a worker."""
-    return Bpe(path)
+    """The tables of a file, once a worker while no other step needs it."""
+    return held(("bytebpe", path), lambda: Bpe(path))
 
 
 def default_path() -> str:

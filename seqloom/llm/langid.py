@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, ragged
+from seqloom.llm.held import held
 from seqloom.llm.rows import keeps_columns
 from seqloom.sources import read_table, stage
 
@@ -207,15 +208,12 @@ def fit(train: DataFrame, buckets: int = 1 << 14, steps: int = 10, rate: float =
     return model
 
 
-_SEEN: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
-
-
 def word_scores(words: list[str], model: Field, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """(row of each word, label scores by row); rows are kept for the next batches of this worker. Row 0: no letter."""
-    if model.key not in _SEEN or len(_SEEN[model.key][0]) > most:
-        _SEEN.clear()
-        _SEEN[model.key] = ({}, [np.zeros((1, len(model.labels)))])
-    rows, parts = _SEEN[model.key]
+    rows, parts = held(("langid", model.key), lambda: ({}, [np.zeros((1, len(model.labels)))]))
+    if len(rows) > most:
+        rows.clear()
+        parts[:] = [parts[0][:1].copy()]
     new = [w for w in dict.fromkeys(words) if w not in rows]
     if new:
         at = sum(map(len, parts))

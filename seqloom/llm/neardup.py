@@ -30,6 +30,7 @@ from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.components import components
 from seqloom.llm.fingerprint import packed
 from seqloom.llm.golay import segment_keys
+from seqloom.llm.held import release
 from seqloom.llm.rows import keeps_columns, row_digest
 from seqloom.sources import discard, stage
 
@@ -86,6 +87,7 @@ def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
     """doc_id, row, node (hash of the shingle set), n (its size), wide (fingerprints, then parities) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in blocks(batches):
             sets = [shingle_set(t, words) for t in text_bytes(batch).to_pylist()]
             node = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
@@ -102,6 +104,7 @@ def keyed(nodes: DataFrame, spread: int) -> DataFrame:
     isn't empty: `at` is a fingerprint's number and an index of its first segment, `bs` has all indices of the second one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -180,6 +183,7 @@ def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["key", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, forced = [np.empty(0, np.int64)] * 6, False
         for batch in batches:
             held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
@@ -227,6 +231,7 @@ def verified(pairs: DataFrame, bodies: DataFrame, words: int, similarity: float)
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "body_a", "body_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         unzip, kept, size = zstandard.ZstdDecompressor(), {}, 0
 
         def shingles(node: bytes, body: pa.Scalar) -> np.ndarray:

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, ragged, text_bytes
+from seqloom.llm.held import release
 from seqloom.llm.rows import keeps_columns
 from seqloom.sources import discard, read_table, stage
 
@@ -109,6 +110,7 @@ def cut(docs: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
         return owner, [pa.array(h.view(np.int64)), content, pa.array(place)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in blocks(batches, size=1 << 20):
             texts = text_bytes(b).to_pylist()
             tags = pa.array([tag(t) for t in texts], pa.binary())

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from seqloom.llm.arrow import blocks, text_bytes
+from seqloom.llm.held import held
 from seqloom.sources import read_table
 
 GAP = "▁"
@@ -136,9 +136,8 @@ def batch_counts(texts: list[str], merges: Merges, most: int = 500_000) -> list[
     return [sum(map(known.__getitem__, words)) for words in named]
 
 
-@cache
 def load(path: str) -> Merges:
-    return Merges(path)
+    return held(("token_counts", path), lambda: Merges(path))
 
 
 def counted(docs: DataFrame, path: str | None = None, limit: int = 4096) -> DataFrame:

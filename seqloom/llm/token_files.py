@@ -24,7 +24,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.arrow import blocks, text_bytes
 from seqloom.llm.bytebpe import byte_chars, default_path, simple
+from seqloom.llm.held import held
 from seqloom.llm.ordered import range_bounds, range_parts
 from seqloom.sources import read_table, stage, work_dir
 
@@ -144,9 +144,8 @@ class Library:
         return [np.frombuffer(self.ids(t) if c is None else b"".join(map(find, c))[step:], self.kind) for t, c in zip(texts, cuts)]
 
 
-@cache
 def load(path: str) -> Library:
-    return Library(path)
+    return held(("token_files", path), lambda: Library(path))
 
 
 def control_table(bits: int) -> np.ndarray:
