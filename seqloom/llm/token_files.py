@@ -19,14 +19,14 @@ doc_ids come first; an empty table gives no file and an empty result. Only doc_i
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -43,33 +43,41 @@ BLOCK = 1 << 20
 
 
 class Kept:
-    """piece -> ids, in two generations of about `most` entries: what is still in use moves to the newer one."""
+    """key -> ids, in two generations of about `most` entries: what is still in use moves to the newer one."""
 
     def __init__(self, most: int) -> None:
         self.most, self.new, self.old = most, {}, {}
 
-    def lacking(self, pieces: set[str]) -> list[str]:
-        """The pieces to be found; the others are in `new` afterwards."""
+    def find(self, keys: pa.Array, compute: Callable[[list[str]], list[bytes]]) -> pa.Array:
+        """The ids of each key, null for null; `compute` is asked for the distinct ones that aren't kept."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        rest, old = pieces.difference(self.new), self.old
-        moved = {p: old[p] for p in rest if p in old}
-        self.new |= moved
-        return [p for p in rest if p not in moved]
+        keys = keys.dictionary_encode()
+        names, new, old = keys.dictionary.to_pylist(), self.new, self.old
+        lacking = []
+        for k in names:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    lacking.append(k)
+        new.update(zip(lacking, compute(lacking)))
+        return pa.array([new[k] for k in names], pa.large_binary()).take(keys.indices)
 
 
 class Library:
-    """The tokenizers library over whole texts, with the results of distinct pieces kept.
+    """The tokenizers library over whole texts, with the results of distinct words and pieces kept.
 
     A text is cut at single spaces and line feeds between other characters, where the pre-tokenizer always cuts, and a piece of letters and
-    punctuation between the two. These parts are pre-tokens and go to the library's model, which is less work than a
+    punctuation between the two. These words and marks are pre-tokens and go to the library's model, which is less work than a
     call for a text; other new pieces are encoded by the whole tokenizer in lines of many, with a line feed between them, which it makes a token of its own.
+    Arrow cuts the texts of a batch, tells their pieces apart and puts the ids together, so that only distinct words of a batch are looked up one by one.
     """
 
-    #: fixed values: letters and punctuation between which the pre-tokenizer always cuts
-    PAIR = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+    #: fixed values: letters and punctuation between which the pre-tokenizer always cuts, after a line feed or a space that was cut off
+    PARTS = r"\A\n?(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[!-/:-@\[-`{-~]*)\z"
 
-    def __init__(self, path: str, most: int = 220_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -80,7 +88,7 @@ class Library:
         [self.line] = self.tok.encode("\n", add_special_tokens=False).ids
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.chars = {b: c for c, b in byte_chars().items()}
-        self.pieces, self.marks = Kept(most), {"": b""}
+        self.words, self.others = Kept(most), Kept(most // 4)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -104,44 +112,48 @@ class Library:
         """Ids of pre-tokens without a line feed, by the model alone."""
         if not words:
             return []
-        kind, tokenize = "HI"[self.kind.itemsize // 4], self.tok.model.tokenize
-        mapped = "\n".join(words).encode().decode("latin-1").translate(self.chars).split(self.chars[10])
-        return [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in mapped]
-
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of all pieces: one that starts with a line feed as it is, others after a space."""
-        new, found, fits = self.pieces.lacking(pieces), self.pieces.new, self.PAIR.fullmatch
-        pairs, words, rest = [], [], []
-        for p in new:
-            lead, body = ("", p[1:]) if p[:1] == "\n" else (" ", p)
-            if m := fits(body):
-                pairs.append((p, m[2]))
-                words.append(lead + m[1])
-            else:
-                rest.append((p, lead + body))
-        marks = [m for m in {m for _, m in pairs} if m not in self.marks]
-        self.marks |= dict(zip(marks, self.pre_tokens(marks)))
-        line, mark = np.array([self.line], self.kind).tobytes(), self.marks
-        for (p, m), w in zip(pairs, self.pre_tokens(words)):
-            w = w + mark[m] if m else w
-            found[p] = line + w if p[0] == "\n" else w
-        for (p, _), i in zip(rest, self.in_lines([t for _, t in rest])):
-            found[p] = line + i if p[:1] == "\n" else i
-        if len(mark) > 20_000:
-            self.marks = {"": b""}
-        return found
-
-    def cut(self, text: str) -> list[str] | None:
-        """The pieces of a text after a line feed; None if it has white space that is not so simple."""
-        if not text or text[0] in " \n" or text[-1] == "\n" or "\n\n" in text or not simple(text) or any(s in text for s in self.special):
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        tokenize, ids, ends = self.tok.model.tokenize, array("HI"[self.kind.itemsize // 4]), [0]
+        for w in "\n".join(words).encode().decode("latin-1").translate(self.chars).split(self.chars[10]):
+            ids.extend([t.id for t in tokenize(w)])
+            ends.append(len(ids))
+        raw, step = ids.tobytes(), self.kind.itemsize
+        return [raw[a * step : z * step] for a, z in zip(ends, ends[1:])]
+
+    def pieces(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces: one that starts with a line feed as it is, others after a space."""
+        parts = pc.extract_regex(pieces, self.PARTS)
+        word, mark = (pc.struct_field(parts, k) for k in ("word", "mark"))
+        text, raw = pa.large_string(), pa.large_binary()
+        lined = pc.starts_with(pieces, "\n")
+        line = pa.scalar(np.array([self.line], self.kind).tobytes(), raw)
+        before = pc.if_else(lined, line, pa.scalar(b"", raw))
+        spaced = pc.binary_join_element_wise(pc.if_else(lined, pa.scalar("", text), pa.scalar(" ", text)), word, pa.scalar("", text))
+        found = [before, self.words.find(spaced, self.pre_tokens), self.words.find(mark, self.pre_tokens)]
+        whole = pc.binary_join_element_wise(*found, pa.scalar(b"", raw))
+        other = pc.is_null(whole)
+        if not pc.any(other).as_py():
+            return whole
+        rest = pieces.filter(other)
+        ids = self.others.find(rest, lambda new: self.in_lines([p[1:] if p[0] == "\n" else " " + p for p in new]))
+        return pc.replace_with_mask(whole, other, pc.binary_join_element_wise(before.filter(other), ids, pa.scalar(b"", raw)))
+
+    def cuts(self, text: str) -> bool:
+        """Whether all white space of a text is so simple that it can be cut there."""
+        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and "\n\n" not in text and simple(text) and not any(s in text for s in self.special)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cuts = [self.cut(t) for t in texts]
-        find = self.learn(set().union(*[c for c in cuts if c])).__getitem__
-        step = self.kind.itemsize
-        return [np.frombuffer(self.ids(t) if c is None else b"".join(map(find, c))[step:], self.kind) for t, c in zip(texts, cuts)]
+        cut = [i for i, t in enumerate(texts) if self.cuts(t)]
+        out = [None] * len(texts)
+        if cut:
+            # as after a line feed, whose id goes again
+            cells = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in cut], pa.large_string()), " ")
+            pieces = cells.values.dictionary_encode()
+            raw = self.pieces(pieces.dictionary).take(pieces.indices)
+            starts, step = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1), self.kind.itemsize
+            flat, ends = np.frombuffer(raw.buffers()[2], self.kind), (starts[cells.offsets.to_numpy()] // step).tolist()
+            for i, a, z in zip(cut, ends, ends[1:]):
+                out[i] = flat[a + 1 : z]
+        return [np.frombuffer(self.ids(t), self.kind) if o is None else o for o, t in zip(out, texts)]
 
 
 def load(path: str) -> Library:
@@ -200,7 +212,7 @@ def encoded_ranges(docs: DataFrame, path: str, end_id: int, parts: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, unzip, press = load(path), zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         part, at = None, 0
-        for b in blocks(batches, "body", 1 << 20):
+        for b in blocks(batches, "body", 3 << 20):
             places = []
             for p in b.column(0).to_pylist():
                 part, at = p, at + 1 if p == part else 0
