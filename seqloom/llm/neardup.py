@@ -6,9 +6,10 @@ the indices of nearby Golay codewords, and each pair of indices is a key: two se
 fingerprint with a chance of 0.36, hence some key of ten with one of 0.99 (0.998 at 0.82). Sets that share a key are
 candidates if the fingerprints' bits allow it; candidates are verified on whole shingle sets, and only verified links join.
 
-Small buckets give all their pairs. A larger bucket gives first the pairs of its least member (of each set the nearest few), and after these are verified
-all pairs that no verified link has joined yet, dealt in blocks: copies by the thousand need no pair of all of them, and no
-pair is left out. A set is known by a 128-bit hash.
+Copies by the thousand are joined first: under the keys of one fingerprint each set is held against the least of its bucket, and sets that verified links
+have joined give no pair any more under all keys. Of what is left small buckets give all their pairs. A larger bucket gives first the pairs of its least member (of each set
+the nearest few) and the members that have a candidate in it, and after these are verified all their pairs that no verified link has joined yet, dealt in blocks: no
+pair is left out. Rows of keys hold all fingerprints and parities, so what leaves a bucket is a candidate in full. A set is known by a 128-bit hash.
 
 Defined results: null and empty texts and texts without a word are one empty set; fewer words than a shingle are one
 shingle; rows are told apart by doc_id and text, a null doc_id included; the row that names a component is the one with the least
@@ -83,6 +84,14 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(shingles & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1).view(np.int64)
 
 
+def may_link(m: np.ndarray, n: np.ndarray, differ: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sizes of pairs of sets and their numbers of differing bits, word by word (fingerprints, then parities), allow the similarity."""
+    spread = max(differ.shape[1] - PARITIES, 0)
+    bits, odd = (d.sum(axis=1, dtype=np.int64) for d in (differ[:, :spread], differ[:, spread:]))
+    shared = (m + n - odd) / 2  # at most
+    return (shared >= similarity * (m + n - shared) - SLACK) & (bits <= (MOST_SHARE + 0.2 / np.maximum(m, n)) * 64 * spread)
+
+
 def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
     """doc_id, row, node (hash of the shingle set), n (its size), wide (fingerprints, then parities) of every row."""
 
@@ -99,9 +108,9 @@ def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
     return docs.select("doc_id", row_hash().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row binary, node binary, n int, wide array<long>")
 
 
-def keyed(nodes: DataFrame, spread: int) -> DataFrame:
-    """at, bs, id, sig (one fingerprint other than the key's), n, even, odd (128 parities) of every set that
-    isn't empty: `at` is a fingerprint's number and an index of its first segment, `bs` has all indices of the second one."""
+def keyed(nodes: DataFrame, spread: int, first: int | None = None) -> DataFrame:
+    """at, bs, id, sig (one fingerprint other than the key's), n, even, odd (128 parities), root, wide of every set (id, root, n, wide) that
+    isn't empty: `at` is a fingerprint's number and an index of its first segment, `bs` has all indices of the second one. Keys are those of the `first` fingerprints, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -109,20 +118,22 @@ def keyed(nodes: DataFrame, spread: int) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 ids, wide, n = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1), part.column(2).to_numpy()
+                roots = part.column(3).to_numpy()
                 even, odd = (np.bitwise_xor.reduce(wide[:, spread + k :: 2], axis=1) for k in range(2))
-                for w in range(spread):
+                for w in range(first or spread):
                     left, right = (segment_keys((wide[:, w] >> s) & ((1 << 23) - 1)) for s in SEGMENTS)
                     row = np.nonzero(left >= 0)[0]
                     fits = right[row] >= 0
                     ends = np.concatenate(([0], np.cumsum(fits.sum(axis=1)))).astype(np.int32)
                     bs = pa.ListArray.from_arrays(pa.array(ends), pa.array(right[row][fits].astype(np.int16)))
                     sig = wide[:, (w + 1) % spread]
-                    columns = [(w << 12) | left[left >= 0], *[c[row] for c in (ids, sig, n, even, odd)]]
+                    columns = [(w << 12) | left[left >= 0], *[c[row] for c in (ids, sig, n, even, odd, roots)]]
                     columns = [pa.array(c) for c in columns]
-                    yield pa.RecordBatch.from_arrays([columns[0], bs, *columns[1:]], ["at", "bs", "id", "sig", "n", "even", "odd"])
+                    whole = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * wide.shape[1]), pa.array(wide[row].reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([columns[0], bs, *columns[1:], whole], ["at", "bs", "id", "sig", "n", "even", "odd", "root", "wide"])
 
-    kind = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long"
-    return nodes.filter("n > 0").select("id", "wide", "n").mapInArrow(run, kind)
+    kind = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long, root long, wide array<long>"
+    return nodes.filter("n > 0").select("id", "wide", "n", "root").mapInArrow(run, kind)
 
 
 def keys_of(rows: DataFrame) -> DataFrame:
@@ -151,52 +162,98 @@ def all_keys(nodes: DataFrame, spread: int) -> DataFrame:
     return nodes.filter("n > 0").select("id", "root", "n", "wide").mapInArrow(run, "id long, root long, n int, wide array<long>, keys array<long>")
 
 
-def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int = 100_000) -> DataFrame:
-    """key, a, b of keyed()'s rows; pairs are left out if their sizes and parities exclude the similarity or a fingerprint differs too much. Key -1: a candidate pair of ids. From 0: a (id) and b (sig) of each member of a bucket of more than `small`. Below -1: the pair of
-    the bucket's least id and another, which differ in -2 - key bits."""
+def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int = 100_000, most: int = 2000, stars: bool = False) -> DataFrame:
+    """key, a, b of keyed()'s rows: candidates, which are pairs of different roots whose sizes, parities and fingerprints allow the similarity, each once for the rows that are held at a time.
+    Key -1: a pair of ids. Key 0: a (id) has a candidate in a bucket of more than `small` rows; if more than `most` are held of it, whether or not it has one. Below -1: the pair of
+    such a bucket's least id and another, which differ in -2 - key bits. `stars`: only the last kind, of all buckets. Rows without root and wide are held to have roots of their own and no more bits."""
+    small = 1 if stars else small
 
-    def near(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-        """Of sig, n, even, odd. Sets of sizes m and n that have the similarity s differ in (m + n)(1 - s)/(1 + s) shingles at most."""
+    def near(x: list[np.ndarray], y: list[np.ndarray], bits: int = 64) -> np.ndarray:
+        """Of sig, n, even, odd, root. Sets of sizes m and n that have the similarity s differ in (m + n)(1 - s)/(1 + s) shingles at most."""
         sig, even, odd = (np.bitwise_count((p ^ q).view(np.uint64)).astype(np.int64) for p, q in ((x[i], y[i]) for i in (0, 2, 3)))
         size = np.minimum(x[1], y[1]) >= similarity * np.maximum(x[1], y[1]) - SLACK
-        return size & (sig <= MOST_BITS) & (even + odd <= (x[1] + y[1]) * ((1 - similarity) / (1 + similarity)) + SLACK)
+        return size & (sig <= bits) & (even + odd <= (x[1] + y[1]) * ((1 - similarity) / (1 + similarity)) + SLACK) & (x[4] != y[4])
+
+    def candidates(i: np.ndarray, j: np.ndarray, n: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows are candidates by all words, a part at a time."""
+        parts = [slice(lo, lo + 20_000) for lo in range(0, len(i), 20_000)]
+        return np.concatenate([np.empty(0, bool), *[may_link(n[i[p]], n[j[p]], np.bitwise_count(wide[i[p]] ^ wide[j[p]]), similarity) for p in parts]])
+
+    def paired(seen: list[np.ndarray], wide: np.ndarray) -> np.ndarray:
+        """Which rows of a bucket have a candidate in it."""
+        found, step = np.zeros(len(wide), bool), max(1, 100_000 // len(wide))
+        for lo in range(0, len(wide), step):
+            i, j = np.nonzero(near([c[lo : lo + step, None] for c in seen], [c[None, lo:] for c in seen]))
+            i, j = i[i < j] + lo, j[i < j] + lo
+            fits = candidates(i, j, seen[1], wide)
+            found[i[fits]] = found[j[fits]] = True
+        return found
 
     def pairs(keys: np.ndarray, ids: np.ndarray, *seen: np.ndarray, forced: bool) -> pa.RecordBatch:
         """Candidates and members of whole buckets; `forced`: the first one is large, whatever is here of it."""
+        *seen, wide = seen
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(starts, len(keys)))
         large = sizes > small
         large[0] |= forced
         first = np.repeat(starts, sizes)
-        member = np.flatnonzero(np.repeat(large, sizes))
-        sig = seen[0]
-        star = member[(first[member] != member) & near([c[member] for c in seen], [c[first[member]] for c in seen])]
-        apart = np.bitwise_count((sig[star] ^ sig[first[star]]).view(np.uint64)).astype(np.int64)
-        out = [(keys[member], ids[member], sig[member]), (-2 - apart, ids[first[star]], ids[star])]
-        few = np.repeat(~large & (sizes > 1), sizes)
-        k, i, s = keys[few], ids[few], [c[few] for c in seen]
+        star = np.flatnonzero(np.repeat(large, sizes) & (first != np.arange(len(keys))))
+        star = star[near([c[star] for c in seen], [c[first[star]] for c in seen], MOST_BITS)]
+        star = star[candidates(first[star], star, seen[1], wide)]
+        # the fingerprints alone; without them the one that is there
+        words = wide[:, : wide.shape[1] - PARITIES] if wide.shape[1] else seen[0][:, None]
+        apart = np.bitwise_count((words[star] ^ words[first[star]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        out = [(-2 - apart, ids[first[star]], ids[star])]
+        few = np.flatnonzero(np.repeat(~large & (sizes > 1), sizes))
+        k, s = keys[few], [c[few] for c in seen]
         for lag in range(1, small):
             if len(k) <= lag:
                 break
-            hit = (k[lag:] == k[:-lag]) & near([c[lag:] for c in s], [c[:-lag] for c in s])
-            out.append((np.full(int(hit.sum()), -1), i[:-lag][hit], i[lag:][hit]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["key", "a", "b"])
+            hit = np.flatnonzero((k[lag:] == k[:-lag]) & near([c[lag:] for c in s], [c[:-lag] for c in s], MOST_BITS))
+            hit = hit[candidates(few[hit], few[hit + lag], seen[1], wide)]
+            out.append((np.full(len(hit), -1), ids[few[hit]], ids[few[hit + lag]]))
+        for at, size in () if stars else zip(starts[large].tolist(), sizes[large].tolist()):
+            rows = slice(at, at + size)
+            if forced and not at or size > most:
+                found = ids[rows]
+            else:
+                found = ids[rows][paired([c[rows] for c in seen], wide[rows])]
+            out.append((np.zeros(len(found), np.int64), found, found))
+        once = np.unique(np.stack([np.concatenate([o[j] for o in out]).astype(np.int64) for j in range(3)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in once], ["key", "a", "b"])
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        found = [c.to_numpy() for c in batch.columns[:7]]
+        if len(found) < 7:
+            found.append(found[1])
+        wide = batch.column(7).flatten().to_numpy() if batch.num_columns > 7 else np.empty(0, np.int64)
+        return [*found, wide.reshape(batch.num_rows, -1).view(np.uint64)]
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """The columns of some tens of thousands of rows at a time, as a row that repeats in them is given once."""
+        some = []
+        for batch in batches:
+            if batch.num_rows:
+                some.append(columns(batch))
+            if sum(len(c[0]) for c in some) >= min(hold, 50_000):
+                yield [np.concatenate(p) for p in zip(*some)]
+                some = []
+        if some:
+            yield [np.concatenate(p) for p in zip(*some)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        held, forced = [np.empty(0, np.int64)] * 6, False
-        for batch in batches:
-            held = [np.concatenate((h, c.to_numpy())) for h, c in zip(held, batch.columns)]
-            if not len(held[0]):
-                continue
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next batch
+        held, forced = None, False
+        for now in parts_of(batches):
+            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on in the next part
             if cut:
                 yield pairs(*[h[:cut] for h in held], forced=forced)
                 held, forced = [h[cut:] for h in held], False
             if len(held[0]) > hold:  # a large bucket goes on with its least member
                 yield pairs(*held, forced=True)
                 held, forced = [h[:1] for h in held], True
-        if len(held[0]):
+        if held is not None:
             yield pairs(*held, forced=forced)
 
     # the rows are dealt before they become keys, five times as many; a count of its own, as their bytes say little of those of the keys
@@ -264,12 +321,17 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
     return out.filter("root_a <> root_b").select(*pairs.columns)
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similarity: float, spread: int, small: int, most: int = 2000) -> DataFrame:
-    """a, b (ids): all pairs of different components in the large buckets of the members (id); buckets of over `most` are dealt as pairs of blocks."""
-    roots = nodes.join(members, "id", "left_semi").join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+def rooted(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """nodes with root, a hash of what names their component (node, root)."""
+    return nodes.join(joined, "node", "left").withColumn("root", F.xxhash64(F.coalesce("root", "node")))
+
+
+def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similarity: float, spread: int, most: int = 2000) -> DataFrame:
+    """a, b (ids): all pairs of different components in the buckets of the members (id); buckets of over `most` are dealt as pairs of blocks."""
+    roots = rooted(nodes.join(members, "id", "left_semi"), joined)
     bucket = Window.partitionBy("key")
     rows = all_keys(roots, spread).select("id", "root", "n", "wide", F.explode("keys").alias("key"))
-    rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter(F.col("size") > small).filter("least <> last")
+    rows = rows.withColumns({"least": F.min("root").over(bucket), "last": F.max("root").over(bucket), "size": F.count("*").over(bucket)}).filter("least <> last")
     rows = rows.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # inside a block all rows meet (-1); in a pair of blocks only rows of different ones
@@ -278,15 +340,10 @@ def open_pairs(members: DataFrame, nodes: DataFrame, joined: DataFrame, similari
 
     def meet(size: np.ndarray, block: np.ndarray, ids: np.ndarray, root: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         upto = np.searchsorted(size, size / similarity + SLACK, "right")
-        spread = wide.shape[1] - PARITIES
-        most_bits = (MOST_SHARE + 0.2 / size) * 64 * spread
         for i in range(len(size)):
             j = np.arange(i + 1, upto[i])
             j = j[(root[j] != root[i]) & ((block[j] != block[i]) | (block[j] < 0))]
-            differ = np.bitwise_count(wide[j] ^ wide[i])
-            shared = (size[j] + size[i] - differ[:, spread:].sum(axis=1, dtype=np.int64)) / 2  # at most
-            fits = shared >= similarity * (size[j] + size[i] - shared) - SLACK
-            j = j[fits & (differ[:, :spread].sum(axis=1, dtype=np.int64) <= most_bits[j])]
+            j = j[may_link(size[i], size[j], np.bitwise_count(wide[j] ^ wide[i]), similarity)]
             if len(j):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], ["a", "b"])
 
@@ -340,7 +397,14 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, sprea
     nodes = stage(nodes.withColumn("id", F.xxhash64("node")))
     wide, rows = rows, stage(rows.select("doc_id", "row", "node"))
     discard(wide)
-    met = stage(meeting(keyed(nodes, spread), similarity, small))
+    none = nodes.select("node", F.col("node").alias("root")).limit(0)
+    early = stage(allowed(stage(meeting(keyed(rooted(nodes, none), spread, 1), similarity, stars=True)).select("a", "b"), nodes, similarity))
+    joined = none
+    if not early.isEmpty():
+        bodies = stage(bodies_of(docs, nodes, early.select(F.col("a").alias("node")).union(early.select("b")).distinct()))
+        joined = components(verified(early.select("a", "b"), bodies, words, similarity))
+        discard(bodies)
+    met = stage(meeting(keyed(rooted(nodes, joined), spread), similarity, small))
     # of the pairs in large buckets the four nearest of each set come first, the others come with the buckets' open pairs
     own = Window.partitionBy("b").orderBy(F.desc("key"), "a")
     first = met.filter("key < -1").groupBy("a", "b").agg(F.max("key").alias("key")).withColumn("at", F.row_number().over(own)).filter("at <= 4")
@@ -348,8 +412,8 @@ def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, sprea
     members = stage(met.filter("key >= 0").select(F.col("a").alias("id")).distinct())
     some = left.select(F.col("a").alias("node")).union(left.select("b")).union(members.join(nodes, "id").select("node")).distinct()
     bodies = stage(bodies_of(docs, nodes, some))
-    joined, left = settled(left, nodes.select("node", F.col("node").alias("root")).limit(0), bodies, words, similarity)
-    more = allowed(open_pairs(members, nodes, joined, similarity, spread, small), nodes, similarity)
+    joined, left = settled(left, joined, bodies, words, similarity)
+    more = allowed(open_pairs(members, nodes, joined, similarity, spread), nodes, similarity)
     joined, left = settled(stage(left.union(more).distinct()), joined, bodies, words, similarity, 1)
     if not left.isEmpty():
         joined = joined_by(joined, verified(left, bodies, words, similarity))

@@ -122,3 +122,56 @@ def test_early_filter_keeps_similar_pairs(spark):
     met = {(r.a, r.b) for r in neardup.meeting(keys).collect() if r.key == -1}
     assert len(alike) > 100 and alike <= met
     assert unlike and not unlike & met
+
+
+def near_copies(r: random.Random, n: int) -> list[str]:
+    """Texts that two of 200 words tell apart; each pair has a similarity of 0.8 or more."""
+    base, out = fresh(r, 200), []
+    for _ in range(n):
+        text = list(base)
+        for at in r.sample(range(0, 200, 6), 2):
+            text[at] = fresh(r, 1)[0]
+        out.append(" ".join(text))
+    return out
+
+
+def test_rows_of_a_group_of_near_copies(spark, monkeypatch):
+    """What leaves the buckets are a few rows for each of a group's near copies, at most the keys of one fingerprint however large it is; the group stays one component."""
+    made, real = [], neardup.meeting
+    monkeypatch.setattr(neardup, "meeting", lambda *args, **options: made.append(real(*args, **options)) or made[-1])
+    counts = []
+    for n in (150, 600):
+        assert components_of(spark, near_copies(random.Random(4), n)) == [0] * n
+        counts.append(sum(m.count() for m in made))
+        made.clear()
+    assert counts[0] <= 15 * 150 and counts[1] <= 15 * 600
+
+
+def rows_of_keys(sets: list[np.ndarray], roots: list[int], bucket: list[int]):
+    """Rows as keyed() gives them, each with one key."""
+    wide = [np.concatenate((neardup.wide_fingerprint(s, 10), neardup.parities(s))) for s in sets]
+    folded = [[int(np.bitwise_xor.reduce(w[10 + k :: 2])) for k in range(2)] for w in wide]
+    return [(k, [0], i, int(w[1]), len(s), *f, root, w.tolist()) for i, (k, s, w, f, root) in enumerate(zip(bucket, sets, wide, folded, roots))]
+
+
+def test_meeting_of_roots(spark):
+    """Rows of one root give nothing. Of a large bucket come all members that have a candidate of another root, and no others, whatever its size."""
+    rng = np.random.default_rng(6)
+    whole = np.unique(rng.integers(-(1 << 62), 1 << 62, 300))
+    alike = [np.delete(whole, [3 * i, 3 * i + 1]) for i in range(12)]
+    unlike = [np.unique(rng.integers(-(1 << 62), 1 << 62, 300)) for _ in range(8)]
+    schema = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long, root long, wide array<long>"
+
+    def met(roots: list[int], **options) -> set[tuple[int, int, int]]:
+        rows = spark.createDataFrame(rows_of_keys(alike + unlike, roots, [0] * 20), schema)
+        return {(min(r.key, 0) if r.key >= -1 else -2, r.a, r.b) for r in neardup.meeting(rows, **options).collect()}
+
+    apart = list(range(100, 108))
+    assert met([1] * 12 + apart) == set()
+    assert {x for x in met([1] * 11 + [2] + apart) if x[0] == 0} == {(0, i, i) for i in range(12)}
+    assert {x for x in met([1] * 11 + [2] + apart) if x[0] == -2} == {(-2, 0, 11)}
+    assert {x for x in met([1] * 11 + [2] + apart, small=20)} == {(-1, i, 11) for i in range(11)}
+    # a bucket that is too large to be looked through gives all its members
+    for options in ({"most": 10}, {"hold": 10}):
+        assert {x for x in met([1] * 11 + [2] + apart, **options) if x[0] == 0} == {(0, i, i) for i in range(20)}
+    assert met([1] * 11 + [2] + apart, stars=True) == {(-2, 0, 11)}
