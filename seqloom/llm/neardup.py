@@ -9,7 +9,7 @@ candidates if the fingerprints' bits allow it; candidates are verified on whole
 Copies by the thousand are joined first: under the keys of one fingerprint each set is held against the least of its bucket, and sets that verified links
 have joined give no pair any more under all keys. Of what is left small buckets give all their pairs. A larger bucket gives first the pairs of its least member (of each set
 the nearest few) and the members that have a candidate in it, and after these are verified all their pairs that no verified link has joined yet, dealt in blocks: no
-pair is left out. Rows of keys hold all fingerprints and parities, so what leaves a bucket is a candidate in full. A set is known by a 128-bit hash.
+pair is left out. Rows of keys hold three fingerprints, by which most chance meetings end in the bucket. A set is known by a 128-bit hash.
 
 Defined results: null and empty texts and texts without a word are one empty set; fewer words than a shingle are one
 shingle; rows are told apart by doc_id and text, a null doc_id included; the row that names a component is the one with the least
@@ -41,6 +41,8 @@ SEGMENTS = (41, 18)
 #: Candidates differ in at most this many bits of one fingerprint, and this share of the bits of all (and 0.2 over the size, as small sets tie more
 #: often): four deviations beyond what a similarity of 0.8 gives.
 MOST_BITS, MOST_SHARE = 22, 0.21
+#: Where keys meet, MORE fingerprints beside the first are compared: in all they differ in at most this share, 4.7 deviations beyond.
+MORE, MOST_SHARE_MET = 2, 0.28
 #: Words of the parities of a set: how many of its hashes end in each number, odd or even. Sets differ in no fewer shingles than parities.
 PARITIES = 8
 
@@ -109,7 +111,7 @@ def sets_of(docs: DataFrame, words: int, spread: int) -> DataFrame:
 
 
 def keyed(nodes: DataFrame, spread: int, first: int | None = None) -> DataFrame:
-    """at, bs, id, sig (one fingerprint other than the key's), n, even, odd (128 parities), root, wide of every set (id, root, n, wide) that
+    """at, bs, id, sig (one fingerprint other than the key's), n, even, odd (128 parities), root, more (MORE further fingerprints) of every set (id, root, n, wide) that
     isn't empty: `at` is a fingerprint's number and an index of its first segment, `bs` has all indices of the second one. Keys are those of the `first` fingerprints, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +131,11 @@ def keyed(nodes: DataFrame, spread: int, first: int | None = None) -> DataFrame:
                     sig = wide[:, (w + 1) % spread]
                     columns = [(w << 12) | left[left >= 0], *[c[row] for c in (ids, sig, n, even, odd, roots)]]
                     columns = [pa.array(c) for c in columns]
-                    whole = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * wide.shape[1]), pa.array(wide[row].reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([columns[0], bs, *columns[1:], whole], ["at", "bs", "id", "sig", "n", "even", "odd", "root", "wide"])
+                    further = wide[:, [(w + 2 + k) % spread for k in range(MORE)]][row].reshape(-1)
+                    more = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * MORE), pa.array(further))
+                    yield pa.RecordBatch.from_arrays([columns[0], bs, *columns[1:], more], ["at", "bs", "id", "sig", "n", "even", "odd", "root", "more"])
 
-    kind = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long, root long, wide array<long>"
+    kind = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long, root long, more array<long>"
     return nodes.filter("n > 0").select("id", "wide", "n", "root").mapInArrow(run, kind)
 
 
@@ -165,7 +168,7 @@ def all_keys(nodes: DataFrame, spread: int) -> DataFrame:
 def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int = 100_000, most: int = 2000, stars: bool = False) -> DataFrame:
     """key, a, b of keyed()'s rows: candidates, which are pairs of different roots whose sizes, parities and fingerprints allow the similarity, each once for the rows that are held at a time.
     Key -1: a pair of ids. Key 0: a (id) has a candidate in a bucket of more than `small` rows; if more than `most` are held of it, whether or not it has one. Below -1: the pair of
-    such a bucket's least id and another, which differ in -2 - key bits. `stars`: only the last kind, of all buckets. Rows without root and wide are held to have roots of their own and no more bits."""
+    such a bucket's least id and another, which differ in -2 - key bits. `stars`: only the last kind, of all buckets. Rows without root and more are held to have roots of their own and no more bits."""
     small = 1 if stars else small
 
     def near(x: list[np.ndarray], y: list[np.ndarray], bits: int = 64) -> np.ndarray:
@@ -174,24 +177,28 @@ def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int
         size = np.minimum(x[1], y[1]) >= similarity * np.maximum(x[1], y[1]) - SLACK
         return size & (sig <= bits) & (even + odd <= (x[1] + y[1]) * ((1 - similarity) / (1 + similarity)) + SLACK) & (x[4] != y[4])
 
-    def candidates(i: np.ndarray, j: np.ndarray, n: np.ndarray, wide: np.ndarray) -> np.ndarray:
-        """Which of the pairs of rows are candidates by all words, a part at a time."""
-        parts = [slice(lo, lo + 20_000) for lo in range(0, len(i), 20_000)]
-        return np.concatenate([np.empty(0, bool), *[may_link(n[i[p]], n[j[p]], np.bitwise_count(wide[i[p]] ^ wide[j[p]]), similarity) for p in parts]])
+    def candidates(i: np.ndarray, j: np.ndarray, seen: list[np.ndarray], more: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows are candidates by all fingerprints that the rows hold."""
+        most_bits = (MOST_SHARE_MET + 0.2 / np.maximum(seen[1][i], seen[1][j])) * 64 * (1 + more.shape[1])
+        return (differing(i, j, seen, more) <= most_bits) | (more.shape[1] == 0)
 
-    def paired(seen: list[np.ndarray], wide: np.ndarray) -> np.ndarray:
+    def differing(i: np.ndarray, j: np.ndarray, seen: list[np.ndarray], more: np.ndarray) -> np.ndarray:
+        """Bits in which pairs of rows differ."""
+        return np.bitwise_count((seen[0][i] ^ seen[0][j]).view(np.uint64)).astype(np.int64) + np.bitwise_count(more[i] ^ more[j]).sum(axis=1, dtype=np.int64)
+
+    def paired(seen: list[np.ndarray], more: np.ndarray) -> np.ndarray:
         """Which rows of a bucket have a candidate in it."""
-        found, step = np.zeros(len(wide), bool), max(1, 100_000 // len(wide))
-        for lo in range(0, len(wide), step):
+        found, step = np.zeros(len(more), bool), max(1, 100_000 // len(more))
+        for lo in range(0, len(more), step):
             i, j = np.nonzero(near([c[lo : lo + step, None] for c in seen], [c[None, lo:] for c in seen]))
             i, j = i[i < j] + lo, j[i < j] + lo
-            fits = candidates(i, j, seen[1], wide)
+            fits = candidates(i, j, seen, more)
             found[i[fits]] = found[j[fits]] = True
         return found
 
     def pairs(keys: np.ndarray, ids: np.ndarray, *seen: np.ndarray, forced: bool) -> pa.RecordBatch:
         """Candidates and members of whole buckets; `forced`: the first one is large, whatever is here of it."""
-        *seen, wide = seen
+        *seen, more = seen
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.append(starts, len(keys)))
         large = sizes > small
@@ -199,10 +206,8 @@ def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int
         first = np.repeat(starts, sizes)
         star = np.flatnonzero(np.repeat(large, sizes) & (first != np.arange(len(keys))))
         star = star[near([c[star] for c in seen], [c[first[star]] for c in seen], MOST_BITS)]
-        star = star[candidates(first[star], star, seen[1], wide)]
-        # the fingerprints alone; without them the one that is there
-        words = wide[:, : wide.shape[1] - PARITIES] if wide.shape[1] else seen[0][:, None]
-        apart = np.bitwise_count((words[star] ^ words[first[star]]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        star = star[candidates(first[star], star, seen, more)]
+        apart = differing(star, first[star], seen, more)
         out = [(-2 - apart, ids[first[star]], ids[star])]
         few = np.flatnonzero(np.repeat(~large & (sizes > 1), sizes))
         k, s = keys[few], [c[few] for c in seen]
@@ -210,14 +215,14 @@ def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int
             if len(k) <= lag:
                 break
             hit = np.flatnonzero((k[lag:] == k[:-lag]) & near([c[lag:] for c in s], [c[:-lag] for c in s], MOST_BITS))
-            hit = hit[candidates(few[hit], few[hit + lag], seen[1], wide)]
+            hit = hit[candidates(few[hit], few[hit + lag], seen, more)]
             out.append((np.full(len(hit), -1), ids[few[hit]], ids[few[hit + lag]]))
         for at, size in () if stars else zip(starts[large].tolist(), sizes[large].tolist()):
             rows = slice(at, at + size)
             if forced and not at or size > most:
                 found = ids[rows]
             else:
-                found = ids[rows][paired([c[rows] for c in seen], wide[rows])]
+                found = ids[rows][paired([c[rows] for c in seen], more[rows])]
             out.append((np.zeros(len(found), np.int64), found, found))
         once = np.unique(np.stack([np.concatenate([o[j] for o in out]).astype(np.int64) for j in range(3)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in once], ["key", "a", "b"])
@@ -226,8 +231,8 @@ def meeting(keys: DataFrame, similarity: float = 0.8, small: int = 8, hold: int
         found = [c.to_numpy() for c in batch.columns[:7]]
         if len(found) < 7:
             found.append(found[1])
-        wide = batch.column(7).flatten().to_numpy() if batch.num_columns > 7 else np.empty(0, np.int64)
-        return [*found, wide.reshape(batch.num_rows, -1).view(np.uint64)]
+        more = batch.column(7).flatten().to_numpy() if batch.num_columns > 7 else np.empty(0, np.int64)
+        return [*found, more.reshape(batch.num_rows, -1).view(np.uint64)]
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         """The columns of some tens of thousands of rows at a time, as a row that repeats in them is given once."""

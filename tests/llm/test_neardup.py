@@ -151,7 +151,7 @@ def rows_of_keys(sets: list[np.ndarray], roots: list[int], bucket: list[int]):
     """Rows as keyed() gives them, each with one key."""
     wide = [np.concatenate((neardup.wide_fingerprint(s, 10), neardup.parities(s))) for s in sets]
     folded = [[int(np.bitwise_xor.reduce(w[10 + k :: 2])) for k in range(2)] for w in wide]
-    return [(k, [0], i, int(w[1]), len(s), *f, root, w.tolist()) for i, (k, s, w, f, root) in enumerate(zip(bucket, sets, wide, folded, roots))]
+    return [(k, [0], i, int(w[1]), len(s), *f, root, w[2:4].tolist()) for i, (k, s, w, f, root) in enumerate(zip(bucket, sets, wide, folded, roots))]
 
 
 def test_meeting_of_roots(spark):
@@ -160,7 +160,7 @@ def test_meeting_of_roots(spark):
     whole = np.unique(rng.integers(-(1 << 62), 1 << 62, 300))
     alike = [np.delete(whole, [3 * i, 3 * i + 1]) for i in range(12)]
     unlike = [np.unique(rng.integers(-(1 << 62), 1 << 62, 300)) for _ in range(8)]
-    schema = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long, root long, wide array<long>"
+    schema = "at long, bs array<smallint>, id long, sig long, n int, even long, odd long, root long, more array<long>"
 
     def met(roots: list[int], **options) -> set[tuple[int, int, int]]:
         rows = spark.createDataFrame(rows_of_keys(alike + unlike, roots, [0] * 20), schema)
